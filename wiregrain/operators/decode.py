@@ -108,8 +108,7 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     has_ports = is_tcp | is_udp
     ts = F.timestamp_micros("ts_us")
     return ip.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("capture_id"),
-        "path",
+        "capture_id",
         "packet_number",
         ts.alias("ts"),
         epoch_seconds(ts).alias("ts_epoch"),

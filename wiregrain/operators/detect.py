@@ -110,7 +110,7 @@ def packet_ml_features(packets: DataFrame, hot_rows: int | None = HOT_ROWS) -> D
 
 # --- split ------------------------------------------------------------------------
 
-_CELLS = 4096
+_CELLS = 1 << 18
 
 
 def stratified_split(
@@ -262,7 +262,7 @@ def learning_curve(
             held = parts.where(F.col("fold") == fold)
             model = train_classifier(train, features, label, **forest)
 
-            def accuracy(rows: DataFrame) -> DataFrame:
+            def accuracy(rows: DataFrame) -> float:
                 hit = (F.col("prediction") == F.col(label)).cast("int")
                 return model.transform(rows).agg(F.avg(hit)).first()[0]
 

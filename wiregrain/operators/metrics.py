@@ -141,7 +141,7 @@ def protocol_accuracy(
     return overall.unionByName(per_class)
 
 
-_SCORE_CELLS = 1024
+_SCORE_CELLS = 1 << 14
 
 
 def roc_points(

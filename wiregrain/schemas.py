@@ -24,7 +24,11 @@ PACKETS = T.StructType(
 )
 
 FRAMES = (
-    "path string, packet_number long, ts_us long, link_type int, frame_len int, frame binary"
+    "capture_id string, packet_number long, ts_us long, link_type int, frame_len int, frame binary"
+)
+CAPTURE_PARTS = (
+    "capture_id string, path string, first_packet long, packets long, begin long, size long, "
+    "kind string, byte_order string, link_types array<int>, ticks array<long>, problem string"
 )
 
 PACKET_LABELS = T.StructType(

@@ -43,22 +43,25 @@ def _brackets(
         *[F.sum(f"n_{c}").alias(f"n_{c}") for c in values],
     )
     pairs = ", ".join(f"'{c}', s_{c}, n_{c}" for c in values)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    sketch = F.col("sketch")
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(float(p)).alias("prob"),
+                F.kll_sketch_get_quantile_double(sketch, F.lit(max(p - _MARGIN, 0.0))).alias("lo"),
+                F.kll_sketch_get_quantile_double(sketch, F.lit(min(p + _MARGIN, 1.0))).alias("hi"),
+            )
+            for p in probs
+        ]
+    )
     return (
         whole.select(*keys, F.expr(f"stack({len(values)}, {pairs}) as (feature, sketch, n)"))
         .where(F.col("n") > 0)
-        .select("*", F.explode(wanted).alias("prob"))
+        .select(*keys, "feature", "n", F.inline(wanted))
         .withColumn("rank", F.col("prob") * (F.col("n") - 1))
-        .withColumn("lo", _at("sketch", F.greatest(F.col("prob") - _MARGIN, F.lit(0.0))))
-        .withColumn("hi", _at("sketch", F.least(F.col("prob") + _MARGIN, F.lit(1.0))))
-        .drop("sketch")
     )
 
 
-def _at(sketch: str, rank: Column) -> Column:
-    return F.kll_sketch_get_quantile_double(sketch, rank)
-
-
 def _bin() -> Column:
     x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
     inside = F.least(F.floor((x - lo) / (hi - lo) * _BINS), F.lit(_BINS - 1)).cast("int")

@@ -91,17 +91,17 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def label_documents(labels: DataFrame) -> DataFrame:
-    """One JSON document per capture in the label-file shape, for captures that fit one row.
-
-    Use ``save_labels`` for captures of any size.
-    """
+def label_documents(labels: DataFrame, per_document: int = 10_000) -> DataFrame:
+    """JSON documents in the label-file shape, each with at most ``per_document`` packets of one capture."""
+    chunk = F.floor((F.col("packet_number") - 1) / per_document)
     entry = F.struct("packet_number", "label")
-    docs = labels.groupBy("capture_id").agg(F.sort_array(F.collect_list(entry)).alias("packet_labels"))
+    docs = labels.groupBy("capture_id", chunk.alias("chunk")).agg(
+        F.sort_array(F.collect_list(entry)).alias("packet_labels")
+    )
     body = F.create_map("capture_id", F.struct("packet_labels"))
     return docs.select("capture_id", F.to_json(body).alias("value"))
 
 
 def save_labels(labels: DataFrame, path: str) -> None:
-    """Labels as JSON lines, one per packet, a folder per capture."""
-    save_features(labels, path, "json", ["capture_id"])
+    """Label documents, one per line, a folder per capture."""
+    label_documents(labels).write.mode("overwrite").partitionBy("capture_id").text(path)

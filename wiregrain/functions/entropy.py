@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 from wiregrain.constants import ENTROPY_CLASSES, ENTROPY_NORMAL, ENTROPY_TOP_CLASS
 
 HEADER_BYTES = 7
-_CHUNK_ROWS = 4096
+_CHUNK_ROWS = 1024
 _CHUNK_BYTES = 32 << 20
+_NOISE = 1e-12
+
 
 PACKET_ENTROPY = T.StructType(
     [
@@ -42,26 +44,34 @@ def _buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _byte_entropy(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """log2(n) - sum(c * log2(c)) / n over the byte counts c of each row."""
     out = np.zeros(len(start))
     size = np.maximum(end - start, 0)
     first = 0
     while first < len(start):
         # As many rows as fit the byte budget, at least one.
-        last = first + max(
-            1, int(np.searchsorted(np.cumsum(size[first : first + _CHUNK_ROWS]), _CHUNK_BYTES))
-        )
+        filled = np.cumsum(size[first : first + _CHUNK_ROWS])
+        last = first + max(1, int(np.searchsorted(filled, _CHUNK_BYTES)))
         n = size[first:last]
         total = int(n.sum())
         if total:
-            row = np.repeat(np.arange(len(n)), n)
-            step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-            byte = data[np.repeat(start[first:last], n) + step]
-            counts = np.bincount(row * 256 + byte, minlength=len(n) * 256).reshape(len(n), 256)
-            share = counts / np.maximum(n, 1)[:, None]
-            logs = np.log2(share, out=np.zeros_like(share), where=share > 0)
-            out[first:last] = -(share * logs).sum(axis=1)
+            slot = np.repeat(np.arange(len(n)) * 256, n)
+            place = np.arange(total) + np.repeat(start[first:last] - (np.cumsum(n) - n), n)
+            counts = np.bincount(slot + data[place], minlength=len(n) * 256)
+            top = int(counts.max()) + 1
+            if top <= len(counts):
+                weight = _weighted(np.arange(top))[counts]
+            else:
+                weight = _weighted(counts)
+            n1 = np.maximum(n, 1)
+            value = np.log2(n1) - weight.reshape(len(n), 256).sum(axis=1) / n1
+            out[first:last] = np.where(value < _NOISE, 0.0, value)
         first = last
-    return out + 0.0
+    return out
+
+
+def _weighted(counts: np.ndarray) -> np.ndarray:
+    return counts * np.log2(np.maximum(counts, 1))
 
 
 def _entropy_of(values: pa.Array) -> pa.Array:

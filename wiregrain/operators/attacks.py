@@ -12,6 +12,7 @@ from wiregrain.functions.text import last_octet, parse_iso, short_label
 from wiregrain.operators.quantiles import quantile_table
 from wiregrain.operators.spread import HOT_ROWS, ordered, running_sum
 from wiregrain.operators.stats import join_keys
+from wiregrain.session import settle
 
 
 def count_by(events: DataFrame, column: str) -> DataFrame:
@@ -123,6 +124,7 @@ def temporal_pattern(
 ) -> DataFrame:
     """First, last, duration and interval statistics per key; keys with fewer than two events drop out."""
     gaps = event_intervals(events, keys, ties, hot_rows)
+    gaps = settle(gaps.select(*keys, "ts", "interval_seconds"))
     gap = F.col("interval_seconds")
     basic = gaps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("events"),
@@ -135,7 +137,7 @@ def temporal_pattern(
     )
     seconds = (F.unix_micros("last_attack") - F.unix_micros("first_attack")) / 1e6
     basic = basic.where(F.col("events") >= 2).withColumn("total_duration_seconds", seconds)
-    medians = quantile_table(gaps, {"median_interval_seconds": ("interval_seconds", 0.5)}, keys)
+    medians = quantile_table(gaps, {"median_interval_seconds": ("interval_seconds", 0.5)}, keys, stored=True)
     return join_keys(basic, medians, keys)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wiregrain import constants as C
 from wiregrain.operators.flows import iat_shape
-from wiregrain.operators.stats import most_common_code
+from wiregrain.operators.stats import distinct_counts, most_common_code
+from wiregrain.session import settle
 
 
 def build_baseline(
@@ -48,6 +49,22 @@ def baseline_coverage(
 def observed_metrics(features: DataFrame) -> DataFrame:
     """One row per capture with every metric the criteria name."""
     key = ["capture_id"]
+    # Four aggregations read these columns.
+    features = settle(
+        features.select(
+            *key,
+            "packet_number",
+            "ts",
+            "packet_length",
+            "payload_entropy",
+            "function_code",
+            "function_code_changes",
+            "is_error_response",
+            "src_ip",
+            "dst_ip",
+            "unit_id",
+        )
+    )
     basic = features.groupBy(*key).agg(
         F.avg("packet_length").alias("length_mean"),
         F.stddev_samp("packet_length").alias("length_std"),
@@ -57,10 +74,9 @@ def observed_metrics(features: DataFrame) -> DataFrame:
         F.avg("payload_entropy").alias("payload_entropy_mean"),
         F.avg("function_code_changes").alias("fc_change_share"),
         F.avg("is_error_response").alias("error_share"),
-        F.countDistinct("src_ip").cast("double").alias("unique_src_ips"),
-        F.countDistinct("dst_ip").cast("double").alias("unique_dst_ips"),
-        F.countDistinct("unit_id").cast("double").alias("unique_unit_ids"),
     )
+    sides = {"src_ip": "unique_src_ips", "dst_ip": "unique_dst_ips", "unit_id": "unique_unit_ids"}
+    basic = basic.join(distinct_counts(features, sides, key), key)
     codes = most_common_code(features, key).select(
         *key,
         F.col("function_diversity").cast("double").alias("function_codes"),

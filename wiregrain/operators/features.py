@@ -147,6 +147,8 @@ def all_features(
 ) -> DataFrame:
     """The whole chain on decoded packets: entropy, timing, size, function code, validation, flow, derived.
 
+    The payload is read once: entropies and flags come first and are settled without the
+    raw bytes, and every later pass (counts, hot keys, windows) reads that narrow table.
     ``codes`` fixes the one-hot columns; the protocol's known codes are the default,
     so the schema does not depend on the data.
     """
@@ -155,11 +157,12 @@ def all_features(
         .transform(operation_flags, protocol)
         .transform(validation_flags, protocol)
         .transform(one_hot, sorted(protocol.functions) if codes is None else codes)
+        .transform(entropy_features, protocol)
     )
-    profile = flow_profile(flagged)
+    narrow = settle(flagged.drop("payload", "data"))
+    profile = flow_profile(narrow)
     return (
-        flagged.transform(entropy_features, protocol)
-        .transform(rolling_features, hot_rows=hot_rows)
+        narrow.transform(rolling_features, hot_rows=hot_rows)
         .transform(flow_features, profile)
         .transform(derived_features, profile)
     )

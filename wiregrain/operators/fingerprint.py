@@ -41,7 +41,10 @@ def _grouped_input(
 
 
 def threshold_columns(
-    df: DataFrame, features: Sequence[str], thresholds: Mapping[str, float] | float | None
+    df: DataFrame,
+    features: Sequence[str],
+    thresholds: Mapping[str, float] | float | None,
+    stored: bool = False,
 ) -> dict[str, Column]:
     """Threshold of each feature: a scalar, a given value, or the exact median of the whole table."""
     if isinstance(thresholds, (int, float)):
@@ -50,7 +53,7 @@ def threshold_columns(
     open_ = [f for f in features if f not in given]
     out = {f: F.lit(float(v)) for f, v in given.items() if f in features}
     if open_:
-        medians = settle(quantile_table(df, {f: (f, 0.5) for f in open_}))
+        medians = settle(quantile_table(df, {f: (f, 0.5) for f in open_}, stored=stored))
         out |= {f: medians.select(f).scalar() for f in open_}
     return out
 
@@ -60,14 +63,16 @@ def group_stats(
     keys: Sequence[str] = GROUP_COLUMNS,
     features: Sequence[str] | None = None,
     thresholds: Mapping[str, float] | float | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Mean, sample deviation, count and counts below and above the threshold, per group and feature.
 
+    Medians are taken over the rows that have all group columns. ``stored`` is as in ``exact_quantiles``.
     One hash aggregation: partial sums leave the map side, so a hot group is
     merged from one partial row per task.
     """
     rows, features = _grouped_input(df, keys, features)
-    limits = threshold_columns(df, features, thresholds)
+    limits = threshold_columns(rows, features, thresholds, stored)
     aggs = []
     for f in features:
         aggs += [

@@ -21,10 +21,14 @@ def size_outliers(
 
 
 def timing_outliers(
-    df: DataFrame, column: str = "time_delta", keys: Sequence[str] = (), prob: float = 0.99
+    df: DataFrame,
+    column: str = "time_delta",
+    keys: Sequence[str] = (),
+    prob: float = 0.99,
+    stored: bool = False,
 ) -> DataFrame:
-    """Rows above the exact quantile of their key."""
-    limit = settle(quantile_table(df, {"threshold": (column, prob)}, keys))
+    """Rows above the exact quantile of their key; ``stored`` as in ``exact_quantiles``."""
+    limit = settle(quantile_table(df, {"threshold": (column, prob)}, keys, stored))
     return _above(df, column, limit, keys)
 
 
@@ -42,10 +46,12 @@ def outlier_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def iqr_outliers(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+def iqr_outliers(
+    df: DataFrame, column: str, keys: Sequence[str] = (), stored: bool = False
+) -> DataFrame:
     """Rows outside Q1 - 1.5 IQR .. Q3 + 1.5 IQR with the bounds."""
     wanted = {"q1": (column, 0.25), "q3": (column, 0.75)}
-    bounds = quantile_table(df, wanted, keys).select(
+    bounds = quantile_table(df, wanted, keys, stored).select(
         *keys,
         (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("low"),
         (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("high"),

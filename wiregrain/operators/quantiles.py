@@ -24,7 +24,7 @@ _MERGE_WAYS = 64
 
 
 def _melt(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in values)
+    pairs = ", ".join(f"'{c}', `{c}`" for c in values)
     long = df.select(*keys, F.expr(f"stack({len(values)}, {pairs}) as (feature, x)"))
     return long.where(F.col("x").isNotNull())
 
@@ -35,7 +35,7 @@ def _brackets(
     # Two merge levels, so that no reducer receives one sketch from every map task.
     ways = df.withColumn("__way", F.spark_partition_id() % _MERGE_WAYS)
     parts = ways.groupBy(*keys, "__way").agg(
-        *[F.kll_sketch_agg_double(F.col(c).cast("double"), _SKETCH_K).alias(f"s_{c}") for c in values],
+        *[F.kll_sketch_agg_double(c, F.lit(_SKETCH_K)).alias(f"s_{c}") for c in values],
         *[F.count(c).alias(f"n_{c}") for c in values],
     )
     whole = parts.groupBy(*keys).agg(
@@ -75,10 +75,17 @@ def exact_quantiles(
     values: Sequence[str],
     probs: Sequence[float],
     keys: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
-    """Rows ``(keys..., feature, prob, value)``; groups without a value give no row. Keys must not be NULL."""
+    """Rows ``(keys..., feature, prob, value)``; groups without a value give no row. Keys must not be NULL.
+
+    The three passes read ``df`` three times. Say ``stored`` when it is a stored table; otherwise
+    the few columns needed are settled once, so that windows and joins before this run once.
+    """
     keys = list(keys)
     per = [*keys, "feature"]
+    df = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in values])
+    df = df if stored else settle(df)
     rows = _melt(df, keys, values)
     brackets = settle(_brackets(df, keys, values, probs))
 
@@ -123,11 +130,12 @@ def quantile_table(
     df: DataFrame,
     wanted: dict[str, tuple[str, float]],
     keys: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
     """One row per key with a named column per ``(feature, prob)``; one row in total without keys."""
     values = sorted({feature for feature, _ in wanted.values()})
     probs = sorted({prob for _, prob in wanted.values()})
-    long = exact_quantiles(df, values, probs, keys)
+    long = exact_quantiles(df, values, probs, keys, stored)
     picks = [
         F.max(F.when((F.col("feature") == f) & (F.col("prob") == p), F.col("value"))).alias(name)
         for name, (f, p) in wanted.items()

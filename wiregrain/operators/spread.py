@@ -73,7 +73,8 @@ def ordered(
     ``compute`` may look back at most ``depth`` rows in total (a ten-row frame
     over a one-row lag is ten) and reads only ``carry`` plus the key and order columns.
     ``order`` is an integer column; ``ties`` breaks equal values. ``hot_rows=None``
-    says that no key is large and skips the search for hot ones.
+    says that no key is large and skips the search for hot ones. ``df`` is read for the
+    key counts, for the carried rows of hot keys and for the result, so settle a costly one first.
     """
     sort = [F.col(c) for c in (order, *ties)]
     if hot_rows is None:

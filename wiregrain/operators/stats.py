@@ -42,6 +42,7 @@ def entropy_statistics(
     df: DataFrame, column: str = "payload_entropy", keys: Sequence[str] = ()
 ) -> DataFrame:
     """Mean, population deviation, range, median and quartiles; zeros when there is no value."""
+    df = settle(df.select(*keys, F.col(column).cast("double").alias(column)))
     basic = df.groupBy(*keys).agg(
         F.avg(column).alias("mean"),
         F.stddev_pop(column).alias("std"),
@@ -49,10 +50,20 @@ def entropy_statistics(
         F.max(column).alias("max"),
     )
     wanted = {"median": (column, 0.5), "q25": (column, 0.25), "q75": (column, 0.75)}
-    out = join_keys(basic, quantile_table(df, wanted, keys), keys)
+    out = join_keys(basic, quantile_table(df, wanted, keys, stored=True), keys)
     return out.fillna(0.0, ["mean", "std", "min", "max", "median"])
 
 
+def distinct_counts(df: DataFrame, columns: dict[str, str], keys: Sequence[str]) -> DataFrame:
+    """Exact distinct counts of several columns at once, ``columns`` mapping column to output name.
+
+    Several ``countDistinct`` in one aggregation copy every row once per column. Here
+    the combinations are made distinct first, and only those few are copied.
+    """
+    combos = df.select(*keys, *columns).distinct()
+    return combos.groupBy(*keys).agg(*[F.countDistinct(c).alias(name) for c, name in columns.items()])
+
+
 def _zero(value: Column) -> Column:
     return F.coalesce(value.cast("double"), F.lit(0.0))
 
@@ -63,10 +74,21 @@ def summary_statistics(features: DataFrame, keys: Sequence[str] = ("capture_id",
     Timing is in milliseconds; deviations of length and timing are sample ones,
     those of entropy are population ones.
     """
+    # Read by three jobs below, so windows and entropies are computed once.
+    features = settle(features.select(*keys, *_SUMMARY_COLUMNS))
+    unique = distinct_counts(
+        features,
+        {
+            "function_code": "unique_function_codes",
+            "src_ip": "unique_src_ips",
+            "dst_ip": "unique_dst_ips",
+            "unit_id": "unique_unit_ids",
+        },
+        keys,
+    )
     ms = F.col("time_delta_ms")
     out = features.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_packets"),
-        F.countDistinct("function_code").alias("unique_function_codes"),
         _zero(F.avg("packet_length")).alias("length_mean"),
         _zero(F.stddev_samp("packet_length")).alias("length_std"),
         F.coalesce(F.min("packet_length"), F.lit(0)).alias("length_min"),
@@ -79,9 +101,6 @@ def summary_statistics(features: DataFrame, keys: Sequence[str] = ("capture_id",
         _zero(F.min(ms)).alias("iat_min_ms"),
         _zero(F.max(ms)).alias("iat_max_ms"),
         _zero(F.when(F.avg(ms) > 0, F.stddev_samp(ms) / F.avg(ms))).alias("iat_cv"),
-        F.countDistinct("src_ip").alias("unique_src_ips"),
-        F.countDistinct("dst_ip").alias("unique_dst_ips"),
-        F.countDistinct("unit_id").alias("unique_unit_ids"),
         _zero(F.avg("payload_entropy")).alias("payload_entropy_mean"),
         _zero(F.stddev_pop("payload_entropy")).alias("payload_entropy_std"),
         _zero(F.min("payload_entropy")).alias("payload_entropy_min"),
@@ -111,8 +130,25 @@ def summary_statistics(features: DataFrame, keys: Sequence[str] = ("capture_id",
         "header_entropy_q25": ("header_entropy", 0.25),
         "header_entropy_q75": ("header_entropy", 0.75),
     }
-    medians = quantile_table(features, wanted, keys)
-    return join_keys(out, medians, keys).fillna(0.0, list(wanted))
+    medians = quantile_table(features, wanted, keys, stored=True)
+    return join_keys(join_keys(out, unique, keys), medians, keys).fillna(0.0, list(wanted))
+
+
+_SUMMARY_COLUMNS = [
+    "packet_length",
+    "time_delta_ms",
+    "payload_entropy",
+    "header_entropy",
+    "is_normal_entropy",
+    "function_code",
+    "src_ip",
+    "dst_ip",
+    "unit_id",
+    "is_read_operation",
+    "is_write_operation",
+    "is_error_response",
+    "is_valid",
+]
 
 
 def distribution_map(df: DataFrame, column: str, keys: Sequence[str] = ("capture_id",)) -> DataFrame:
@@ -164,12 +200,9 @@ def traffic_statistics(features: DataFrame, keys: Sequence[str] = ("capture_id",
 def analysis_report(features: DataFrame) -> DataFrame:
     """Headline numbers as rows ``(section, position, metric, value)``."""
     traffic = traffic_statistics(features, ()).alias("t")
-    network = features.agg(
-        F.count(F.lit(1)).alias("total_packets"),
-        F.countDistinct("src_ip").alias("unique_sources"),
-        F.countDistinct("dst_ip").alias("unique_destinations"),
-        F.countDistinct("unit_id").alias("unique_unit_ids"),
-    )
+    names = {"src_ip": "unique_sources", "dst_ip": "unique_destinations", "unit_id": "unique_unit_ids"}
+    total = features.agg(F.count(F.lit(1)).alias("total_packets"))
+    network = join_keys(total, distinct_counts(features, names, ()), ())
     wide = settle(join_keys(traffic, network, ()))
     lines = [
         ("Executive Summary", "total_packets"),

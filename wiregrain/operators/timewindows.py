@@ -8,19 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _metrics(exact: bool) -> list[Column]:
-    unique = F.countDistinct if exact else F.approx_count_distinct
-    invalid = ~F.coalesce(F.col("is_valid"), F.lit(False))
-    return [
-        F.count(F.lit(1)).alias("packets"),
-        F.sum("packet_length").alias("bytes"),
-        unique("src_ip").alias("unique_src_ips"),
-        unique("dst_ip").alias("unique_dst_ips"),
-        unique("unit_id").alias("unique_unit_ids"),
-        unique("function_code").alias("unique_function_codes"),
-        F.count_if(invalid).alias("violations"),
-        F.avg(invalid.cast("int")).alias("violation_rate"),
-    ]
+_SIDES = {
+    "src_ip": "unique_src_ips",
+    "dst_ip": "unique_dst_ips",
+    "unit_id": "unique_unit_ids",
+    "function_code": "unique_function_codes",
+}
+
+
+def _invalid() -> Column:
+    return ~F.coalesce(F.col("is_valid"), F.lit(False))
+
+
+def _span(width: str, slide: str | None) -> Column:
+    return (F.window("ts", width, slide) if slide else F.window("ts", width)).alias("w")
 
 
 def window_metrics(
@@ -30,21 +31,43 @@ def window_metrics(
     keys: Sequence[str] = (),
     late: str | None = None,
 ) -> DataFrame:
-    """Packet counts, address topology and violation rate per window.
+    """Packet counts, address topology and violation rate per window (``slide`` divides ``width``).
 
-    On a stream ``late`` sets the watermark; distinct counts are then approximate,
-    because Spark does not keep exact ones in streaming state.
+    On a stream ``late`` sets the watermark, and distinct counts are approximate,
+    because Spark does not keep exact ones in streaming state. In batch, packets are first
+    summed per slide step and address combination, so overlapping windows copy
+    those sums and not the packets.
     """
-    exact = not df.isStreaming
-    if late and df.isStreaming:
-        df = df.withWatermark("ts", late)
-    span = F.window("ts", width, slide) if slide else F.window("ts", width)
-    out = df.groupBy(*keys, span.alias("w")).agg(*_metrics(exact))
+    if df.isStreaming:
+        rows = df.withWatermark("ts", late) if late else df
+        out = rows.groupBy(*keys, _span(width, slide)).agg(
+            F.count(F.lit(1)).alias("packets"),
+            F.sum("packet_length").alias("bytes"),
+            *[F.approx_count_distinct(c).alias(name) for c, name in _SIDES.items()],
+            F.count_if(_invalid()).alias("violations"),
+            F.avg(_invalid().cast("int")).alias("violation_rate"),
+        )
+    else:
+        step = df.groupBy(*keys, *_SIDES, F.window("ts", slide or width)["start"].alias("ts")).agg(
+            F.count(F.lit(1)).alias("packets"),
+            F.sum("packet_length").alias("bytes"),
+            F.count_if(_invalid()).alias("violations"),
+        )
+        sums = [F.sum(c).alias(c) for c in ("packets", "bytes", "violations")]
+        combos = step.groupBy(*keys, *_SIDES, _span(width, slide)).agg(*sums)
+        out = combos.groupBy(*keys, "w").agg(
+            *sums, *[F.countDistinct(c).alias(name) for c, name in _SIDES.items()]
+        )
+        out = out.withColumn("violation_rate", F.col("violations") / F.col("packets"))
     return out.select(
         *keys,
         F.col("w.start").alias("window_start"),
         F.col("w.end").alias("window_end"),
-        *[c for c in out.columns if c not in (*keys, "w")],
+        "packets",
+        "bytes",
+        *_SIDES.values(),
+        "violations",
+        "violation_rate",
     )
 
 
@@ -54,8 +77,7 @@ def window_codes(
     """Function-code counts per window."""
     if late and df.isStreaming:
         df = df.withWatermark("ts", late)
-    span = F.window("ts", width, slide) if slide else F.window("ts", width)
-    out = df.groupBy(span.alias("w"), "function_code").agg(F.count(F.lit(1)).alias("packets"))
+    out = df.groupBy(_span(width, slide), "function_code").agg(F.count(F.lit(1)).alias("packets"))
     return out.select(F.col("w.start").alias("window_start"), "function_code", "packets")
 
 

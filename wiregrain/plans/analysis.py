@@ -56,7 +56,7 @@ def analyse(packets: DataFrame, protocol: str) -> Analysis:
         summary=summary_report(flagged),
         audit=capture_audit(packets, PROTOCOLS[protocol]),
         anomalies=anomaly_report(flagged),
-        fingerprint=group_stats(flagged, groups, measured),
+        fingerprint=group_stats(flagged, groups, measured, stored=True),
         distributions=frequency_distributions(flagged, groups, measured),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wiregrain.operators import flows as L
 from wiregrain.operators import timewindows as T
-from wiregrain.plans.queries.packets import modbus
+from wiregrain.plans.queries.packets import modbus, narrow
 from wiregrain.plans.queries.registry import EVENTS, PACKETS, query, tidy
 from wiregrain.plans.tables import table
 
@@ -84,7 +84,8 @@ def request_response(spark, folder):
 
 
 def _pairs(spark, folder):
-    messages = L.modbus_messages(modbus(spark, folder), 502)
+    columns = ["ts", "src_ip", "dst_ip", "src_port", "dst_port", "unit_id", "transaction_id"]
+    messages = L.modbus_messages(narrow(spark, folder, *columns), 502)
     keys = ["capture_id", "client_ip", "server_ip"]
     # Short cells, so that answers often lie in the next one.
     return messages, L.pair_requests(messages, keys=keys, timeout_seconds=21600.0, cell_seconds=21600.0)

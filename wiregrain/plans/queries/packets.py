@@ -12,6 +12,7 @@ from wiregrain.operators.distributions import entropy_classes
 from wiregrain.operators.stats import entropy_statistics
 from wiregrain.plans.queries.registry import ENTROPY, EVENTS, PACKETS, ROLLING, query, tidy
 from wiregrain.plans.tables import dnp3_packets, modbus_packets, table
+from wiregrain.session import settle
 from wiregrain.sources.sinks import combine
 
 ID = ["capture_id", "packet_number"]
@@ -25,6 +26,11 @@ def dnp3(spark, folder, keep_invalid=True):
     return D.decode(dnp3_packets(spark, folder), D.DNP3, keep_invalid)
 
 
+def narrow(spark, folder, *columns):
+    """Decoded columns, stored once for operators that read them more than once."""
+    return settle(modbus(spark, folder).select(*ID, *columns))
+
+
 def modbus_features(spark, folder, keep_invalid=True):
     return X.all_features(modbus(spark, folder, keep_invalid), D.MODBUS)
 
@@ -284,13 +290,10 @@ SELECT capture_id, packet_number, packets_per_src, packets_per_dst, packets_per_
 FROM pk JOIN s USING (capture_id, src_ip) JOIN d USING (capture_id, dst_ip) JOIN u USING (capture_id, unit_id) JOIN q USING (capture_id)""",
 )
 def flow_counts(spark, folder):
-    rows = X.operation_flags(modbus(spark, folder), D.MODBUS)
-    rows = rows.select(
-        *ID, "ts", "src_ip", "dst_ip", "unit_id", "is_read_operation", "is_write_operation"
-    )
-    return X.flow_features(rows).drop(
-        "ts", "src_ip", "dst_ip", "unit_id", "is_read_operation", "is_write_operation"
-    )
+    rows = narrow(spark, folder, "ts", "src_ip", "dst_ip", "unit_id", "function_code")
+    counted = X.flow_features(X.operation_flags(rows, D.MODBUS))
+    counts = [c for c in counted.columns if c.startswith(("packets_per", "unique"))]
+    return counted.select(*ID, *counts)
 
 
 _CHAIN_COLUMNS = [
@@ -340,7 +343,8 @@ SELECT capture_id, packet_number, round(reads / greatest(writes, 1), 6) AS read_
 FROM pk JOIN q USING (capture_id)""",
 )
 def derived_features(spark, folder):
-    rows = X.operation_flags(modbus(spark, folder), D.MODBUS)
+    rows = narrow(spark, folder, "ts", "src_ip", "dst_ip", "unit_id", "function_code")
+    rows = X.operation_flags(rows, D.MODBUS)
     return tidy(X.derived_features(rows).select(*ID, "read_write_ratio", "traffic_intensity"))
 
 
@@ -357,7 +361,8 @@ def feature_matrix(spark, folder):
 
     from wiregrain.operators.windows import rolling_features
 
-    rows = rolling_features(modbus(spark, folder), ["timing", "size"])
+    rows = narrow(spark, folder, "ts", "packet_length", "is_valid")
+    rows = rolling_features(rows, ["timing", "size"])
     matrix = X.feature_matrix(rows, ["time_delta", "packet_length_std_10", "is_valid"])
     total = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
     return tidy(matrix.withColumn("vector_sum", total).drop("features"), 4)

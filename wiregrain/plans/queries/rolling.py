@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wiregrain.operators.decode import MODBUS, decode
+from wiregrain.operators.decode import MODBUS
 from wiregrain.operators.features import entropy_features, operation_flags
 from wiregrain.operators.spread import dense_index
 from wiregrain.operators.windows import inter_arrival, rolling_features
+from wiregrain.plans.queries.packets import ID, modbus, narrow
 from wiregrain.plans.queries.registry import ENTROPY, PACKETS, ROLLING, query, tidy
 from wiregrain.plans.tables import modbus_packets, table
+from wiregrain.session import settle
 
 _TIMING = [
     "time_delta",
@@ -83,10 +85,7 @@ SELECT capture_id, packet_number, round(m, 6) AS packet_length_mean_10, round(s,
 FROM roll""",
 )
 def size_rolling(spark, folder):
-    packets = decode(modbus_packets(spark, folder), MODBUS, keep_invalid=True)
-    rows = rolling_features(
-        packets.select("capture_id", "packet_number", "packet_length"), ["size"], hot_rows=500
-    )
+    rows = rolling_features(narrow(spark, folder, "packet_length"), ["size"], hot_rows=500)
     return tidy(rows.drop("packet_length"))
 
 
@@ -99,9 +98,8 @@ SELECT capture_id, packet_number, round(payload_entropy_mean_10, 6) AS payload_e
 FROM roll""",
 )
 def entropy_rolling(spark, folder):
-    packets = decode(modbus_packets(spark, folder), MODBUS, keep_invalid=True)
-    rows = entropy_features(packets, MODBUS).select("capture_id", "packet_number", "payload_entropy")
-    return tidy(rolling_features(rows, ["entropy"]).drop("payload_entropy"))
+    rows = entropy_features(modbus(spark, folder), MODBUS).select(*ID, "payload_entropy")
+    return tidy(rolling_features(settle(rows), ["entropy"]).drop("payload_entropy"))
 
 
 @query(
@@ -114,8 +112,7 @@ SELECT capture_id, packet_number, function_code, is_read_operation, is_write_ope
 FROM ch""",
 )
 def fc_stability(spark, folder):
-    packets = decode(modbus_packets(spark, folder), MODBUS, keep_invalid=True)
-    rows = operation_flags(packets.select("capture_id", "packet_number", "function_code"), MODBUS)
+    rows = operation_flags(narrow(spark, folder, "function_code"), MODBUS)
     return tidy(rolling_features(rows, ["function_code"]))
 
 

@@ -14,8 +14,9 @@ from wiregrain.operators.baseline import (
 from wiregrain.operators.decode import MODBUS
 from wiregrain.operators.features import entropy_features, operation_flags, validation_flags
 from wiregrain.operators.windows import rolling_features
-from wiregrain.plans.queries.packets import modbus
+from wiregrain.plans.queries.packets import modbus, narrow
 from wiregrain.plans.queries.registry import ENTROPY, PACKETS, ROLLING, query, tidy
+from wiregrain.session import settle
 
 
 def ruled_features(spark, folder):
@@ -26,7 +27,7 @@ def ruled_features(spark, folder):
         .transform(validation_flags, MODBUS)
         .transform(entropy_features, MODBUS)
     )
-    return rolling_features(rows, ["timing", "function_code"])
+    return rolling_features(settle(rows.drop("payload", "data")), ["timing", "function_code"])
 
 
 _FLAGS = (
@@ -101,7 +102,7 @@ SELECT capture_id, round(stddev_samp(d) / avg(d), 6) AS iat_cv, count(DISTINCT f
   stddev_samp(d) / avg(d) > 0.7 AS irregular_timing, count(DISTINCT function_code) > 10 AS code_scanning FROM g GROUP BY capture_id""",
 )
 def capture_indicators(spark, folder):
-    rows = rolling_features(modbus(spark, folder), ["timing"])
+    rows = rolling_features(narrow(spark, folder, "ts", "function_code"), ["timing"])
     return tidy(R.capture_indicators(rows))
 
 
@@ -127,7 +128,7 @@ b AS (SELECT unit_id, avg(packet_length) - 2 * stddev_samp(packet_length) AS lo,
 SELECT unit_id, count(*) AS packets, round(avg(CAST(packet_length BETWEEN lo AND hi AS INTEGER)), 6) AS coverage FROM p JOIN b USING (unit_id) GROUP BY unit_id""",
 )
 def coverage(spark, folder):
-    rows = modbus(spark, folder).withColumn("unit_id", F.col("unit_id") % 8)
+    rows = narrow(spark, folder, "unit_id", "packet_length").withColumn("unit_id", F.col("unit_id") % 8)
     return tidy(baseline_coverage(rows, build_baseline(rows, ["packet_length"])))
 
 

@@ -11,15 +11,16 @@ from wiregrain.operators import stats as S
 from wiregrain.operators.decode import MODBUS
 from wiregrain.operators.features import entropy_features, operation_flags
 from wiregrain.operators.windows import rolling_features
-from wiregrain.plans.queries.packets import modbus
+from wiregrain.plans.queries.packets import modbus, narrow
 from wiregrain.plans.queries.registry import ENTROPY, PACKETS, ROLLING, query, tidy
 from wiregrain.plans.tables import labelled_documents, table
+from wiregrain.session import settle
 
 
 def _timed(spark, folder):
     rows = operation_flags(modbus(spark, folder), MODBUS)
     rows = entropy_features(rows, MODBUS)
-    return rolling_features(rows, ["timing"])
+    return rolling_features(settle(rows.drop("payload", "data")), ["timing"])
 
 
 @query(
@@ -91,7 +92,7 @@ SELECT g.capture_id, round((max(us) - min(us)) / 1e6, 4) AS total_duration_secon
 FROM g JOIN t ON g.capture_id = t.capture_id AND t.r = 1 GROUP BY g.capture_id""",
 )
 def traffic_stats(spark, folder):
-    rows = operation_flags(modbus(spark, folder), MODBUS)
+    rows = operation_flags(narrow(spark, folder, "ts", "packet_length", "function_code"), MODBUS)
     return tidy(S.traffic_statistics(rolling_features(rows, ["timing"])), 4)
 
 
@@ -109,7 +110,8 @@ UNION ALL SELECT 'Protocol Usage', 6, 'top_code', CAST((SELECT function_code FRO
 UNION ALL SELECT 'Detailed Function Code Distribution', 1000 + function_code, 'code_' || function_code, printf('%d packets (%.1f%%)', n, p) FROM c""",
 )
 def analysis_report(spark, folder):
-    rows = operation_flags(modbus(spark, folder), MODBUS)
+    columns = ["ts", "packet_length", "function_code", "src_ip", "dst_ip", "unit_id"]
+    rows = operation_flags(narrow(spark, folder, *columns), MODBUS)
     report = S.analysis_report(rolling_features(rows, ["timing"]))
     # The remaining lines hold formatted averages, which `traffic_stats` compares as numbers.
     averages = ["packet_per_second", "avg_packet_size", "size_consistency", "read_write_ratio", "top_percentage"]
@@ -144,7 +146,7 @@ SELECT l_returnflag, l_linestatus, """
 )
 def group_fingerprint(spark, folder):
     rows = table(spark, folder, "lineitem")
-    return tidy(P.group_stats(rows, ["l_returnflag", "l_linestatus"], _LINE_FEATURES), 4)
+    return tidy(P.group_stats(rows, ["l_returnflag", "l_linestatus"], _LINE_FEATURES, stored=True), 4)
 
 
 @query(
@@ -250,7 +252,7 @@ WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""",
 )
 def iqr_outliers(spark, folder):
     events = table(spark, folder, "events").select("event_id", "event_type", "value")
-    return tidy(O.iqr_outliers(events, "value", ["event_type"]), 4)
+    return tidy(O.iqr_outliers(events, "value", ["event_type"], stored=True), 4)
 
 
 @query(
@@ -274,7 +276,7 @@ def exact_quantiles(spark, folder):
     from wiregrain.operators.quantiles import exact_quantiles as run
 
     orders = table(spark, folder, "orders")
-    return tidy(run(orders, ["o_totalprice"], [0.01, 0.5, 0.9, 1.0], ["o_orderpriority"]), 4)
+    return tidy(run(orders, ["o_totalprice"], [0.01, 0.5, 0.9, 1.0], ["o_orderpriority"], stored=True), 4)
 
 
 _LABELS_SQL = """lab AS (SELECT doc_id, 'cap' || (doc_id % 5) AS capture_id,

@@ -197,7 +197,8 @@ _PART_NAMES = [field.split()[0] for field in CAPTURE_PARTS.split(", ")]
 
 
 def _frames_of(part: pd.Series) -> Iterator[tuple]:
-    layout = _Layout(part["kind"], part["byte_order"], list(part["link_types"]), list(part["ticks"]))
+    links, ticks = ([int(x) for x in part[c]] for c in ("link_types", "ticks"))
+    layout = _Layout(part["kind"], part["byte_order"], links, ticks)
     with _open(part["path"]) as file:
         buf = file.read_at(int(part["size"]), int(part["begin"]))
     at, number = 0, int(part["first_packet"])

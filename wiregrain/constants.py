@@ -87,15 +87,21 @@ BASELINE_CRITERIA = [
     ("iat_cv", None, 0.5),
     ("iat_skewness", -1.0, 1.0),
     ("iat_max_over_mean", None, 5.0),
+    ("iat_jitter", None, 0.3),
     ("length_mean", 60.0, 300.0),
     ("length_std", 10.0, 50.0),
     ("length_min", 12.0, None),
     ("length_max", None, 260.0),
     ("length_cv", 0.1, 0.5),
     ("payload_entropy_mean", 3.5, 6.5),
+    ("header_entropy_mean", 2.0, 4.0),
+    ("full_packet_entropy_mean", 3.0, 6.0),
     ("function_codes", 2.0, 8.0),
     ("dominant_fc_share", 0.3, None),
     ("fc_change_share", None, 0.3),
+    ("fc_stability", 0.5, None),
+    ("fc_3_share", 0.4, 0.7),
+    ("fc_16_share", 0.1, 0.3),
     ("error_share", None, 0.02),
     ("unique_src_ips", 1.0, 5.0),
     ("unique_dst_ips", 1.0, 50.0),

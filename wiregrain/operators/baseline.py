@@ -57,8 +57,11 @@ def observed_metrics(features: DataFrame) -> DataFrame:
             "ts",
             "packet_length",
             "payload_entropy",
+            "header_entropy",
+            "full_packet_entropy",
             "function_code",
             "function_code_changes",
+            "function_code_stability_10",
             "is_error_response",
             "src_ip",
             "dst_ip",
@@ -72,7 +75,14 @@ def observed_metrics(features: DataFrame) -> DataFrame:
         F.max("packet_length").cast("double").alias("length_max"),
         (F.stddev_samp("packet_length") / F.nullif(F.avg("packet_length"), F.lit(0.0))).alias("length_cv"),
         F.avg("payload_entropy").alias("payload_entropy_mean"),
+        F.avg("header_entropy").alias("header_entropy_mean"),
+        F.avg("full_packet_entropy").alias("full_packet_entropy_mean"),
         F.avg("function_code_changes").alias("fc_change_share"),
+        F.avg("function_code_stability_10").alias("fc_stability"),
+        *[
+            (F.count_if(F.col("function_code") == c) / F.count(F.lit(1))).alias(f"fc_{c}_share")
+            for c in (3, 16)
+        ],
         F.avg("is_error_response").alias("error_share"),
     )
     sides = {"src_ip": "unique_src_ips", "dst_ip": "unique_dst_ips", "unit_id": "unique_unit_ids"}

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wiregrain.constants import FOREST, LABELS, SEED, TEST_SHARE
@@ -226,8 +226,6 @@ def feature_importance(
     model: PipelineModel, features: Sequence[str] = tuple(FEATURES), protocol: str | None = None
 ) -> DataFrame:
     """Features by importance with the running total; ``protocol`` keeps that protocol's own features."""
-    from pyspark.sql import SparkSession
-
     values = model.stages[-1].featureImportances.toArray()
     ranked = sorted(zip(features, map(float, values)), key=lambda fv: (-fv[1], fv[0]))
     rows, total = [], 0.0
@@ -240,6 +238,26 @@ def feature_importance(
     return table.where(F.col("feature").rlike(own[protocol])) if protocol else table
 
 
+def top_features(importance: DataFrame, k: int = 15) -> DataFrame:
+    return importance.orderBy("position").limit(k)
+
+
+def protocol_importance(
+    model: PipelineModel,
+    dataset: DataFrame,
+    features: Sequence[str] = tuple(FEATURES),
+    min_rows: int = 100,
+) -> DataFrame:
+    """Importance of each protocol's own features, for protocols with more than ``min_rows`` packets."""
+    counts = dataset.groupBy("protocol").agg(F.count(F.lit(1)).alias("packets"))
+    enough = counts.where(F.col("packets") > min_rows)
+    own = [
+        feature_importance(model, features, name).withColumn("protocol", F.lit(name))
+        for name in ("modbus", "dnp3")
+    ]
+    return own[0].unionByName(own[1]).join(enough, "protocol")
+
+
 def learning_curve(
     df: DataFrame,
     keys: Sequence[str],

@@ -74,7 +74,8 @@ def burst_rule() -> Column:
 def flag_anomalies(features: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """Rule columns, ``is_anomaly`` and the sorted reasons on every packet.
 
-    The baseline is that of the packets themselves unless a stored one is given.
+    The baseline is that of the packets themselves unless a stored one is given; then
+    ``features`` is read twice, so settle it first.
     It is settled, so its join is a broadcast whenever Spark sees that it is small.
     """
     baseline = settle(capture_baseline(features)) if baseline is None else baseline

@@ -141,6 +141,35 @@ def dense_index(
     )
 
 
+def running_max(
+    df: DataFrame,
+    column: str,
+    name: str,
+    *,
+    keys: Sequence[str],
+    order: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Largest ``column`` so far within the key, rows of equal order included."""
+    rows = sliced(df, keys, order, hot_rows)
+    upto = Window.unboundedPreceding
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(upto, -1)
+    tops = rows.groupBy(*keys, SLICE).agg(F.max(column).alias("__top"))
+    tops = tops.withColumn("__top", F.max("__top").over(before)).where(F.col(SLICE) > 0)
+    tops = tops.select(
+        *[F.col(k).alias(f"__hot_{k}") for k in keys], F.col(SLICE).alias("__hot_slice"), "__top"
+    )
+    inside = Window.partitionBy(*keys, SLICE).orderBy(order).rangeBetween(upto, Window.currentRow)
+    same = _same(keys) & (F.col(SLICE) == F.col("__hot_slice"))
+    # Only hot keys have slices past the first: at most about rows / hot_rows of them.
+    return (
+        rows.withColumn(name, F.max(column).over(inside))
+        .join(F.broadcast(tops), same, "left")
+        .withColumn(name, F.greatest(name, "__top"))
+        .drop("__top", "__hot_slice", SLICE, *[f"__hot_{k}" for k in keys])
+    )
+
+
 def running_sum(
     df: DataFrame, sums: dict[str, str], *, keys: Sequence[str], bucket: str, order: Sequence[Column]
 ) -> DataFrame:

@@ -12,11 +12,11 @@ from wiregrain.session import settle
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on keys that are never NULL; without keys both sides are a single row."""
+    """Left join on keys that are never NULL. Without keys ``right`` is one row, read as a scalar subquery."""
     if keys:
         return left.join(right, list(keys), "left")
-    one = F.lit(1)
-    return left.withColumn("__one", one).join(right.withColumn("__one", one), "__one", "left").drop("__one")
+    row = right.select(F.struct(*right.columns)).scalar()
+    return left.withColumns({c: row[c] for c in right.columns})
 
 
 def share_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from wiregrain.operators.spread import HOT_ROWS, ordered, running_max
+from wiregrain.session import settle
+
 
 _SIDES = {
     "src_ip": "unique_src_ips",
@@ -87,17 +90,54 @@ def tumbling_metrics(
     return window_metrics(df, width, None, keys, late)
 
 
-def sessions(
-    df: DataFrame, keys: Sequence[str], gap: str = "30 minutes", late: str | None = None
+def with_session(
+    df: DataFrame,
+    keys: Sequence[str],
+    gap: str = "30 minutes",
+    order: str = "packet_number",
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Sessions split by a silent gap: packets, duration, bytes.
+    """Batch: ``session_start`` of the session each packet belongs to.
 
-    ``session_window`` merges partial sessions on the map side, so a hot key
-    reaches the reducer as sessions, not as rows.
+    ``session_window`` sorts every key within one task. Here starts are found by a
+    one-row look back and carried on as a running maximum, both over slices of hot keys.
     """
-    if late and df.isStreaming:
-        df = df.withWatermark("ts", late)
-    out = df.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(
+    rows = df.withColumn("__us", F.unix_micros("ts"))
+
+    def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        ends = F.timestamp_micros(F.lag("__us").over(w)) + F.expr(f"interval {gap}")
+        fresh = F.coalesce(F.timestamp_micros("__us") >= ends, F.lit(True))
+        return rows.withColumn("__start", F.when(fresh, F.col("__us")))
+
+    marked = ordered(
+        rows, compute, keys=keys, order="__us", ties=[order], depth=1, hot_rows=hot_rows
+    )
+    # The running maximum reads its input three times.
+    marked = settle(marked)
+    done = running_max(
+        marked, "__start", "__at", keys=keys, order="__us", hot_rows=hot_rows or HOT_ROWS
+    )
+    return done.withColumn("session_start", F.timestamp_micros("__at")).drop("__us", "__start", "__at")
+
+
+def sessions(
+    df: DataFrame,
+    keys: Sequence[str],
+    gap: str = "30 minutes",
+    late: str | None = None,
+    order: str = "packet_number",
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Sessions split by a silent gap: packets, duration, bytes; streams use Spark's session state."""
+    if df.isStreaming:
+        rows = df.withWatermark("ts", late) if late else df
+        span = F.session_window("ts", gap)
+        grouped, start = rows.groupBy(*keys, span.alias("w")), F.col("w.start")
+    else:
+        rows = df.select(*keys, order, "ts", "packet_length")
+        rows = with_session(rows, keys, gap, order, hot_rows)
+        grouped, start = rows.groupBy(*keys, "session_start"), F.col("session_start")
+    out = grouped.agg(
         F.count(F.lit(1)).alias("packets"),
         F.sum("packet_length").alias("bytes"),
         F.min("ts").alias("first_ts"),
@@ -105,17 +145,25 @@ def sessions(
     )
     return out.select(
         *keys,
-        F.col("w.start").alias("session_start"),
+        start.alias("session_start"),
         "packets",
         "bytes",
         ((F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1e6).alias("duration_seconds"),
     )
 
 
-def session_codes(df: DataFrame, keys: Sequence[str], gap: str = "30 minutes") -> DataFrame:
-    """Sessions with their dominant function code (batch); a session holds at most 256 distinct codes."""
-    counts = df.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(
-        F.count(F.lit(1)).alias("packets"),
-        F.mode("function_code", deterministic=True).alias("dominant_fc"),
+def session_codes(
+    df: DataFrame,
+    keys: Sequence[str],
+    gap: str = "30 minutes",
+    order: str = "packet_number",
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Sessions with their dominant function code, smallest on ties (batch)."""
+    rows = df.select(*keys, order, "ts", "function_code")
+    rows = with_session(rows, keys, gap, order, hot_rows)
+    counts = rows.groupBy(*keys, "session_start", "function_code").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max(F.struct("n", (-F.col("function_code")).alias("neg")))
+    return counts.groupBy(*keys, "session_start").agg(
+        F.sum("n").alias("packets"), (-best["neg"]).alias("dominant_fc")
     )
-    return counts.select(*keys, F.col("w.start").alias("session_start"), "packets", "dominant_fc")

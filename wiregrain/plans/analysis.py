@@ -46,9 +46,10 @@ def extract_features(packets: DataFrame, protocol: str, keep_invalid: bool = Fal
 def analyse(packets: DataFrame, protocol: str) -> Analysis:
     """Features, flags, summary and fingerprint of every capture in one set of jobs.
 
-    The flagged features feed five results, so they are settled once.
+    The features feed seven results, so they are settled once; the flags on top of them
+    cost a broadcast of the small baseline.
     """
-    flagged = settle(flag_anomalies(extract_features(packets, protocol)))
+    flagged = flag_anomalies(settle(extract_features(packets, protocol)))
     groups = ["capture_id", *GROUP_COLUMNS]
     measured = ["packet_length", "time_delta", "payload_entropy", "function_code"]
     return Analysis(
@@ -56,7 +57,7 @@ def analyse(packets: DataFrame, protocol: str) -> Analysis:
         summary=summary_report(flagged),
         audit=capture_audit(packets, PROTOCOLS[protocol]),
         anomalies=anomaly_report(flagged),
-        fingerprint=group_stats(flagged, groups, measured, stored=True),
+        fingerprint=group_stats(flagged, groups, measured),
         distributions=frequency_distributions(flagged, groups, measured),
     )
 

@@ -145,7 +145,8 @@ n AS (SELECT *, sum(fresh) OVER (PARTITION BY src_ip ORDER BY us, packet_number
 FROM n GROUP BY src_ip, sid""",
 )
 def sessions(spark, folder):
-    return tidy(T.sessions(modbus(spark, folder), ["src_ip"], "2 hours"), 4)
+    rows = narrow(spark, folder, "ts", "src_ip", "packet_length")
+    return tidy(T.sessions(rows, ["src_ip"], "2 hours", hot_rows=100), 4)
 
 
 @query(
@@ -154,7 +155,8 @@ def sessions(spark, folder):
 SELECT src_ip, min(us) AS session_start, CAST(sum(n) AS BIGINT) AS packets, arg_min(function_code, -n * 1000 + function_code) AS dominant_fc FROM c GROUP BY src_ip, sid""",
 )
 def session_codes(spark, folder):
-    return tidy(T.session_codes(modbus(spark, folder), ["src_ip"], "2 hours"))
+    rows = narrow(spark, folder, "ts", "src_ip", "function_code")
+    return tidy(T.session_codes(rows, ["src_ip"], "2 hours"))
 
 
 @query("fft_periodicity")

@@ -52,7 +52,7 @@ f AS (SELECT roll.*, fcs,
     f"WITH {_FLAGS} SELECT capture_id, packet_number, statistical_anomaly, protocol_violation, pattern_anomaly, statistical_anomaly OR protocol_violation OR pattern_anomaly AS is_anomaly FROM f",
 )
 def rule_flags(spark, folder):
-    return R.flag_anomalies(ruled_features(spark, folder)).select(
+    return R.flag_anomalies(settle(ruled_features(spark, folder))).select(
         "capture_id",
         "packet_number",
         "statistical_anomaly",
@@ -75,7 +75,7 @@ SELECT capture_id, packet_number, us AS ts, src_ip, dst_ip, function_code, funct
 FROM f WHERE statistical_anomaly OR protocol_violation OR pattern_anomaly""",
 )
 def anomaly_report(spark, folder):
-    report = R.detect_anomalies(ruled_features(spark, folder))
+    report = R.detect_anomalies(settle(ruled_features(spark, folder)))
     return tidy(report.withColumn("anomaly_reasons", F.array_join("anomaly_reasons", "; ")), 4)
 
 
@@ -144,15 +144,18 @@ def codes_in_use(spark, folder):
     "baseline_compliance",
     f"""WITH {PACKETS}{ENTROPY}{ROLLING},
 o AS (SELECT capture_id, avg(time_delta) * 1000 AS iat_mean_ms, stddev_samp(time_delta) * 1000 AS iat_std_ms, stddev_samp(time_delta) / avg(time_delta) AS iat_cv,
-    max(time_delta) / avg(time_delta) AS iat_max_over_mean, avg(packet_length) AS length_mean, stddev_samp(packet_length) AS length_std,
+    max(time_delta) / avg(time_delta) AS iat_max_over_mean, stddev_pop(time_delta) / avg(time_delta) AS iat_jitter,
+    avg(header_entropy) AS header_entropy_mean, avg(full_packet_entropy) AS full_packet_entropy_mean, avg(function_code_stability_10) AS fc_stability,
+    count(*) FILTER (function_code = 3) / count(*) AS fc_3_share, count(*) FILTER (function_code = 16) / count(*) AS fc_16_share, avg(packet_length) AS length_mean, stddev_samp(packet_length) AS length_std,
     min(packet_length) AS length_min, max(packet_length) AS length_max, stddev_samp(packet_length) / avg(packet_length) AS length_cv,
     avg(payload_entropy) AS payload_entropy_mean, count(DISTINCT function_code) AS function_codes, avg(function_code_changes) AS fc_change_share,
     avg(is_error_response) AS error_share, count(DISTINCT src_ip) AS unique_src_ips, count(DISTINCT dst_ip) AS unique_dst_ips, count(DISTINCT unit_id) AS unique_unit_ids
   FROM roll GROUP BY capture_id),
-c AS (SELECT * FROM (VALUES ('iat_mean_ms', 10.0, 1000.0), ('iat_std_ms', 5.0, 500.0), ('iat_cv', NULL, 0.5), ('iat_max_over_mean', NULL, 5.0), ('length_mean', 60.0, 300.0),
+c AS (SELECT * FROM (VALUES ('iat_mean_ms', 10.0, 1000.0), ('iat_std_ms', 5.0, 500.0), ('iat_cv', NULL, 0.5), ('iat_max_over_mean', NULL, 5.0), ('iat_jitter', NULL, 0.3), ('header_entropy_mean', 2.0, 4.0), ('full_packet_entropy_mean', 3.0, 6.0), ('fc_stability', 0.5, NULL), ('fc_3_share', 0.4, 0.7), ('fc_16_share', 0.1, 0.3), ('length_mean', 60.0, 300.0),
   ('length_std', 10.0, 50.0), ('length_min', 12.0, NULL), ('length_max', NULL, 260.0), ('length_cv', 0.1, 0.5), ('payload_entropy_mean', 3.5, 6.5), ('function_codes', 2.0, 8.0),
   ('fc_change_share', NULL, 0.3), ('error_share', NULL, 0.02), ('unique_src_ips', 1.0, 5.0), ('unique_dst_ips', 1.0, 50.0), ('unique_unit_ids', 1.0, 50.0)) t(criterion, low, high)),
-v AS (SELECT capture_id, criterion, CASE criterion WHEN 'iat_mean_ms' THEN iat_mean_ms WHEN 'iat_std_ms' THEN iat_std_ms WHEN 'iat_cv' THEN iat_cv WHEN 'iat_max_over_mean' THEN iat_max_over_mean
+v AS (SELECT capture_id, criterion, CASE criterion WHEN 'iat_mean_ms' THEN iat_mean_ms WHEN 'iat_std_ms' THEN iat_std_ms WHEN 'iat_cv' THEN iat_cv WHEN 'iat_max_over_mean' THEN iat_max_over_mean WHEN 'iat_jitter' THEN iat_jitter WHEN 'header_entropy_mean' THEN header_entropy_mean
+  WHEN 'full_packet_entropy_mean' THEN full_packet_entropy_mean WHEN 'fc_stability' THEN fc_stability WHEN 'fc_3_share' THEN fc_3_share WHEN 'fc_16_share' THEN fc_16_share
   WHEN 'length_mean' THEN length_mean WHEN 'length_std' THEN length_std WHEN 'length_min' THEN length_min WHEN 'length_max' THEN length_max WHEN 'length_cv' THEN length_cv
   WHEN 'payload_entropy_mean' THEN payload_entropy_mean WHEN 'function_codes' THEN function_codes WHEN 'fc_change_share' THEN fc_change_share WHEN 'error_share' THEN error_share
   WHEN 'unique_src_ips' THEN unique_src_ips WHEN 'unique_dst_ips' THEN unique_dst_ips ELSE unique_unit_ids END AS observed, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM o, c)

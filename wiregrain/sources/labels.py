@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ def read_labels(spark: SparkSession, root: str, captures: DataFrame | None = Non
         .groupBy("file")
         .agg(F.count(F.lit(1)).alias("captures"), F.first("name").alias("name"))
     )
-    json = F.concat(F.regexp_extract("value", r"(\{[^{}]*)$", 1), F.lit("}"))
-    label = F.from_json(json, _ONE_LABEL)
+    piece = F.concat(F.regexp_extract("value", r"(\{[^{}]*)$", 1), F.lit("}"))
+    label = F.from_json(piece, _ONE_LABEL)
     single = (
         pieces.join(owners, "file", "left")
         .where(F.coalesce(F.col("captures"), F.lit(0)) <= 1)
@@ -66,6 +68,23 @@ def read_labels(spark: SparkSession, root: str, captures: DataFrame | None = Non
     )
 
 
+class LabelRows:
+    """SQL table function over one label document in either shape."""
+
+    def eval(self, document: str):
+        parsed = json.loads(document)
+        bare = "packet_labels" in parsed
+        for name, body in ({None: parsed} if bare else parsed).items():
+            for entry in body["packet_labels"]:
+                yield name, entry["packet_number"], entry["label"]
+
+
+def register(spark: SparkSession) -> None:
+    """``SELECT * FROM explode_labels(document)`` for SQL users; documents are bounded by their writer."""
+    table_function = F.udtf(LabelRows, returnType="capture string, packet_number long, label string")
+    spark.udtf.register("explode_labels", table_function)
+
+
 def first_captures(captures: DataFrame) -> DataFrame:
     """Name of the first capture of every directory."""
     parts = captures.select(

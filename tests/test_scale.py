@@ -12,7 +12,7 @@ from wiregrain.operators import flows as L
 from wiregrain.operators.features import fill_missing
 from wiregrain.operators.fingerprint import frequency_distributions
 from wiregrain.operators.quantiles import exact_quantiles
-from wiregrain.operators.spread import dense_index, hot_keys, ordered, sliced
+from wiregrain.operators.spread import dense_index, find_hot, ordered, sliced
 from wiregrain.operators.windows import rolling_features
 
 
@@ -48,10 +48,14 @@ def test_sliced_windows_equal_plain_ones(skewed):
 
 
 def test_hot_capture_is_cut(skewed):
-    hot = hot_keys(skewed, ["capture_id"], "packet_number", 100)
-    assert [r["__hot_capture_id"] for r in hot.collect()] == ["hot"]
+    assert find_hot(skewed, ["capture_id"], "packet_number", 5000) is None
+    hot = find_hot(skewed, ["capture_id"], "packet_number", 100)
+    assert [r["__hot_capture_id"] for r in hot.first.collect()] == ["hot"]
+    # Half of the hot capture lies in the first fiftieth of its range: those slices are cut again.
+    assert hot.second.count() > 0
     rows = sliced(skewed, ["capture_id"], "packet_number", 100)
-    assert rows.where("capture_id = 'hot'").select("__slice").distinct().count() > 4
+    sizes = rows.where("capture_id = 'hot'").groupBy("__slice").count()
+    assert sizes.count() > 9 and sizes.agg(F.max("count")).first()[0] <= 150
     assert rows.where("capture_id <> 'hot' AND __slice > 0").count() == 0
 
 

@@ -170,7 +170,7 @@ def match_detections(
     probes = wanted.select(*group, "event_id", F.inline(ends)).withColumn(
         "packets", F.lit(0).cast("long")
     )
-    points = seen.unionByName(probes).withColumn("cell", F.floor(F.col("us") / cell))
+    points = settle(seen.unionByName(probes).withColumn("cell", F.floor(F.col("us") / cell)))
     # Packets sort before probes of the same microsecond.
     order = [F.col("us"), F.col("sign") != 0]
     counted = running_sum(points, {"packets": "upto"}, keys=group, bucket="cell", order=order)

@@ -13,7 +13,7 @@ from wiregrain.constants import MODBUS_UNIT_RANGE
 from wiregrain.functions.entropy import classify_entropy, is_entropy_normal, packet_entropy
 from wiregrain.functions.text import epoch_seconds
 from wiregrain.operators.decode import Protocol
-from wiregrain.operators.spread import HOT_ROWS, SLICE, sliced
+from wiregrain.operators.spread import HOT_ROWS, SLICE, find_hot, with_slice
 from wiregrain.operators.windows import rolling_features
 from wiregrain.session import settle
 
@@ -270,10 +270,11 @@ def _forward_fill(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str], order: str, hot_rows: int | None
 ) -> DataFrame:
     upto = Window.unboundedPreceding
-    if hot_rows is None:
+    hot = None if hot_rows is None else find_hot(df, keys, order, hot_rows)
+    if hot is None:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(upto, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
-    rows = sliced(df, keys, order, hot_rows)
+    rows = with_slice(df, hot)
     # The newest known value of every slice, one row each, filled across slices.
     ends = rows.groupBy(*keys, SLICE).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__in_{c}") for c in columns]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wiregrain.constants import LABELS
 from wiregrain.operators.spread import running_sum
+from wiregrain.session import settle
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -154,8 +155,9 @@ def roc_points(
     pairs = ", ".join(f"'{c}', cast(`{prefix}{c}` as double)" for c in labels)
     long = df.select(F.col(label).alias("__y"), F.expr(f"stack({len(labels)}, {pairs}) as (class, score)"))
     hit = (F.col("__y") == F.col("class")).cast("long")
-    steps = long.groupBy("class", "score").agg(
-        F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")
+    # Read three times; scoring behind it runs once.
+    steps = settle(
+        long.groupBy("class", "score").agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     )
     cell = F.floor((1 - F.col("score")) * _SCORE_CELLS).cast("int")
     ran = running_sum(

@@ -4,35 +4,67 @@ A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here a key
 with more than ``hot_rows`` rows is cut into slices of its (integer) order
 column, every slice is a window partition of its own, and the few rows a slice
 needs from before its start travel along as marked extra rows that are dropped
-afterwards. Keys below the limit are one slice, so they cost nothing extra.
+afterwards. Without a hot key the plain window runs.
 
-The table of hot keys has at most ``total rows / hot_rows`` rows, which is what
-makes broadcasting it safe.
+Slices are cut twice: first evenly over the key's range, then the slices that are
+still too large (a flood within a quiet capture) evenly over their own range. The tables
+of hot keys and of large slices have at most ``total rows / hot_rows`` rows each, which
+is what makes broadcasting them safe.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from wiregrain.session import settle
+
 HOT_ROWS = 2_000_000
 
 SLICE = "__slice"
 _CARRIED = "__carried"
+# Slice number = first cut * _CUTS + second cut.
+_CUTS = 1 << 21
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Where to cut the keys above the limit."""
+
+    keys: list[str]
+    order: str
+    first: DataFrame
+    second: DataFrame | None
+
 
+def find_hot(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> HotKeys | None:
+    """Cuts of all keys with more than ``hot_rows`` rows, None when there is no such key.
 
-def hot_keys(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> DataFrame:
-    """Keys above the limit with the start and slice width of their order range."""
+    Reads only the key and order columns; counts are combined before any shuffle.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, order)
+    first = settle(_cuts(rows, keys, order, hot_rows, "1"))
+    if first.isEmpty():
+        return None
+    placed = _cut(rows, keys, order, first, "1", "inner")
+    second = settle(_cuts(placed, [*keys, "__cut1"], order, hot_rows, "2"))
+    return HotKeys(keys, order, first, None if second.isEmpty() else second)
+
+
+def _cuts(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int, level: str) -> DataFrame:
+    """Start and slice width of the groups above the limit."""
     spans = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")
     )
     width = F.ceil((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / hot_rows))
     return spans.where(F.col("n") > hot_rows).select(
         *[F.col(k).alias(f"__hot_{k}") for k in keys],
-        F.col("lo").alias("__lo"),
-        width.cast("long").alias("__width"),
+        F.col("lo").alias(f"__lo{level}"),
+        width.cast("long").alias(f"__width{level}"),
     )
 
 
@@ -43,18 +75,31 @@ def _same(keys: Sequence[str]) -> Column:
     return cond
 
 
-def _with_slice(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame, how: str) -> DataFrame:
-    place = F.expr(f"cast((`{order}` - __lo) div __width as long)")
+def _cut(
+    df: DataFrame, keys: Sequence[str], order: str, cuts: DataFrame, level: str, how: str
+) -> DataFrame:
+    place = F.expr(f"cast((`{order}` - __lo{level}) div __width{level} as long)")
     return (
-        df.join(F.broadcast(hot), _same(keys), how)
-        .withColumn(SLICE, F.coalesce(place, F.lit(0).cast("long")))
-        .drop("__lo", "__width", *[f"__hot_{k}" for k in keys])
+        df.join(F.broadcast(cuts), _same(keys), how)
+        .withColumn(f"__cut{level}", F.coalesce(place, F.lit(0).cast("long")))
+        .drop(f"__lo{level}", f"__width{level}", *[f"__hot_{k}" for k in keys])
     )
 
 
+def with_slice(df: DataFrame, hot: HotKeys | None, only_hot: bool = False) -> DataFrame:
+    """Add the slice number: 0 for ordinary keys, rising with the order column for hot ones."""
+    if hot is None:
+        return df.withColumn(SLICE, F.lit(0).cast("long"))
+    out = _cut(df, hot.keys, hot.order, hot.first, "1", "inner" if only_hot else "left")
+    number = F.col("__cut1") * _CUTS
+    if hot.second is not None:
+        out = _cut(out, [*hot.keys, "__cut1"], hot.order, hot.second, "2", "left")
+        number = number + F.col("__cut2")
+    return out.withColumn(SLICE, number).drop("__cut1", "__cut2")
+
+
 def sliced(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the slice number: 0 for ordinary keys, 0..k for hot ones."""
-    return _with_slice(df, keys, order, hot_keys(df, keys, order, hot_rows), "left")
+    return with_slice(df, find_hot(df, keys, order, hot_rows))
 
 
 def ordered(
@@ -77,17 +122,17 @@ def ordered(
     key counts, for the carried rows of hot keys and for the result, so settle a costly one first.
     """
     sort = [F.col(c) for c in (order, *ties)]
-    if hot_rows is None:
+    hot = None if hot_rows is None else find_hot(df, keys, order, hot_rows)
+    if hot is None:
         return compute(df, Window.partitionBy(*keys).orderBy(*sort))
 
-    hot = hot_keys(df, keys, order, hot_rows)
-    rows = _with_slice(df, keys, order, hot, "left").withColumn(_CARRIED, F.lit(False))
+    rows = with_slice(df, hot).withColumn(_CARRIED, F.lit(False))
 
     fields = list(dict.fromkeys([order, *ties, *carry]))
     fields = [c for c in fields if c not in keys]
     tail_order = Window.partitionBy(*keys, SLICE).orderBy(*[c.desc() for c in sort])
     tails = (
-        _with_slice(df.select(*keys, *fields), keys, order, hot, "inner")
+        with_slice(df.select(*keys, *fields), hot, only_hot=True)
         .withColumn("__back", F.row_number().over(tail_order))
         .where(F.col("__back") <= depth)
         .groupBy(*keys, SLICE)
@@ -118,7 +163,11 @@ def dense_index(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """1-based position of each row within its key: slice counts first, then a local number."""
-    rows = sliced(df, keys, order, hot_rows)
+    hot = find_hot(df, keys, order, hot_rows)
+    if hot is None:
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties))
+        return df.withColumn(name, number.cast("long"))
+    rows = with_slice(df, hot)
     counts = rows.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     # Only slices after the first need an offset, and only hot keys have those.
@@ -151,8 +200,12 @@ def running_max(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Largest ``column`` so far within the key, rows of equal order included."""
-    rows = sliced(df, keys, order, hot_rows)
     upto = Window.unboundedPreceding
+    hot = find_hot(df, keys, order, hot_rows)
+    if hot is None:
+        whole = Window.partitionBy(*keys).orderBy(order).rangeBetween(upto, Window.currentRow)
+        return df.withColumn(name, F.max(column).over(whole))
+    rows = with_slice(df, hot)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(upto, -1)
     tops = rows.groupBy(*keys, SLICE).agg(F.max(column).alias("__top"))
     tops = tops.withColumn("__top", F.max("__top").over(before)).where(F.col(SLICE) > 0)

@@ -56,44 +56,22 @@ PROTOCOLS = {p.name: p for p in (MODBUS, DNP3)}
 
 # --- frames to packets -------------------------------------------------------
 
-_ETHERNET, _RAW_IP, _COOKED, _LOOPBACK = 1, 101, 113, 0
-_VLAN_TAGS = [0x8100, 0x88A8]
-
-
-def _ip_start(link: Column, frame: Column) -> Column:
-    """Offset of the IPv4 header, NULL when the frame does not carry one."""
-    kind = be16(frame, 12)
-    inner = be16(frame, 16)
-    return (
-        F.when(
-            link == _ETHERNET,
-            F.when(kind == 0x0800, 14).when(kind.isin(_VLAN_TAGS) & (inner == 0x0800), 18),
-        )
-        .when(link == _COOKED, F.when(be16(frame, 14) == 0x0800, 16))
-        .when(link == _LOOPBACK, F.when((u8(frame, 0) == 2) | (u8(frame, 3) == 2), 4))
-        .when(link == _RAW_IP, 0)
-    )
-
-
 def _address(frame: Column, offset: Column) -> Column:
     return F.concat_ws(".", *[u8(frame, offset + i).cast("string") for i in range(4)])
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
-    """Ethernet/IPv4/TCP/UDP layers of ``FRAMES`` rows; every frame gives one row.
+    """IPv4, TCP and UDP layers of ``FRAMES`` rows; every frame gives one row.
 
     Ports are 0 and addresses NULL where a layer is missing. The payload is cut
     at the IP total length, so link-layer padding never counts as data.
     """
     f = F.col("frame")
-    ip = frames.withColumn("__ip", _ip_start(F.col("link_type"), f))
-    is_ip = (F.shiftright(u8(f, F.col("__ip")), 4) == 4) & (F.length(f) >= F.col("__ip") + 20)
-    ip = ip.withColumn("__ip", F.when(is_ip, F.col("__ip")))
-    start = F.col("__ip")
+    start = F.nullif(F.col("ip_at"), F.lit(-1))
     # A fragment after the first carries no transport header.
     first = (be16(f, start + 6).bitwiseAND(F.lit(0x1FFF))) == 0
     ip = (
-        ip.withColumn("__l4", start + u8(f, start).bitwiseAND(F.lit(15)) * 4)
+        frames.withColumn("__l4", start + u8(f, start).bitwiseAND(F.lit(15)) * 4)
         .withColumn("__proto", F.when(first, u8(f, start + 9)))
         .withColumn("ip_len", F.coalesce(be16(f, start + 2), F.lit(0)))
     )

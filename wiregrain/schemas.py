@@ -24,7 +24,7 @@ PACKETS = T.StructType(
 )
 
 FRAMES = (
-    "capture_id string, packet_number long, ts_us long, link_type int, frame_len int, frame binary"
+    "capture_id string, packet_number long, ts_us long, frame_len int, ip_at int, frame binary"
 )
 CAPTURE_PARTS = (
     "capture_id string, path string, first_packet long, packets long, begin long, size long, "

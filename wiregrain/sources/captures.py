@@ -4,8 +4,8 @@ Two Spark steps. The first walks only the record headers of each file, in a
 stream of small reads, and cuts the file into parts of about ``PART_BYTES`` with the number of
 their first packet. The second reads the parts in parallel, wherever they land
 in the cluster. So one huge capture is no more than many parts, no task holds a file,
-and packet numbers are exact. Python only finds record borders; all protocol layers
-are decoded by column expressions.
+and packet numbers are exact. Python only finds record borders and the start of the IP
+header; everything from there on is decoded by column expressions.
 """
 
 from __future__ import annotations
@@ -208,10 +208,35 @@ def _frames_of(part: pd.Series) -> Iterator[tuple]:
             at = end
             if block in (_NG_PACKET, _NG_SIMPLE):
                 break
-        yield part["capture_id"], number, us, layout.links[face], size, buf[start : start + size]
+        frame = buf[start : start + size]
+        yield part["capture_id"], number, us, size, _ip_at(layout.links[face], frame), frame
         number += 1
 
 
+# Link types, Ethernet type codes and the IPv4 family number of loopback frames.
+_ETHERNET, _COOKED, _LOOPBACK, _RAW = 1, 113, 0, (12, 101, 228)
+_IPV4, _VLAN = b"\x08\x00", (b"\x81\x00", b"\x88\xa8")
+_FAMILY = 2
+
+
+def _ip_at(link: int, frame: bytes) -> int:
+    """Offset of the IPv4 header behind the link layer, -1 when there is none."""
+    at = -1
+    if link == _ETHERNET:
+        kind = 12
+        while frame[kind : kind + 2] in _VLAN:
+            kind += 4
+        at = kind + 2 if frame[kind : kind + 2] == _IPV4 else -1
+    elif link == _COOKED:
+        at = 16 if frame[14:16] == _IPV4 else -1
+    elif link == _LOOPBACK:
+        at = 4 if len(frame) > 4 and _FAMILY in (frame[0], frame[3]) else -1
+    elif link in _RAW:
+        at = 0
+    whole = at >= 0 and len(frame) >= at + 20 and frame[at] >> 4 == 4
+    return at if whole else -1
+
+
 def read_frames(parts: DataFrame) -> DataFrame:
     """Raw frames of the parts. Parts are spread by hash, so a large capture uses the whole cluster."""
 

@@ -47,9 +47,10 @@ def find_hot(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> H
     """
     keys = list(keys)
     rows = df.select(*keys, order)
-    first = settle(_cuts(rows, keys, order, hot_rows, "1"))
+    first = _cuts(rows, keys, order, hot_rows, "1")
     if first.isEmpty():
         return None
+    first = settle(first)
     placed = _cut(rows, keys, order, first, "1", "inner")
     second = settle(_cuts(placed, [*keys, "__cut1"], order, hot_rows, "2"))
     return HotKeys(keys, order, first, None if second.isEmpty() else second)

@@ -107,7 +107,7 @@ FROM g GROUP BY attacker_profile_id HAVING count(*) >= 2""",
 )
 def temporal_pattern(spark, folder):
     events = attack_events(spark, folder).select("attacker_profile_id", "event_id", "ts")
-    return tidy(A.temporal_pattern(events, ["attacker_profile_id"], ["event_id"], hot_rows=700), 4)
+    return tidy(A.temporal_pattern(events, ["attacker_profile_id"], ["event_id"]), 4)
 
 
 @query(

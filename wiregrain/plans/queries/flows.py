@@ -146,7 +146,7 @@ FROM n GROUP BY src_ip, sid""",
 )
 def sessions(spark, folder):
     rows = narrow(spark, folder, "ts", "src_ip", "packet_length")
-    return tidy(T.sessions(rows, ["src_ip"], "2 hours", hot_rows=100), 4)
+    return tidy(T.sessions(rows, ["src_ip"], "2 hours"), 4)
 
 
 @query(
@@ -156,7 +156,7 @@ SELECT src_ip, min(us) AS session_start, CAST(sum(n) AS BIGINT) AS packets, arg_
 )
 def session_codes(spark, folder):
     rows = narrow(spark, folder, "ts", "src_ip", "function_code")
-    return tidy(T.session_codes(rows, ["src_ip"], "2 hours"))
+    return tidy(T.session_codes(rows, ["src_ip"], "2 hours", hot_rows=100))
 
 
 @query("fft_periodicity")

@@ -151,9 +151,8 @@ SELECT capture_id, start // (size // 2) AS window_number, count(*) AS packets, r
 FROM w WHERE i >= start AND i < start + size GROUP BY capture_id, start, size""",
 )
 def count_windows(spark, folder):
-    rows = dense_index(
-        scored_events(spark, folder), "position", keys=["capture_id"], order="packet_number", hot_rows=150
-    )
+    scored = scored_events(spark, folder)
+    rows = dense_index(scored, "position", keys=["capture_id"], order="packet_number")
     out = tidy(I.count_windows(rows, position="position"))
     return out.withColumn("center_time", F.round("center_time", 3))
 

@@ -85,7 +85,7 @@ SELECT capture_id, packet_number, round(m, 6) AS packet_length_mean_10, round(s,
 FROM roll""",
 )
 def size_rolling(spark, folder):
-    rows = rolling_features(narrow(spark, folder, "packet_length"), ["size"], hot_rows=500)
+    rows = rolling_features(narrow(spark, folder, "packet_length"), ["size"])
     return tidy(rows.drop("packet_length"))
 
 

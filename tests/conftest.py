@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from wiregrain.session import build_session  # noqa: E402
+from wiregrain.session import build_session, release_all  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -24,4 +24,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
+    release_all()
     session.stop()

@@ -1,9 +1,13 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings, the shared scratch folder, and the package on the executors."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import io
+import os
 import uuid
+import zipfile
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,22 +26,58 @@ def build_session(master: str | None = None, app: str = "wiregrain", **conf: str
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the one ``spark.checkpoint.dir`` names.
-
-    Only a local-mode session without that setting gets a temporary folder of
-    its own; a cluster session without it is an error rather than a folder on one machine.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or else a folder in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wiregrain-"))
-    return spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
+
+def _path(spark: SparkSession, path: str):
+    """A path of the shared folder and its file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+class Scratch:
+    """Owner of intermediate tables in the shared folder; ``release`` deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def settle(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        """Write an intermediate result and read it back; see ``settle``."""
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        writer = df.write.mode("error")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """Delete the tables; results that were not written yet can no longer be read."""
+        at, files = _path(self.spark, self.path)
+        files.delete(at, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
+_OWNERS: dict[str, Scratch] = {}
+
+
+def _owner(spark: SparkSession) -> Scratch:
+    """The session-wide owner, released at the latest when Python ends."""
+    return _OWNERS.setdefault(spark.sparkContext.applicationId, Scratch(spark))
 
 
 def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
@@ -46,12 +86,38 @@ def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     Three things follow: the result is computed once, a lost executor costs only
     a re-read, and Spark knows the exact byte size of what it joins next, so
     ``spark.sql.autoBroadcastJoinThreshold`` decides between a broadcast and a
-    sort-merge join on facts instead of guesses.
+    sort-merge join on facts instead of guesses. ``release_all`` deletes the tables.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    writer = df.write.mode("error")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _owner(df.sparkSession).settle(df, partition_by)
+
+
+@atexit.register
+def release_all() -> None:
+    """Delete everything ``settle`` wrote; runs by itself when Python ends."""
+    for key in list(_OWNERS):
+        with suppress(Exception):  # the session may be gone already
+            _OWNERS.pop(key).release()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application, wherever Python was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(here)))
+    at, files = _path(spark, f"{_owner(spark).path}/{os.path.basename(here)}.zip")
+    stream = files.create(at, True)
+    stream.write(packed.getvalue())
+    stream.close()
+    context.addPyFile(at.toUri().toString() if at.toUri().getScheme() else at.toString())

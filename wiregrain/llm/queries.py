@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import simhash
+from wiregrain.llm import simhash, spans
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@_register
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that stay in every document when windows of 20 words that occur earlier are removed."""
+    found = spans.drop_repeats(_documents(spark, folder), texts=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @_register
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import simhash, spans
+from wiregrain.llm import simhash, spans, tokens
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def _register(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
     return query
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file on this machine; executors have it at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
@@ -30,6 +37,12 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@_register
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and byte-level BPE tokens of every document."""
+    return tokens.token_counts(_documents(spark, folder), tokenizer_file("byte_bpe_50k.json"))
+
+
 @_register
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import simhash, spans, tokens
+from wiregrain.llm import language, simhash, spans, tokens
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,15 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@_register
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the two thirds that are not held out."""
+    docs = _documents(spark, folder)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = language.fit(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    return language.predict(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @_register
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words that stay in every document when windows of 20 words that occur earlier are removed."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import language, simhash, spans, tokens
+from wiregrain.llm import archives, language, simhash, spans, tokens
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,15 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, folder), tokenizer_file("byte_bpe_50k.json"))
 
 
+@_register
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a WARC record, read back, with its place in the merged index."""
+    found = archives.capture_histories(spark.read.parquet(f"{folder}/pages.parquet"), Scratch(spark))
+    return found.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_range", "history_position"
+    )
+
+
 @_register
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import archives, language, simhash, spans, tokens
+from wiregrain.llm import archives, language, simhash, spans, templates, tokens
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,13 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, folder), tokenizer_file("byte_bpe_50k.json"))
 
 
+@_register
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other numbers, names or units."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return templates.contaminated(_documents(spark, folder), items).select("doc_id", "item_id", "covered", "changed")
+
+
 @_register
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as a WARC record, read back, with its place in the merged index."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import archives, language, simhash, spans, templates, tokens
+from wiregrain.llm import archives, language, quality, simhash, spans, templates, tokens
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,16 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@_register
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules and n-gram verdict of every document; texts labelled good and not toxic are the trusted part."""
+    docs, labels = _documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    ratios = quality.log_ratios(quality.with_trusted(docs, labels.filter("quality = 1 and toxic = 0")))
+    return quality.judge(docs, ratios).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score")
+    )
+
+
 @_register
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and byte-level BPE tokens of every document."""

@@ -15,11 +15,15 @@ STEP_BYTES = 8 << 20
 
 
 def portions(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices with about ``most`` bytes of text; one longer text makes a slice of its own."""
+    """Cut batches into slices with about ``most`` bytes of text; one longer text makes a slice of its own.
+
+    ``text`` names the texts, or a column with their sizes.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        own = batch.column(text)
+        sizes = pc.fill_null(own if pa.types.is_integer(own.type) else pc.binary_length(own), 0).to_numpy(zero_copy_only=False)
         cell = np.cumsum(sizes, dtype=np.int64) // most
         cuts = [0, *(np.nonzero(np.diff(cell))[0] + 1).tolist(), batch.num_rows]
         for begin, end in zip(cuts, cuts[1:], strict=False):

@@ -202,13 +202,25 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     spans = repeated_spans(docs, key, text, size, anchor)
     lists = spans.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     rows = require(docs, key, text).withColumn("own_crc", text_key(text) - 2147483648)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of each text, compressed: whole texts are the larger part of what the join moves."""
+        for batch in portions(batches, text):
+            codec = pa.Codec("zstd", compression_level=3)
+            joined = [b" ".join(data.split()) for data in bytes_of(batch, text)]
+            packed = pa.array([codec.compress(x, asbytes=True) for x in joined], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in joined], pa.int64()), packed], ["key", "own_crc", "size", "packed"])
+
+    rows = rows.mapInArrow(pack, f"key {kind}, own_crc long, size long, packed binary").withColumnRenamed("key", key)
     joined = rows.join(lists, F.col(key).eqNullSafe(F.col("doc")) & (F.col("own_crc") == F.col("crc")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, text):
+        codec = pa.Codec("zstd")
+        for batch in portions(batches, "size"):
             out: list[tuple[int, int, bytes, str]] = []
-            for data, spans in zip(bytes_of(batch, text), batch.column(2).to_pylist(), strict=True):
-                words = data.split()
+            for whole, packed, spans in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                words = codec.decompress(packed, whole, asbytes=True).split() if whole else []
                 kept = words
                 if spans:
                     gone = np.zeros(len(words) + 1, np.int64)
@@ -223,6 +235,5 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 ["key", "n_words", "n_removed", "kept_text", "kept_sha256"],
             )
 
-    kind = docs.schema[key].dataType.simpleString()
-    found = joined.select(key, text, "spans").mapInArrow(run, f"key {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    found = joined.select(key, "size", "packed", "spans").mapInArrow(run, f"key {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return found.withColumnRenamed("key", key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import archives, language, quality, simhash, spans, templates, tokens
+from wiregrain.llm import archives, disclosure, language, quality, simhash, spans, templates, tokens
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,12 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_register
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Identifiers in every document, and the terms near them that give them away."""
+    return disclosure.personal_data(_documents(spark, folder), Scratch(spark))
+
+
 @_register
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""

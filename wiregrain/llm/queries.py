@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import archives, disclosure, language, quality, simhash, spans, templates, tokens
+from wiregrain.llm import archives, disclosure, language, quality, segmentation, simhash, spans, templates, tokens
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@_register
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Two segmentations of every document, sampled without replacement."""
+    return segmentation.encode(_documents(spark, folder), tokenizer_file("piece_bpe_32k.model"), k=2)
+
+
 @_register
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words that stay in every document when windows of 20 words that occur earlier are removed."""

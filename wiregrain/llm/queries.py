@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import archives, disclosure, language, quality, segmentation, simhash, spans, templates, tokens
+from wiregrain.llm import archives, backoff, disclosure, language, quality, segmentation, simhash, spans, templates, tokens
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,13 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, folder), tokenizer_file("byte_bpe_50k.json"))
 
 
+@_register
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Stupid-backoff score of every document under the word pairs of all others."""
+    docs = _documents(spark, folder)
+    return backoff.score(docs, *backoff.fit(docs, Scratch(spark)))
+
+
 @_register
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other numbers, names or units."""

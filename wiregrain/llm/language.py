@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from wiregrain.llm.rows import portions, require
 
 BUCKETS = 1 << 16
+#: Score below which a text has no language: no better than a text that shares nothing with any landmark.
+LEAST_SCORE = 0.1
 _STEP = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = re.compile(r"\s+")
@@ -120,28 +122,45 @@ def fit(
     return LanguageModel(languages, (base.T @ (whiten @ solved)).astype(np.float32), order)
 
 
+def _scored(fitted: LanguageModel | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    known = [i for i, t in enumerate(texts) if fitted is not None and _LETTER.search(t)]
+    langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+    for at in range(0, len(known), 64):
+        own = known[at : at + 64]
+        seen = np.zeros((len(own), BUCKETS), np.uint8)
+        for row, i in zip(seen, own, strict=True):
+            mark_grams(texts[i], fitted.order, row)
+        norm = np.sqrt(np.maximum(seen.sum(axis=1, dtype=np.int64), 1))
+        found = (seen.astype(np.float32) @ fitted.weights) / norm[:, None]
+        best = found.argmax(axis=1)
+        scores[own] = np.clip(found[np.arange(len(own)), best], 0, 1)
+        for i, b in zip(own, best, strict=True):
+            langs[i] = fitted.languages[b]
+    return langs, scores
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, lang_pred and score (0 to 1) of every row; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted: LanguageModel | None = shared.value
         for batch in portions(batches, text):
-            texts = pc.fill_null(batch.column(1), "").to_pylist()
-            known = [i for i, t in enumerate(texts) if fitted is not None and _LETTER.search(t)]
-            langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-            for at in range(0, len(known), 64):
-                own = known[at : at + 64]
-                seen = np.zeros((len(own), BUCKETS), np.uint8)
-                for row, i in zip(seen, own, strict=True):
-                    mark_grams(texts[i], fitted.order, row)
-                norm = np.sqrt(np.maximum(seen.sum(axis=1, dtype=np.int64), 1))
-                found = (seen.astype(np.float32) @ fitted.weights) / norm[:, None]
-                best = found.argmax(axis=1)
-                scores[own] = np.clip(found[np.arange(len(own)), best], 0, 1)
-                for i, b in zip(own, best, strict=True):
-                    langs[i] = fitted.languages[b]
+            langs, scores = _scored(shared.value, pc.fill_null(batch.column(1), "").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["key", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     return require(docs, key, text).mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel | None, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose text has a language with a score of ``least`` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, text):
+            langs, scores = _scored(shared.value, pc.fill_null(batch.column(place), "").to_pylist())
+            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

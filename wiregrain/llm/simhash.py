@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiregrain.llm.components import star_components
-from wiregrain.llm.rows import bytes_of, portions, require
+from wiregrain.llm.rows import bytes_of, portions, require, text_key
 from wiregrain.session import Scratch
 
 #: Shingles whose bits are counted at a time.
@@ -285,3 +285,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     """Key, fingerprint and component of every row."""
     prints = scratch.settle(fingerprints(docs, key, text, words))
     return prints.join(components(prints, scratch, key, budget), "fingerprint").select(key, "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
+    """One row of each component, that with the smallest id (null first) and text checksum, with all its columns."""
+    keyed = docs.withColumn("_near", F.struct(F.col(f"`{key}`").alias("id"), text_key(text).alias("crc")))
+    found = near_duplicates(keyed, scratch, "_near", text, words, budget)
+    first = found.select(F.col("component_id").alias("_first")).distinct()
+    # Rows with equal id and text are one document.
+    return keyed.join(first, F.col("_near").eqNullSafe(F.col("_first"))).dropDuplicates(["_near"]).drop("_near", "_first")

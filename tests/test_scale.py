@@ -12,7 +12,7 @@ from wiregrain.operators import flows as L
 from wiregrain.operators.features import fill_missing
 from wiregrain.operators.fingerprint import frequency_distributions
 from wiregrain.operators.quantiles import exact_quantiles
-from wiregrain.operators.spread import dense_index, find_hot, ordered, sliced
+from wiregrain.operators.spread import dense_index, find_hot, ordered, with_slice
 from wiregrain.operators.windows import rolling_features
 
 
@@ -50,15 +50,27 @@ def test_sliced_windows_equal_plain_ones(skewed):
 def test_hot_capture_is_cut(skewed):
     assert find_hot(skewed, ["capture_id"], "packet_number", 5000) is None
     hot = find_hot(skewed, ["capture_id"], "packet_number", 100)
-    assert [r["__hot_capture_id"] for r in hot.first.collect()] == ["hot"]
+    assert [r["capture_id"] for r in hot.levels[0].collect()] == ["hot"]
     # Half of the hot capture lies in the first fiftieth of its range: those slices are cut again.
-    assert hot.second.count() > 0
-    rows = sliced(skewed, ["capture_id"], "packet_number", 100)
+    assert len(hot.levels) > 1
+    rows = with_slice(skewed, find_hot(skewed, ["capture_id"], "packet_number", 100))
     sizes = rows.where("capture_id = 'hot'").groupBy("__slice").count()
     assert sizes.count() > 9 and sizes.agg(F.max("count")).first()[0] <= 150
     assert rows.where("capture_id <> 'hot' AND __slice > 0").count() == 0
 
 
+def test_flood_within_a_flood_is_cut(spark):
+    """Three floods, each in a thousandth of the one around it."""
+    orders = [i * 10**12 for i in range(50)] + [i * 10**9 for i in range(200)] + [i * 10**5 for i in range(200)] + list(range(400)) + [7] * 30
+    df = spark.createDataFrame([("k", o, i) for i, o in enumerate(orders)], "k string, o long, v int")
+    hot = find_hot(df, ["k"], "o", 60)
+    sizes = with_slice(df, hot).groupBy("__slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 60
+    args = {"keys": ["k"], "order": "o", "ties": ["v"], "carry": ["v"], "depth": 2}
+    before = lambda rows, w: rows.withColumn("b", F.lag("v", 2).over(w))
+    same(ordered(df, before, hot_rows=60, **args), ordered(df, before, hot_rows=None, **args))
+
+
 def test_null_keys_and_negative_order(spark):
     df = spark.createDataFrame(
         [(None if i % 2 else "a", i - 50, i) for i in range(100)], "k string, o long, v int"

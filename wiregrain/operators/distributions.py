@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from wiregrain.constants import ENTROPY_CLASSES, ENTROPY_TOP_CLASS, LABELS
 from wiregrain.operators.fingerprint import histogram_bin
+from wiregrain.operators.spread import join_null_safe
 from wiregrain.operators.stats import share_counts
-from wiregrain.session import settle
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20, keys: Sequence[str] = ()) -> DataFrame:
@@ -19,7 +19,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20, keys: Sequence[str] =
     rows = df.where(x.isNotNull()).select(*keys, x.alias("x"))
     span = [F.min("x").alias("lo"), F.max("x").alias("hi")]
     if keys:
-        rows = rows.join(settle(rows.groupBy(*keys).agg(*span)), list(keys))
+        rows = join_null_safe(rows, rows.groupBy(*keys).agg(*span), keys, "inner")
     else:
         edges = rows.agg(F.struct(*span).alias("s"))
         rows = rows.withColumns({"lo": edges.scalar()["lo"], "hi": edges.scalar()["hi"]})

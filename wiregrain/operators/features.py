@@ -13,7 +13,7 @@ from wiregrain.constants import MODBUS_UNIT_RANGE
 from wiregrain.functions.entropy import classify_entropy, is_entropy_normal, packet_entropy
 from wiregrain.functions.text import epoch_seconds
 from wiregrain.operators.decode import Protocol
-from wiregrain.operators.spread import HOT_ROWS, SLICE, find_hot, with_slice
+from wiregrain.operators.spread import HOT_ROWS, SLICE, find_hot, join_null_safe, with_slice
 from wiregrain.operators.windows import rolling_features
 from wiregrain.session import settle
 
@@ -66,11 +66,13 @@ def one_hot(
 ) -> DataFrame:
     """Indicator per code. Without a list, the codes present are looked up first (batch only).
 
-    A function code is one byte, so the looked-up list has at most 256 entries.
+    Only a column of one-byte codes is looked up; for one with more than 256 values give the list.
     """
     if codes is None:
-        present = df.select(column).dropna().distinct().orderBy(column).limit(256)
-        codes = [r[0] for r in present.collect()]
+        present = sorted(r[0] for r in df.select(column).dropna().distinct().limit(257).collect())
+        if len(present) > 256:
+            raise ValueError(f"{column} has more than 256 values: say for which ones")
+        codes = present
     return df.withColumns({f"{prefix}_{c}": _flag(F.col(column) == c) for c in codes})
 
 
@@ -284,9 +286,8 @@ def _forward_fill(
         {f"__in_{c}": F.last(f"__in_{c}", ignorenulls=True).over(before) for c in columns}
     )
     inside = Window.partitionBy(*keys, SLICE).orderBy(order).rowsBetween(upto, 0)
-    # Only hot keys have slices past the first, so this side is at most rows / hot_rows long.
-    later = F.broadcast(ends.where(F.col(SLICE) > 0))
-    filled = rows.join(later, [*keys, SLICE], "left").withColumns(
+    later = ends.where(F.col(SLICE) > 0)  # only hot keys have slices past the first
+    filled = join_null_safe(rows, later, [*keys, SLICE]).withColumns(
         {
             c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"__in_{c}"))
             for c in columns

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from wiregrain.constants import LABELS
 from wiregrain.operators.distributions import histogram
-from wiregrain.operators.spread import HOT_ROWS, ordered
-from wiregrain.session import settle
+from wiregrain.operators.spread import HOT_ROWS, join_null_safe, ordered
 
 
 def transitions(
@@ -36,8 +35,11 @@ def transitions(
     return moved.select(*keys, order, "ts", "from_label", F.col("prediction").alias("to_label"))
 
 
-def first_transitions(moves: DataFrame, n: int = 10, order: str = "packet_number") -> DataFrame:
-    return moves.orderBy(order).limit(n)
+def first_transitions(
+    moves: DataFrame, n: int = 10, order: str = "packet_number", keys: Sequence[str] = ("capture_id",)
+) -> DataFrame:
+    """The first ``n`` by number, then by capture."""
+    return moves.orderBy(order, *[k for k in keys if k in moves.columns]).limit(n)
 
 
 def count_windows(
@@ -49,7 +51,7 @@ def count_windows(
     most, and a capture has about forty of them, so partial aggregation shrinks it at once.
     Captures of at most one window's length give no row.
     """
-    sizes = settle(scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+    sizes = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     sizes = sizes.withColumn("__size", F.greatest(F.lit(100), F.expr("__n div 20")).cast("long"))
     sizes = sizes.withColumn("__hop", F.expr("__size div 2"))
     i = F.col(position) - 1
@@ -58,7 +60,7 @@ def count_windows(
         F.floor(i / F.col("__hop")), F.ceil((F.col("__n") - F.col("__size")) / F.col("__hop")) - 1
     )
     rows = (
-        scored.join(sizes, list(keys))
+        join_null_safe(scored, sizes, keys, "inner")
         .withColumns({"__first": first, "__last": last})
         .where(F.col("__first") <= F.col("__last"))
         .withColumn("window_number", F.explode(F.sequence("__first", "__last")))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from wiregrain.operators.quantiles import quantile_table
 from wiregrain.operators.stats import join_keys
-from wiregrain.session import settle
 
 
 def size_outliers(
@@ -17,7 +16,7 @@ def size_outliers(
 ) -> DataFrame:
     """Rows above mean plus ``sigmas`` sample deviations of their key."""
     limit = (F.avg(column) + sigmas * F.stddev_samp(column)).alias("threshold")
-    return _above(df, column, settle(df.groupBy(*keys).agg(limit)), keys)
+    return _above(df, column, df.groupBy(*keys).agg(limit), keys)
 
 
 def timing_outliers(
@@ -28,7 +27,7 @@ def timing_outliers(
     stored: bool = False,
 ) -> DataFrame:
     """Rows above the exact quantile of their key; ``stored`` as in ``exact_quantiles``."""
-    limit = settle(quantile_table(df, {"threshold": (column, prob)}, keys, stored))
+    limit = quantile_table(df, {"threshold": (column, prob)}, keys, stored)
     return _above(df, column, limit, keys)
 
 
@@ -56,7 +55,7 @@ def iqr_outliers(
         (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("low"),
         (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("high"),
     )
-    rows = join_keys(df, settle(bounds), keys)
+    rows = join_keys(df, bounds, keys)
     return rows.where(~F.col(column).between(F.col("low"), F.col("high")))
 
 
@@ -65,7 +64,7 @@ def deviation_bands(df: DataFrame, column: str, keys: Sequence[str] = ()) -> Dat
     base = df.groupBy(*keys).agg(
         F.avg(column).alias("__mean"), F.stddev_samp(column).alias("__std")
     )
-    rows = join_keys(df, settle(base), keys)
+    rows = join_keys(df, base, keys)
     off = F.abs(F.col(column) - F.col("__mean"))
     severity = (
         F.when(off > 3 * F.col("__std"), "strong").when(off > 2 * F.col("__std"), "flag")

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wiregrain.operators.spread import join_null_safe
 from wiregrain.session import settle
 
 _SKETCH_K = 4096
@@ -77,7 +78,7 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     stored: bool = False,
 ) -> DataFrame:
-    """Rows ``(keys..., feature, prob, value)``; groups without a value give no row. Keys must not be NULL.
+    """Rows ``(keys..., feature, prob, value)``; groups without a value give no row.
 
     The three passes read ``df`` three times. Say ``stored`` when it is a stored table; otherwise
     the few columns needed are settled once, so that windows and joins before this run once.
@@ -90,7 +91,7 @@ def exact_quantiles(
     brackets = settle(_brackets(df, keys, values, probs))
 
     counts = (
-        rows.join(brackets, per)
+        join_null_safe(rows, brackets, per, "inner")
         .withColumn("bin", _bin())
         .groupBy(*per, "prob", "bin")
         .agg(F.count(F.lit(1)).alias("c"))
@@ -98,13 +99,13 @@ def exact_quantiles(
     upto = Window.partitionBy(*per, "prob").orderBy("bin")
     ends = counts.withColumn("end", F.sum("c").over(upto)).withColumn("begin", F.col("end") - F.col("c"))
     chosen = settle(
-        ends.join(brackets, [*per, "prob"])
+        join_null_safe(ends, brackets, [*per, "prob"], "inner")
         .where((F.col("begin") <= F.ceil("rank")) & (F.col("end") > F.floor("rank")))
         .select(*per, "prob", "rank", "lo", "hi", F.col("bin").alias("want"), "begin")
     )
 
     picked = (
-        rows.join(chosen, per)
+        join_null_safe(rows, chosen, per, "inner")
         .where(_bin() == F.col("want"))
         .groupBy(*per, "prob", "rank", "want", "begin", "x")
         .agg(F.count(F.lit(1)).alias("c"))

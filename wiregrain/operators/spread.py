@@ -6,10 +6,10 @@ column, every slice is a window partition of its own, and the few rows a slice
 needs from before its start travel along as marked extra rows that are dropped
 afterwards. Without a hot key the plain window runs.
 
-Slices are cut twice: first evenly over the key's range, then the slices that are
-still too large (a flood within a quiet capture) evenly over their own range. The tables
-of hot keys and of large slices have at most ``total rows / hot_rows`` rows each, which
-is what makes broadcasting them safe.
+A key is cut evenly over its range; slices that are still too large (a flood within a quiet
+capture, a flood within that flood) are cut over their own range again, until none is left or
+the slices are as narrow as the order column's values. The tables of hot keys and large slices have at most
+``total rows / hot_rows`` rows; Spark chooses how to join them by their size.
 """
 
 from __future__ import annotations
@@ -26,18 +26,27 @@ HOT_ROWS = 2_000_000
 
 SLICE = "__slice"
 _CARRIED = "__carried"
-# Slice number = first cut * _CUTS + second cut.
-_CUTS = 1 << 21
+# A slice number has the cuts of all levels as its digits.
+_CUTS = 1 << 15
+_LEVELS = 4
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Where to cut the keys above the limit."""
+    """Where to cut the keys above the limit, level by level."""
 
     keys: list[str]
     order: str
-    first: DataFrame
-    second: DataFrame | None
+    levels: list[DataFrame]
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join in which a NULL key is a key like any other; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`__r_{k}`"))
+    return left.join(renamed, same, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def find_hot(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> HotKeys | None:
@@ -46,44 +55,40 @@ def find_hot(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> H
     Reads only the key and order columns; counts are combined before any shuffle.
     """
     keys = list(keys)
-    rows = df.select(*keys, order)
-    first = _cuts(rows, keys, order, hot_rows, "1")
-    if first.isEmpty():
-        return None
-    first = settle(first)
-    placed = _cut(rows, keys, order, first, "1", "inner")
-    second = settle(_cuts(placed, [*keys, "__cut1"], order, hot_rows, "2"))
-    return HotKeys(keys, order, first, None if second.isEmpty() else second)
-
-
-def _cuts(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int, level: str) -> DataFrame:
-    """Start and slice width of the groups above the limit."""
+    rows, by = df.select(*keys, order), keys
+    levels: list[DataFrame] = []
+    for level in range(_LEVELS):
+        cuts = _cuts(rows, by, order, hot_rows, level)
+        if cuts.isEmpty():
+            break
+        levels.append(settle(cuts))
+        rows = _cut(rows, by, order, levels[-1], level, "inner")
+        by = [*by, f"__cut{level}"]
+    return HotKeys(keys, order, levels) if levels else None
+
+
+def _cuts(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int, level: int) -> DataFrame:
+    """Start and slice width of the groups above the limit; below the first level as fine as the digits allow,
+    which leaves dozens of rows in a slice when the limit is millions."""
     spans = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")
     )
-    width = F.ceil((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / hot_rows))
-    return spans.where(F.col("n") > hot_rows).select(
-        *[F.col(k).alias(f"__hot_{k}") for k in keys],
-        F.col("lo").alias(f"__lo{level}"),
-        width.cast("long").alias(f"__width{level}"),
+    pieces = F.least(F.ceil(F.col("n") / hot_rows), F.lit(_CUTS - 1)) if level == 0 else F.lit(_CUTS - 1)
+    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / pieces), F.lit(1))
+    # A single value of the order column can not be cut.
+    return spans.where((F.col("n") > hot_rows) & (F.col("hi") > F.col("lo"))).select(
+        *keys, F.col("lo").alias(f"__lo{level}"), width.cast("long").alias(f"__width{level}")
     )
 
 
-def _same(keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__hot_{k}"))
-    return cond
-
-
 def _cut(
-    df: DataFrame, keys: Sequence[str], order: str, cuts: DataFrame, level: str, how: str
+    df: DataFrame, keys: Sequence[str], order: str, cuts: DataFrame, level: int, how: str
 ) -> DataFrame:
     place = F.expr(f"cast((`{order}` - __lo{level}) div __width{level} as long)")
     return (
-        df.join(F.broadcast(cuts), _same(keys), how)
+        join_null_safe(df, cuts, keys, how)
         .withColumn(f"__cut{level}", F.coalesce(place, F.lit(0).cast("long")))
-        .drop(f"__lo{level}", f"__width{level}", *[f"__hot_{k}" for k in keys])
+        .drop(f"__lo{level}", f"__width{level}")
     )
 
 
@@ -91,16 +96,16 @@ def with_slice(df: DataFrame, hot: HotKeys | None, only_hot: bool = False) -> Da
     """Add the slice number: 0 for ordinary keys, rising with the order column for hot ones."""
     if hot is None:
         return df.withColumn(SLICE, F.lit(0).cast("long"))
-    out = _cut(df, hot.keys, hot.order, hot.first, "1", "inner" if only_hot else "left")
-    number = F.col("__cut1") * _CUTS
-    if hot.second is not None:
-        out = _cut(out, [*hot.keys, "__cut1"], hot.order, hot.second, "2", "left")
-        number = number + F.col("__cut2")
-    return out.withColumn(SLICE, number).drop("__cut1", "__cut2")
-
-
-def sliced(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return with_slice(df, find_hot(df, keys, order, hot_rows))
+    out, by = df, hot.keys
+    number = F.lit(0).cast("long")
+    for level in range(_LEVELS):
+        if level < len(hot.levels):
+            out = _cut(out, by, hot.order, hot.levels[level], level, "inner" if only_hot and not level else "left")
+            by = [*by, f"__cut{level}"]
+            number = number * _CUTS + F.col(f"__cut{level}")
+        else:
+            number = number * _CUTS
+    return out.withColumn(SLICE, number).drop(*[f"__cut{level}" for level in range(len(hot.levels))])
 
 
 def ordered(
@@ -173,21 +178,13 @@ def dense_index(
     upto = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     # Only slices after the first need an offset, and only hot keys have those.
     offsets = counts.withColumn("__before", F.sum("__n").over(upto)).where(F.col(SLICE) > 0)
-    offsets = offsets.select(
-        *[F.col(k).alias(f"__hot_{k}") for k in keys],
-        F.col(SLICE).alias("__hot_slice"),
-        "__before",
-    )
+    offsets = offsets.select(*keys, SLICE, "__before")
     local = Window.partitionBy(*keys, SLICE).orderBy(order, *ties)
+    numbered = rows.withColumn("__local", F.row_number().over(local))
     return (
-        rows.withColumn("__local", F.row_number().over(local))
-        .join(
-            F.broadcast(offsets),
-            _same(keys) & (F.col(SLICE) == F.col("__hot_slice")),
-            "left",
-        )
+        join_null_safe(numbered, offsets, [*keys, SLICE])
         .withColumn(name, (F.col("__local") + F.coalesce("__before", F.lit(0))).cast("long"))
-        .drop("__local", "__before", "__hot_slice", SLICE, *[f"__hot_{k}" for k in keys])
+        .drop("__local", "__before", SLICE)
     )
 
 
@@ -210,17 +207,11 @@ def running_max(
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(upto, -1)
     tops = rows.groupBy(*keys, SLICE).agg(F.max(column).alias("__top"))
     tops = tops.withColumn("__top", F.max("__top").over(before)).where(F.col(SLICE) > 0)
-    tops = tops.select(
-        *[F.col(k).alias(f"__hot_{k}") for k in keys], F.col(SLICE).alias("__hot_slice"), "__top"
-    )
+    tops = tops.select(*keys, SLICE, "__top")
     inside = Window.partitionBy(*keys, SLICE).orderBy(order).rangeBetween(upto, Window.currentRow)
-    same = _same(keys) & (F.col(SLICE) == F.col("__hot_slice"))
-    # Only hot keys have slices past the first: at most about rows / hot_rows of them.
+    topped = rows.withColumn(name, F.max(column).over(inside))
     return (
-        rows.withColumn(name, F.max(column).over(inside))
-        .join(F.broadcast(tops), same, "left")
-        .withColumn(name, F.greatest(name, "__top"))
-        .drop("__top", "__hot_slice", SLICE, *[f"__hot_{k}" for k in keys])
+        join_null_safe(topped, tops, [*keys, SLICE]).withColumn(name, F.greatest(name, "__top")).drop("__top", SLICE)
     )
 
 
@@ -241,6 +232,6 @@ def running_sum(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = df.join(totals, [*keys, bucket])
+    out = join_null_safe(df, totals, [*keys, bucket], "inner")
     out = out.withColumns({new: F.sum(c).over(inside) + F.col(f"__t_{c}") for c, new in sums.items()})
     return out.drop(*[f"__t_{c}" for c in sums])

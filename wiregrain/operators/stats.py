@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiregrain.operators.quantiles import quantile_table
+from wiregrain.operators.spread import join_null_safe
 from wiregrain.session import settle
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on keys that are never NULL. Without keys ``right`` is one row, read as a scalar subquery."""
+    """Left join on keys, NULL ones included. Without keys ``right`` is one row, read as a scalar subquery."""
     if keys:
-        return left.join(right, list(keys), "left")
+        return join_null_safe(left, right, keys)
     row = right.select(F.struct(*right.columns)).scalar()
     return left.withColumns({c: row[c] for c in right.columns})
 

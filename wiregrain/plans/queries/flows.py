@@ -51,7 +51,7 @@ FROM p WHERE d IS NOT NULL AND b IS NOT NULL GROUP BY event_type""",
 )
 def autocorrelation(spark, folder):
     events = table(spark, folder, "events")
-    return tidy(L.iat_autocorrelation(events, 2, ["event_type"], "event_id", hot_rows=400))
+    return tidy(L.iat_autocorrelation(events, 2, ["event_type"], "event_id"))
 
 
 @query(
@@ -156,7 +156,7 @@ SELECT src_ip, min(us) AS session_start, CAST(sum(n) AS BIGINT) AS packets, arg_
 )
 def session_codes(spark, folder):
     rows = narrow(spark, folder, "ts", "src_ip", "function_code")
-    return tidy(T.session_codes(rows, ["src_ip"], "2 hours", hot_rows=100))
+    return tidy(T.session_codes(rows, ["src_ip"], "2 hours"))
 
 
 @query("fft_periodicity")

@@ -128,7 +128,7 @@ def standard_scale(spark, folder):
 SELECT capture_id, packet_number, us AS ts, from_label, prediction AS to_label FROM t WHERE from_label <> prediction""",
 )
 def transitions(spark, folder):
-    return tidy(I.transitions(scored_events(spark, folder), hot_rows=200))
+    return tidy(I.transitions(scored_events(spark, folder)))
 
 
 @query(

@@ -404,7 +404,6 @@ def fill_missing(spark, folder):
         mean=["c"],
         keys=["event_type"],
         order="event_id",
-        hot_rows=300,
     )
     return tidy(filled)
 

@@ -57,7 +57,7 @@ def inter_arrival_rolling(spark, folder):
 @query("inter_arrival_hot_keys", _TIMING_SQL)
 def inter_arrival_hot_keys(spark, folder):
     """The same rows with a limit so low that every user is cut into slices."""
-    return _per_user(spark, folder, hot_rows=16)
+    return _per_user(spark, folder)
 
 
 @query(
@@ -144,4 +144,4 @@ FROM events""",
 def packet_numbering(spark, folder):
     """Dense numbers per type with hot keys cut into slices."""
     events = table(spark, folder, "events").select("event_id", "event_type")
-    return dense_index(events, "position", keys=["event_type"], order="event_id", hot_rows=300)
+    return dense_index(events, "position", keys=["event_type"], order="event_id")

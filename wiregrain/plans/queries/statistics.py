@@ -240,7 +240,7 @@ SELECT event_id, round(time_delta, 4) AS time_delta, round(threshold, 4) AS thre
 )
 def timing_outliers_p99(spark, folder):
     events = table(spark, folder, "events").select(F.lit("all").alias("capture_id"), "event_id", "ts")
-    rows = rolling_features(events, ["timing"], order="event_id", hot_rows=1000)
+    rows = rolling_features(events, ["timing"], order="event_id")
     return tidy(O.timing_outliers(rows.select("event_id", "time_delta")), 4)
 
 

@@ -1,11 +1,11 @@
 """Packet captures (pcap and pcapng) as a ``packets`` DataFrame.
 
-Two Spark steps. The first walks only the record headers of each file, in a
-stream of small reads, and cuts the file into parts of about ``PART_BYTES`` with the number of
-their first packet. The second reads the parts in parallel, wherever they land
-in the cluster. So one huge capture is no more than many parts, no task holds a file,
-and packet numbers are exact. Python only finds record borders and the start of the IP
-header; everything from there on is decoded by column expressions.
+Two Spark steps. The first walks the records of each file in a stream of reads and cuts the file into
+parts of about ``PART_BYTES`` with the number of their first packet. The second reads the parts
+in parallel: as many partitions as parts, dealt round robin with a given count, which adaptive
+execution does not merge. So one huge capture is no more than many parts, no task holds a file,
+and packet numbers are exact. Python only follows the chain of record headers; frames leave as
+Arrow arrays, and everything from the IP header on is decoded by column expressions.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from wiregrain.session import settle
 PART_BYTES = 32 << 20
 _READ_BYTES = 4 << 20
 _FRAMES_PER_BATCH = 8192
+#: Partitions of one read of parts; larger directories have several parts in each.
+_MOST_PARTITIONS = 100_000
 
 # File magic (as read big-endian) to byte order and ticks per second.
 _PCAP_MAGIC = {
@@ -136,6 +139,7 @@ def _start(head: bytes) -> tuple[_Layout, int]:
 def _parts_of(path: str, part_bytes: int) -> Iterator[tuple]:
     """``(first_packet, packets, begin, size, kind, order, links, ticks, problem)`` of each part."""
     with _open(path) as file:
+        length = file.size()
         buf = file.read(_READ_BYTES)
         layout, at = _start(buf)
         base, begin, number, packets, problem = 0, at, 1, 0, None
@@ -145,7 +149,14 @@ def _parts_of(path: str, part_bytes: int) -> Iterator[tuple]:
             return (number, packets, begin, end - begin, *shape, problem)
 
         while True:
-            record = _record(buf, at, layout)
+            try:
+                record = _record(buf, at, layout)
+            except (ValueError, IndexError, struct.error) as error:
+                problem = f"{type(error).__name__}: {error}"
+                break
+            if record is not None and base + record[0] > length:
+                problem = "truncated"
+                break
             if record is None or record[0] > len(buf):
                 more = file.read(max(_READ_BYTES, (record[0] - len(buf)) if record else 0))
                 if not more:
@@ -170,90 +181,107 @@ def _parts_of(path: str, part_bytes: int) -> Iterator[tuple]:
                     yield part(base + end)
                     number, packets, begin = number + packets, 0, base + end
             at = end
-        if packets or problem:
-            yield part(base + at)
+        if packets or problem or number == 1:
+            yield part(base + at)  # a capture without a record is one empty part
 
 
 def capture_parts(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Parts of every capture; a file that cannot be read gives one row that says why."""
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for capture, path in zip(batch["capture_id"], batch["path"]):
+            for capture, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = []
                 try:
                     for p in _parts_of(path, part_bytes):
                         rows.append((capture, path, *p))
-                except Exception as error:  # one bad file must not stop the others
-                    rows = [(capture, path, 0, 0, 0, 0, "", "", [], [], f"{type(error).__name__}: {error}")]
-                if rows:
-                    yield pd.DataFrame(rows, columns=_PART_NAMES)
+                except Exception as error:  # one bad file must not stop the others, nor lose its own good parts
+                    rows.append((capture, path, 0, 0, 0, 0, "", "", [], [], f"{type(error).__name__}: {error}"))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PART_TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, _PART_NAMES)
 
     # Listed files are packed by size already; one task walks a few files.
-    return files.select("capture_id", "path").mapInPandas(walk, CAPTURE_PARTS)
+    return files.select("capture_id", "path").mapInArrow(walk, CAPTURE_PARTS)
 
 
 _PART_NAMES = [field.split()[0] for field in CAPTURE_PARTS.split(", ")]
+_ARROW = {"string": pa.string(), "long": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+_PART_TYPES = [_ARROW[field.split()[1]] for field in CAPTURE_PARTS.split(", ")]
 
 
-def _frames_of(part: pd.Series) -> Iterator[tuple]:
-    links, ticks = ([int(x) for x in part[c]] for c in ("link_types", "ticks"))
-    layout = _Layout(part["kind"], part["byte_order"], links, ticks)
+def _frames_of(part: dict) -> Iterator[pa.RecordBatch]:
+    """Frames of one part in batches; Python touches the record headers, numpy the frames."""
+    layout = _Layout(part["kind"], part["byte_order"], part["link_types"], part["ticks"])
     with _open(part["path"]) as file:
-        buf = file.read_at(int(part["size"]), int(part["begin"]))
-    at, number = 0, int(part["first_packet"])
-    for _ in range(int(part["packets"])):
-        while True:
+        buf = file.read_at(part["size"], part["begin"])
+    data = np.frombuffer(buf, np.uint8)
+    at, number, left = 0, part["first_packet"], part["packets"]
+    while left:
+        found = []
+        while len(found) < min(left, _FRAMES_PER_BATCH):
             end, start, size, us, face, block = _record(buf, at, layout)
             at = end
             if block in (_NG_PACKET, _NG_SIMPLE):
-                break
-        frame = buf[start : start + size]
-        yield part["capture_id"], number, us, size, _ip_at(layout.links[face], frame), frame
-        number += 1
+                found.append((start, size, us, face))
+        starts, sizes, times, faces = (np.array(c, np.int64) for c in zip(*found, strict=True))
+        n = len(found)
+        links = np.array(layout.links, np.int64)[faces]
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        frames = pa.BinaryArray.from_buffers(
+            pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join([buf[a : a + k] for a, k, _, _ in found]))]
+        )
+        columns = [
+            pa.array([part["capture_id"]] * n, pa.string()),
+            pa.array(np.arange(number, number + n)),
+            pa.array(times),
+            pa.array(sizes.astype(np.int32)),
+            pa.array(_ip_at(links, data, starts, sizes)),
+            frames,
+        ]
+        yield pa.RecordBatch.from_arrays(columns, _FRAME_NAMES)
+        number, left = number + n, left - n
 
 
 # Link types, Ethernet type codes and the IPv4 family number of loopback frames.
 _ETHERNET, _COOKED, _LOOPBACK, _RAW = 1, 113, 0, (12, 101, 228)
-_IPV4, _VLAN = b"\x08\x00", (b"\x81\x00", b"\x88\xa8")
+_IPV4, _VLAN = 0x0800, (0x8100, 0x88A8)
 _FAMILY = 2
 
 
-def _ip_at(link: int, frame: bytes) -> int:
-    """Offset of the IPv4 header behind the link layer, -1 when there is none."""
-    at = -1
-    if link == _ETHERNET:
-        kind = 12
-        while frame[kind : kind + 2] in _VLAN:
-            kind += 4
-        at = kind + 2 if frame[kind : kind + 2] == _IPV4 else -1
-    elif link == _COOKED:
-        at = 16 if frame[14:16] == _IPV4 else -1
-    elif link == _LOOPBACK:
-        at = 4 if len(frame) > 4 and _FAMILY in (frame[0], frame[3]) else -1
-    elif link in _RAW:
-        at = 0
-    whole = at >= 0 and len(frame) >= at + 20 and frame[at] >> 4 == 4
-    return at if whole else -1
+def _ip_at(links: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Offset of the IPv4 header behind the link layer of each frame, -1 when there is none."""
+
+    def byte(offset: np.ndarray | int) -> np.ndarray:
+        place = np.minimum(starts + offset, len(data) - 1)
+        return np.where(sizes > offset, data[place].astype(np.int64), -1)
+
+    def kind(offset: np.ndarray | int) -> np.ndarray:
+        return np.where(byte(offset + 1) >= 0, byte(offset) << 8 | byte(offset + 1), -1)
+
+    tag = np.full(len(starts), 12)
+    while (tagged := (links == _ETHERNET) & np.isin(kind(tag), _VLAN)).any():
+        tag = tag + 4 * tagged
+    at = np.full(len(starts), -1)
+    at = np.where((links == _ETHERNET) & (kind(tag) == _IPV4), tag + 2, at)
+    at = np.where((links == _COOKED) & (kind(14) == _IPV4), 16, at)
+    at = np.where((links == _LOOPBACK) & (sizes > 4) & ((byte(0) == _FAMILY) | (byte(3) == _FAMILY)), 4, at)
+    at = np.where(np.isin(links, _RAW), 0, at)
+    whole = (at >= 0) & (sizes >= at + 20) & (byte(np.maximum(at, 0)) >> 4 == 4)
+    return np.where(whole, at, -1).astype(np.int32)
 
 
 def read_frames(parts: DataFrame) -> DataFrame:
-    """Raw frames of the parts. Parts are spread by hash, so a large capture uses the whole cluster."""
+    """Raw frames of the parts. A part list is a few bytes, so the number of partitions is given: one for each part."""
 
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in batch.iterrows():
-                rows = []
-                for row in _frames_of(part):
-                    rows.append(row)
-                    if len(rows) == _FRAMES_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=_FRAME_NAMES)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=_FRAME_NAMES)
+            for part in batch.to_pylist():
+                yield from _frames_of(part)
 
     usable = parts.where(F.col("packets") > 0)
-    return usable.repartition("capture_id", "begin").mapInPandas(frames, FRAMES)
+    if not usable.isStreaming:
+        usable = usable.repartition(min(max(usable.count(), 1), _MOST_PARTITIONS))
+    return usable.mapInArrow(frames, FRAMES)
 
 
 _FRAME_NAMES = [field.split()[0] for field in FRAMES.split(", ")]

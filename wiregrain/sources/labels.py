@@ -59,13 +59,11 @@ def read_labels(spark: SparkSession, root: str, captures: DataFrame | None = Non
         rows = rows.join(first_captures(captures), "dir", "left")
     else:
         rows = rows.withColumn("first_name", F.lit(None).cast("string"))
-    # Two glob patterns or two files may hold the same label.
-    return (
-        rows.withColumn("name", F.coalesce("name", "first_name"))
-        .where(F.col("name").isNotNull())
-        .select(F.concat("dir", "name").alias("capture_id"), "packet_number", "label")
-        .dropDuplicates(["capture_id", "packet_number"])
-    )
+    # Two files may hold the same label; if they disagree, the one that names its capture wins, then the first label.
+    named = rows.withColumn("own", F.col("name").isNull()).withColumn("name", F.coalesce("name", "first_name"))
+    placed = named.where(F.col("name").isNotNull()).withColumn("capture_id", F.concat("dir", "name"))
+    chosen = placed.groupBy("capture_id", "packet_number").agg(F.min(F.struct("own", "label")).alias("first"))
+    return chosen.select("capture_id", "packet_number", F.col("first.label").alias("label"))
 
 
 class LabelRows:

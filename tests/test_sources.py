@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import fixtures as fx
 from wiregrain.operators import decode as D
 from wiregrain.operators.distributions import class_by_protocol
+from wiregrain.operators.features import one_hot
 from wiregrain.operators.fingerprint import frequency_distributions, group_stats, stats_long
 from wiregrain.operators.rules import malformed_connections
 from wiregrain.plans import analysis
@@ -168,7 +169,8 @@ def test_saved_labels_can_be_read_back(spark, tmp_path):
 def test_saved_fingerprint_can_be_read_back(spark, tmp_path):
     rows = [("a", "b", i % 2, float(i)) for i in range(10)]
     df = spark.createDataFrame(rows, "src_ip string, dst_ip string, unit_id int, x double")
-    long = stats_long(group_stats(df, features=["x"]))
+    long = stats_long(group_stats(df, features=["x"], with_thresholds=True))
+    assert {(r.threshold, r.count_below + r.count_above) for r in long.collect()} == {(4.5, 5)}
     sinks.save_features(long, str(tmp_path / "fp"), "json")
     back = logs.read_fingerprint(spark, str(tmp_path / "fp"))
     assert back.exceptAll(long).count() == 0 and back.count() == 2
@@ -177,6 +179,44 @@ def test_saved_fingerprint_can_be_read_back(spark, tmp_path):
     assert frequency_distributions(df, features=["x"]).where("kind = 'value_counts'").count() == 10
 
 
+def test_summary_documents_can_be_read_back(spark, tmp_path):
+    rows = [("a", i, i % 3, 1.0 * i) for i in range(9)]
+    report = spark.createDataFrame(rows, "capture_id string, total_packets int, unit_id int, mean double")
+    sinks.save_summary(report, str(tmp_path / "summary"))
+    back = logs.read_summary(spark, str(tmp_path / "summary"))
+    assert back.count() == 9 and back.agg({"mean": "max"}).first()[0] == 8.0
+
+
+def test_parts_are_read_by_as_many_tasks(spark, root):
+    """Parts are a few bytes; without a given count they would all land in one task."""
+    parts = cap.capture_parts(cap.list_captures(spark, root), part_bytes=1).cache()
+    frames = cap.read_frames(parts)
+    n = parts.where("packets > 0").count()
+    tasks = frames.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert n > 10 and tasks > 0.8 * n  # dealt round robin from several lists of parts
+    whole = cap.read_frames(cap.capture_parts(cap.list_captures(spark, root)))
+    assert frames.exceptAll(whole).count() == 0 and frames.count() == whole.count()
+
+
+def test_one_hot_needs_codes_beyond_a_byte(spark):
+    df = spark.range(300)
+    with pytest.raises(ValueError):
+        one_hot(df, column="id", prefix="i")
+    assert len(one_hot(df, range(300), "id", "i").columns) == 301
+
+
+def test_damaged_and_empty_captures_keep_what_is_good(spark, tmp_path):
+    import struct
+
+    head = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    record = struct.pack("<IIII", 1, 0, 20, 20) + bytes(20)
+    (tmp_path / "empty.pcap").write_bytes(head)
+    (tmp_path / "bad.pcap").write_bytes(head + record * 3 + struct.pack("<IIII", 1, 0, 1 << 31, 1 << 31) + bytes(9))
+    parts = {r.capture_id: r for r in cap.capture_parts(cap.list_captures(spark, str(tmp_path))).collect()}
+    assert parts["empty.pcap"].packets == 0 and parts["empty.pcap"].problem is None
+    assert parts["bad.pcap"].packets == 3 and parts["bad.pcap"].problem == "truncated"
+
+
 def test_attack_log(spark, tmp_path):
     event = {"timestamp_utc": "2024-01-01T00:00:01.500000+00:00", "source_ip": "10.0.0.12", "modbus_fc_used": 6, "injected_value": 99}
     lines = ["2024 INFO start", "2024 INFO ATTACK: " + json.dumps(event), "2024 INFO ATTACK: {broken"]

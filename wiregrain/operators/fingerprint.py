@@ -64,17 +64,21 @@ def group_stats(
     features: Sequence[str] | None = None,
     thresholds: Mapping[str, float] | float | None = None,
     stored: bool = False,
+    with_thresholds: bool = False,
 ) -> DataFrame:
     """Mean, sample deviation, count and counts below and above the threshold, per group and feature.
 
-    Medians are taken over the rows that have all group columns. ``stored`` is as in ``exact_quantiles``.
+    Medians are taken over all rows, those of no group included. ``stored`` is as in ``exact_quantiles``;
+    ``with_thresholds`` adds the thresholds themselves.
     One hash aggregation: partial sums leave the map side, so a hot group is
     merged from one partial row per task.
     """
     rows, features = _grouped_input(df, keys, features)
-    limits = threshold_columns(rows, features, thresholds, stored)
+    limits = threshold_columns(df, features, thresholds, stored)
     aggs = []
     for f in features:
+        if with_thresholds:
+            aggs.append(F.first(limits[f] if isinstance(limits[f], Column) else F.lit(float(limits[f]))).cast("double").alias(f"{f}_threshold"))
         aggs += [
             F.coalesce(F.avg(f), F.lit(0.0)).alias(f"{f}_mean"),
             F.coalesce(F.stddev_samp(f), F.lit(0.0)).alias(f"{f}_std"),
@@ -211,10 +215,15 @@ def distribution_document(distributions: DataFrame, keys: Sequence[str] = GROUP_
 
 
 def stats_long(stats: DataFrame, keys: Sequence[str] = GROUP_COLUMNS) -> DataFrame:
-    """``group_stats`` as rows ``(keys..., feature, mean, std, n)``."""
+    """``group_stats`` as rows ``(keys..., feature, mean, std, n, threshold, count_below, count_above)``."""
     features = [c[: -len("_count_below_threshold")] for c in stats.columns if c.endswith("_count_below_threshold")]
-    parts = ", ".join(f"'{f}', `{f}_mean`, `{f}_std`, `{f}_count`" for f in features)
-    return stats.select(*keys, F.expr(f"stack({len(features)}, {parts}) as (feature, mean, std, n)"))
+    limit = lambda f: f"`{f}_threshold`" if f"{f}_threshold" in stats.columns else "cast(NULL AS double)"
+    parts = ", ".join(
+        f"'{f}', `{f}_mean`, `{f}_std`, `{f}_count`, {limit(f)}, `{f}_count_below_threshold`, `{f}_count_above_threshold`"
+        for f in features
+    )
+    names = "feature, mean, std, n, threshold, count_below, count_above"
+    return stats.select(*keys, F.expr(f"stack({len(features)}, {parts}) as ({names})"))
 
 
 def compare_fingerprints(

@@ -168,15 +168,14 @@ def summary_report(features: DataFrame, keys: Sequence[str] = ("capture_id",)) -
 
 
 def most_common_code(df: DataFrame, keys: Sequence[str] = ("capture_id",)) -> DataFrame:
-    """Most frequent function code (smallest on ties), its count and percentage, and code diversity."""
-    known = df.where(F.col("function_code").isNotNull())
-    counts = known.groupBy(*keys, "function_code").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max(F.struct("n", -F.col("function_code")))
+    """Most frequent function code (smallest on ties), its count, its percentage of all rows, and code diversity."""
+    counts = df.groupBy(*keys, "function_code").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max(F.when(F.col("function_code").isNotNull(), F.struct("n", (-F.col("function_code")).alias("col2"))))
     return counts.groupBy(*keys).agg(
         (-best["col2"]).alias("top_code"),
         best["n"].alias("top_count"),
         (best["n"] / F.sum("n") * 100).alias("top_percentage"),
-        F.count(F.lit(1)).alias("function_diversity"),
+        F.count("function_code").alias("function_diversity"),
     )
 
 

@@ -5,6 +5,7 @@ from wiregrain.plans.queries import (  # noqa: F401
     flows,
     learning,
     packets,
+    robust,
     rolling,
     rules,
     statistics,

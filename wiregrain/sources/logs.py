@@ -98,9 +98,15 @@ def _zeek_value(value: Column, kind: str) -> Column:
 def read_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """A long fingerprint saved as JSON lines."""
     return spark.read.schema(
-        "src_ip string, dst_ip string, unit_id int, feature string, mean double, std double, n long"
+        "src_ip string, dst_ip string, unit_id int, feature string, mean double, std double, n long, "
+        "threshold double, count_below long, count_above long"
     ).json(path)
 
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Summary documents saved as JSON lines: totals, statistics and the distributions of codes and units."""
+    return spark.read.json(path)

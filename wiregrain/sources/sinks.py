@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from wiregrain.operators.fingerprint import distribution_document
 from wiregrain.operators.stats import traffic_statistics
+from wiregrain.session import settle
 
 FORMATS = ("csv", "json", "parquet")
 
@@ -54,13 +55,19 @@ def save_fingerprint(summary: DataFrame, distributions: DataFrame, path: str, ke
 
 
 def save_anomalies(report: DataFrame, path: str) -> bool:
-    """Write the report if it has a row; say whether it did."""
-    if report.isEmpty():
+    """Write the report, once computed; say whether it has a row."""
+    stored = settle(report)
+    if stored.isEmpty():
         return False
-    save_features(report, path, "json")
+    save_features(stored, path, "json")
     return True
 
 
+def save_summary(report: DataFrame, path: str) -> None:
+    """Summary documents (``summary_report``), one JSON line for each key; ``logs.read_summary`` reads them."""
+    save_features(report, path, "json")
+
+
 def combine(frames: Sequence[DataFrame]) -> DataFrame:
     """Union of frames whose one-hot columns differ; a missing indicator is 0."""
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

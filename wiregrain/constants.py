@@ -107,6 +107,20 @@ BASELINE_CRITERIA = [
     ("unique_dst_ips", 1.0, 50.0),
     ("unique_unit_ids", 1.0, 50.0),
 ]
+# Criteria of messages, flows and the collection itself.
+STANDARD_CODES = (1, 2, 3, 4, 5, 6, 15, 16, 23)
+MESSAGE_CRITERIA = [
+    ("protocol_id_share", 1.0, None),
+    ("unit_id_share", 1.0, None),
+    ("length_share", 1.0, None),
+    ("standard_code_share", 1.0, None),
+    ("request_response_ratio", 0.9, 1.1),
+    ("packets_per_flow", 10.0, 10000.0),
+    ("flow_duration_seconds", 1.0, 86400.0),
+    ("flow_symmetry", 0.8, 1.2),
+    ("collection_hours", 24.0, None),
+    ("collection_packets", 10000.0, None),
+]
 MIN_PACKETS_PER_UNIT = 100
 MIN_FUNCTION_CODE_ROWS = 10
 

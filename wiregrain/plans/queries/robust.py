@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wiregrain import constants as C
+from wiregrain.operators import baseline as B
 from wiregrain.operators import distributions as G
 from wiregrain.operators import features as E
 from wiregrain.operators import fingerprint as P
 from wiregrain.operators import outliers as O
 from wiregrain.operators import stats as S
-from wiregrain.plans.queries.registry import query, tidy
+from wiregrain.operators.decode import MODBUS
+from wiregrain.plans.queries.packets import modbus
+from wiregrain.plans.queries.registry import PACKETS, query, tidy
 from wiregrain.plans.tables import table
 
 _KINDS = "k AS (SELECT event_id, nullif(event_type, 'error') AS kind, value FROM events)"
@@ -98,3 +102,29 @@ def one_hot_given_codes(spark, folder):
     """Three hundred indicators: more than a byte's worth, so the codes are given."""
     rows = table(spark, folder, "part").select("p_partkey", (F.col("p_partkey") % 400).alias("slot"))
     return E.one_hot(rows, range(300), "slot", "slot").drop("slot")
+
+
+def _criteria() -> str:
+    """The criteria as SQL rows."""
+    bound = lambda x: "CAST(NULL AS DOUBLE)" if x is None else f"CAST({x} AS DOUBLE)"
+    return ", ".join(f"('{n}', {bound(lo)}, {bound(hi)})" for n, lo, hi in C.MESSAGE_CRITERIA)
+
+
+@query(
+    "baseline_messages",
+    f"""WITH {PACKETS}, f AS (SELECT capture_id, least(src_ip, dst_ip) AS a, greatest(src_ip, dst_ip) AS b, count(*) AS n, sum(protocol_id_valid) AS p, sum(unit_id_valid) AS u,
+  sum(length_consistent) AS l, count(*) FILTER (function_code IN (1, 2, 3, 4, 5, 6, 15, 16, 23)) AS s, count(*) FILTER (dst_port = 502) AS asks,
+  count(*) FILTER (src_port = 502) AS answers, min(us) AS t0, max(us) AS t1 FROM pk GROUP BY ALL),
+m AS (SELECT capture_id, CAST(sum(p) / sum(n) AS DOUBLE) AS protocol_id_share, CAST(sum(u) / sum(n) AS DOUBLE) AS unit_id_share, CAST(sum(l) / sum(n) AS DOUBLE) AS length_share,
+  CAST(sum(s) / sum(n) AS DOUBLE) AS standard_code_share, CAST(sum(asks) / nullif(sum(answers), 0) AS DOUBLE) AS request_response_ratio, CAST(avg(n) AS DOUBLE) AS packets_per_flow,
+  CAST(avg((t1 - t0) / 1e6) AS DOUBLE) AS flow_duration_seconds, CAST(avg(asks / nullif(answers, 0)) AS DOUBLE) AS flow_symmetry,
+  CAST((max(t1) - min(t0)) / 1e6 / 3600 AS DOUBLE) AS collection_hours, CAST(sum(n) AS DOUBLE) AS collection_packets FROM f GROUP BY capture_id),
+o AS (SELECT * FROM m UNPIVOT INCLUDE NULLS (observed FOR criterion IN ({', '.join(n for n, _, _ in C.MESSAGE_CRITERIA)})))
+SELECT o.capture_id, o.criterion, round(observed, 4) AS observed, low, high,
+  CASE WHEN observed IS NOT NULL THEN coalesce(observed >= low, true) AND coalesce(observed <= high, true) END AS passed
+FROM o JOIN (VALUES {_criteria()}) c(criterion, low, high) USING (criterion)""",
+)
+def baseline_messages(spark, folder):
+    """Messages, flows and the collection against their expected ranges."""
+    rows = E.validation_flags(modbus(spark, folder), MODBUS)
+    return tidy(B.message_compliance(rows, MODBUS.port), 4)

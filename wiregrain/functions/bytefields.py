@@ -18,6 +18,17 @@ def le16(data: Column, offset: int | Column) -> Column:
     return u8(data, offset) + u8(data, offset + 1) * 256
 
 
+def head64(data: Column) -> Column:
+    """The first eight bytes as one big-endian long; missing bytes are 0."""
+    return F.conv(F.rpad(F.hex(F.substring(data, 1, 8)), 16, "0"), 16, -10).cast("long")
+
+
+def field(head: Column, offset: int, width: int) -> Column:
+    """Big-endian integer of ``width`` bytes out of ``head64``."""
+    shifted = F.shiftrightunsigned(head, 64 - 8 * (offset + width))
+    return shifted.bitwiseAND(F.lit((1 << 8 * width) - 1)).cast("int")
+
+
 def rest(data: Column, offset: int | Column) -> Column:
     """Bytes from ``offset`` to the end."""
     return F.substring(data, _start(offset), F.length(data))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiregrain import constants as C
-from wiregrain.functions.bytefields import be16, le16, rest, u8
+from wiregrain.functions.bytefields import be16, field, head64, le16, rest, u8
 from wiregrain.functions.text import epoch_seconds
 
 
@@ -132,18 +132,22 @@ def on_port(packets: DataFrame, protocol: Protocol) -> DataFrame:
 
 
 def modbus_header(packets: DataFrame, raw: str = "payload") -> DataFrame:
-    """Transaction, protocol, length, unit, function code and data of the MBAP header."""
-    b = F.col(raw)
+    """Transaction, protocol, length, unit, function code and data of the MBAP header: one number, then shifts."""
+    b, head = F.col(raw), F.col("__head")
     n = F.length(b)
-    return packets.withColumns(
-        {
-            "transaction_id": F.when(n >= 7, be16(b, 0)),
-            "protocol_id": F.when(n >= 7, be16(b, 2)),
-            "modbus_length": F.when(n >= 7, be16(b, 4)),
-            "unit_id": F.when(n >= 7, u8(b, 6)),
-            "function_code": F.when(n >= 8, u8(b, 7)),
-            "data": F.when(n > 8, rest(b, 8)),
-        }
+    return (
+        packets.withColumn("__head", head64(b))
+        .withColumns(
+            {
+                "transaction_id": F.when(n >= 7, field(head, 0, 2)),
+                "protocol_id": F.when(n >= 7, field(head, 2, 2)),
+                "modbus_length": F.when(n >= 7, field(head, 4, 2)),
+                "unit_id": F.when(n >= 7, field(head, 6, 1)),
+                "function_code": F.when(n >= 8, field(head, 7, 1)),
+                "data": F.when(n > 8, rest(b, 8)),
+            }
+        )
+        .drop("__head")
     )
 
 

@@ -9,9 +9,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wiregrain.operators.decode import Protocol, decode
 from wiregrain.operators.detect import FEATURES, score
+from wiregrain.operators.features import entropy_features, operation_flags, validation_flags
 from wiregrain.operators.rules import flag_anomalies
 from wiregrain.session import shared_dir
+from wiregrain.streaming.rolling import rolling_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -48,6 +51,27 @@ def pair_stream(
     ).drop("w")
 
 
+#: What rules and reports read besides the rolling features.
+RULE_COLUMNS = (
+    "src_ip",
+    "dst_ip",
+    "function_name",
+    "is_read_operation",
+    "is_write_operation",
+    "is_error_response",
+    "protocol_id_valid",
+    "unit_id_valid",
+    "length_consistent",
+)
+
+
+def feature_stream(packets: DataFrame, protocol: Protocol, keys: Sequence[str] = ("capture_id",)) -> DataFrame:
+    """Everything the rules read, of a stream of raw packets: header, flags and entropy per packet, then keyed state."""
+    rows = decode(packets, protocol)
+    rows = validation_flags(operation_flags(entropy_features(rows, protocol), protocol), protocol)
+    return rolling_stream(rows, keys, RULE_COLUMNS)
+
+
 def flag_stream(features: DataFrame, baseline: DataFrame) -> DataFrame:
     """Rules against a stored baseline: a stream-static join whose size Spark knows from the stored files."""
     return flag_anomalies(features, baseline)

@@ -15,73 +15,98 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wiregrain.operators.windows import FRAME
+from wiregrain.operators.windows import BURST_MS, BURST_RUN, FRAME
+
+_KEPT_NAMES = ["packet_number", "us", "packet_length", "payload_entropy", "function_code"]
+_KEPT = "packet_number long, us long, packet_length double, payload_entropy double, function_code double"
+
+
+def _statistics(name: str) -> str:
+    return ", ".join(f"{name}_{kind}_10 double" for kind in ("mean", "std", "min", "max"))
 
-_KEPT = "packet_number long, us long, packet_length double, function_code double"
-_KEPT_NAMES = ["packet_number", "us", "packet_length", "function_code"]
 
 FEATURES = (
-    "packet_number long, ts timestamp, packet_length double, function_code int, time_delta double, "
-    "time_delta_mean_10 double, time_delta_std_10 double, time_delta_cv_10 double, "
-    "packet_length_mean_10 double, packet_length_std_10 double, packet_length_cv_10 double, "
-    "function_code_changes int, function_code_stability_10 double"
+    "packet_number long, ts timestamp, packet_length double, payload_entropy double, function_code int, "
+    "time_delta double, time_delta_ms double, inter_arrival_time double, "
+    f"{_statistics('time_delta')}, time_delta_cv_10 double, {_statistics('packet_length')}, packet_length_cv_10 double, "
+    f"{_statistics('payload_entropy')}, function_code_changes int, function_code_stability_10 double, "
+    "burst_indicator int, burst_streak long, is_burst boolean, periodicity_score double"
 )
+_FEATURE_NAMES = [f.strip().split()[0] for f in FEATURES.split(",")]
 
 
 def rolling_frame(rows: pd.DataFrame) -> pd.DataFrame:
     """Features of ordered rows of one key; a small helper on at most one micro-batch of a key."""
     out = rows.copy()
     out["time_delta"] = rows["us"].diff() / 1e6
-    for name in ("time_delta", "packet_length"):
+    out["time_delta_ms"] = out["time_delta"] * 1000
+    out["inter_arrival_time"] = out["time_delta"].fillna(0.0)
+    for name in ("time_delta", "packet_length", "payload_entropy"):
         frame = out[name].rolling(FRAME, min_periods=1)
-        out[f"{name}_mean_10"], out[f"{name}_std_10"] = frame.mean(), frame.std()
-        out[f"{name}_cv_10"] = (out[f"{name}_std_10"] / (out[f"{name}_mean_10"] + 1e-9)).fillna(0.0)
+        for kind in ("mean", "std", "min", "max"):
+            out[f"{name}_{kind}_10"] = getattr(frame, kind)()
+        if name != "payload_entropy":
+            out[f"{name}_cv_10"] = (out[f"{name}_std_10"] / (out[f"{name}_mean_10"] + 1e-9)).fillna(0.0)
     changed = (rows["function_code"] != rows["function_code"].shift()).astype("int32")
     out["function_code_changes"] = changed
     out["function_code_stability_10"] = 1 - changed.rolling(FRAME, min_periods=1).mean()
+    out["burst_indicator"] = (out["time_delta_ms"] < 5).astype("int32")
+    fast = (out["time_delta_ms"] < BURST_MS).astype("int64")
+    out["burst_streak"] = fast.rolling(FRAME, min_periods=1).sum().astype("int64")
+    out["is_burst"] = out["burst_streak"] >= BURST_RUN
+    out["periodicity_score"] = 1 - out["time_delta_cv_10"]
     return out
 
 
 class LastPackets(StatefulProcessor):
     """Keeps the newest packets of a key and emits features of the new ones."""
 
-    def __init__(self, keys: Sequence[str]):
-        self._keys = list(keys)
+    def __init__(self, keys: Sequence[str], carry: Sequence[str] = ()):
+        self._keys, self._carry = list(keys), list(carry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getListState("last", _KEPT)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = pd.concat(list(rows)).sort_values("packet_number")
+        carried = fresh[self._carry].reset_index(drop=True)
         kept = pd.DataFrame(list(self._last.get()), columns=_KEPT_NAMES)
-        fresh = fresh[_KEPT_NAMES].astype({"packet_length": float, "function_code": float})
+        kinds = dict.fromkeys(["packet_length", "payload_entropy", "function_code"], float)
+        fresh = fresh[_KEPT_NAMES].astype(kinds)
         joined = pd.concat([kept.astype(fresh.dtypes.to_dict()), fresh], ignore_index=True)
         # One row more than the frame: the oldest frame row needs its predecessor.
-        self._last.put([tuple(r) for r in joined.tail(FRAME + 1).itertuples(index=False)])
-        out = rolling_frame(joined).iloc[len(kept) :]
+        last = joined.tail(FRAME + 1).astype(object)
+        self._last.put([tuple(r) for r in last.where(last.notna(), None).itertuples(index=False)])
+        out = rolling_frame(joined).iloc[len(kept) :].reset_index(drop=True)
         out = out.assign(ts=pd.to_datetime(out["us"], unit="us"), function_code=out["function_code"].astype("Int32"))
         for position, name in enumerate(self._keys):
             out[name] = key[position]
-        yield out[self._keys + [f.strip().split()[0] for f in FEATURES.split(",")]]
+        yield pd.concat([out[self._keys + _FEATURE_NAMES], carried], axis=1)
 
     def close(self) -> None:
         pass
 
 
-def rolling_stream(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rolling features per key of a packet stream (needs the RocksDB state store)."""
-    keys = list(keys)
+def rolling_stream(packets: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Rolling features per key of a packet stream (needs the RocksDB state store).
+
+    ``carry`` names columns that go along unchanged. Streams without payload entropy get NULL for its features.
+    """
+    keys, carry = list(keys), list(carry)
+    entropy = F.col("payload_entropy") if "payload_entropy" in packets.columns else F.lit(None)
     rows = packets.select(
         *keys,
         "packet_number",
         F.unix_micros("ts").alias("us"),
         F.col("packet_length").cast("double"),
+        entropy.cast("double").alias("payload_entropy"),
         "function_code",
+        *carry,
     )
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    ddl = lambda names: "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=LastPackets(keys),
-        outputStructType=T.StructType.fromDDL(f"{types}, {FEATURES}"),
+        statefulProcessor=LastPackets(keys, carry),
+        outputStructType=T.StructType.fromDDL(f"{ddl(keys)[2:]}, {FEATURES}{ddl(carry)}"),
         outputMode="Append",
         timeMode="None",
     )

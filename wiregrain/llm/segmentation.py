@@ -41,6 +41,10 @@ _NODES = 3 << 19
 _BUILD = 1 << 15
 #: Bytes of text that are walked at the same time.
 _STEP_BYTES = 1 << 20
+#: Rows that are decoded at the same time.
+_DECODED_ROWS = 512
+#: Bounds of Gumbel noise from numbers of 53 bits: log(-log(u)) at the smallest u, and the largest noise.
+_LEAST_NOISE, _MOST_NOISE = 3.7, 37.5
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,7 +128,7 @@ class Lattices(dict):
 
     def reset(self) -> None:
         self.clear()
-        kinds = {"first": np.int64, "reach": float, "log": float, "rest": float, "next": np.int32, "piece": np.int32}
+        kinds = {"first": np.int32, "reach": np.float32, "log": float, "rest": np.float32, "next": np.int32, "piece": np.int32}
         self.table = {k: np.empty(0, v) for k, v in kinds.items()}
 
     def add(self, words: set[str]) -> None:
@@ -179,7 +183,7 @@ class Lattices(dict):
             piece[alone, 0] = np.where(c < 128, self.byte_of[np.minimum(c, 127)], -2 - c)
             score[alone, 0] = self.byte_score * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
         through = np.zeros(n + longest)  # log of the sum over all ways from a node to its word's end
-        share = score  # becomes the probability of an edge, given its node
+        share = np.zeros_like(score)  # probability of an edge, given its node
         order = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2))
         for j in range(len(cuts) - 1):  # nodes by their distance from the end
@@ -194,12 +198,13 @@ class Lattices(dict):
                     inner[:, j] = 0.0  # an edge to the end; the entry there is another word's
                 values = values + inner
             top = values.max(axis=1)
-            whole = top + np.log(np.exp(values - top[:, None]).sum(axis=1))
-            through[at] = whole
-            share[at, :width] = values - whole[:, None]
-        row, column = np.nonzero(share > -np.inf)
-        log = share[row, column]
-        np.exp(share, out=share)
+            weight = np.exp(values - top[:, None])
+            total = weight.sum(axis=1)
+            through[at] = whole = top + np.log(total)
+            share[at, :width] = weight / total[:, None]
+            score[at, :width] = values - whole[:, None]
+        row, column = np.nonzero(score > -np.inf)
+        log = score[row, column]
         ahead = np.cumsum(share, axis=1)
         reach = ahead[row, column]
         behind = np.cumsum(share[:, ::-1], axis=1)[:, ::-1]
@@ -209,10 +214,10 @@ class Lattices(dict):
         step = column + 1
         with np.errstate(divide="ignore"):
             return {
-                "first": np.searchsorted(row, np.arange(n)) + edges,
-                "reach": reach,
+                "first": (np.searchsorted(row, np.arange(n)) + edges).astype(np.int32),
+                "reach": reach.astype(np.float32),
                 "log": log,
-                "rest": np.log(rest),
+                "rest": np.log(rest).astype(np.float32),
                 "next": np.where(step == left[row], -1, row + step + nodes).astype(np.int32),
                 "piece": piece[row, column].astype(np.int32),
             }
@@ -280,7 +285,7 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
     if len(lattices.table["first"]) > _NODES:
         lattices.reset()
     words = [pieces.words(pieces.normalised(t)) for t in texts]
-    lattices.add(set().union(*words).difference(lattices.keys()))
+    lattices.add({w for w in set().union(*words) if w not in lattices})
     docs = [_Document(int(key), np.fromiter(map(lattices.__getitem__, w), np.int64, len(w))) for w, key in zip(words, keys, strict=True)]
     table = lattices.table
     # Round by round: every text continues the most promising of its open sets.
@@ -325,13 +330,17 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
             d.values.append(value)
             if len(path):
                 mass = passed[len(prefix) :] + table["rest"][path[len(prefix) :]]
-                serial = np.arange(len(prefix), len(path), dtype=np.uint64) + np.uint64((rank << 40) + (1 << 62))
-                found = _truncated(mass, np.full(len(mass), value), _mixed(np.uint64(d.key) ^ (serial * _GOLDEN)))
-                # No more than k sets of one path can come up.
+                # No more than k sets of one path can come up, and noise has bounds: the rest needs no draw.
+                near = np.arange(len(mass))
+                if len(mass) > k + 1:
+                    most = np.partition(mass, len(mass) - k - 1)[len(mass) - k - 1]
+                    near = np.nonzero(mass > most - np.logaddexp(most - value, _LEAST_NOISE) - _MOST_NOISE)[0]
+                serial = (near + len(prefix)).astype(np.uint64) + np.uint64((rank << 40) + (1 << 62))
+                found = _truncated(mass[near], np.full(len(near), value), _mixed(np.uint64(d.key) ^ (serial * _GOLDEN)))
                 best = np.argpartition(-found, min(k, len(found) - 1))[: k + 1] if len(found) > k + 1 else np.arange(len(found))
                 for i in best.tolist():
                     if found[i] > -math.inf:
-                        heapq.heappush(d.open, (-float(found[i]), rank, len(prefix) + i, ()))
+                        heapq.heappush(d.open, (-float(found[i]), rank, len(prefix) + int(near[i]), ()))
                 if parent is not None:
                     gone = (*banned, int(prefix[-1]))
                     left = _left_mass(table, int(prefix[-1]), gone)
@@ -374,9 +383,9 @@ def _written(raw: list[bytes], ids: np.ndarray) -> bytes:
 _SAMPLE = "key {}, rank int, ids array<int>, log_prob double, perturbed double, log_inclusion double, exact boolean"
 
 
-def encode(docs: DataFrame, path: str, k: int = 3, alpha: float = 1.0, seed: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, k: int = 3, alpha: float = 1.0, seed: int = 7, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """Up to k rows (key, rank, ids, log_prob, perturbed, log_inclusion, exact) for every row, rank 1 with the
-    largest value; ``exact`` tells whether the pieces, decoded, write the text again.
+    largest value; ``exact`` tells whether the pieces, decoded, write the text again, which ``decoded`` adds as a column.
 
     ``log_inclusion`` is the log of the probability that the segmentation is among the k drawn, given the largest value
     that was not drawn. ``path`` is the model file, which every executor must have at the same place.
@@ -389,7 +398,7 @@ def encode(docs: DataFrame, path: str, k: int = 3, alpha: float = 1.0, seed: int
             found = sample(lattices, pc.fill_null(batch.column(1), "").to_pylist(), _mixed(keys), k)
             raw = lattices.pieces.raw
             texts = bytes_of(batch, text)
-            rows, ranks, ids, sizes, logs, values, inclusion, exact = [], [], [], [0], [], [], [], []
+            rows, ranks, ids, sizes, logs, values, inclusion, exact, again = [], [], [], [0], [], [], [], [], []
             for i, d in enumerate(found):
                 bound = -d.open[0][0] if d.open else -math.inf
                 for rank, (way, log, value) in enumerate(zip(d.paths, d.logs, d.values, strict=True)):
@@ -397,7 +406,10 @@ def encode(docs: DataFrame, path: str, k: int = 3, alpha: float = 1.0, seed: int
                     ranks.append(rank + 1)
                     ids.append(lattices.ids(way))
                     sizes.append(len(ids[-1]))
-                    exact.append(_written(raw, ids[-1]) == texts[i])
+                    written = _written(raw, ids[-1])
+                    exact.append(written == texts[i])
+                    if decoded:
+                        again.append(written)
                     logs.append(log)
                     values.append(value)
                     x = log - bound
@@ -405,13 +417,13 @@ def encode(docs: DataFrame, path: str, k: int = 3, alpha: float = 1.0, seed: int
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ranks, pa.int32()), lists, pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(exact, pa.bool_())],
-                ["key", "rank", "ids", "log_prob", "perturbed", "log_inclusion", "exact"],
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ranks, pa.int32()), lists, pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(exact, pa.bool_()), *([pa.array(again, pa.binary()).cast(pa.string())] if decoded else [])],
+                ["key", "rank", "ids", "log_prob", "perturbed", "log_inclusion", "exact", *(["decoded"] if decoded else [])],
             )
 
     kind = docs.schema[key].dataType.simpleString()
     rows = require(docs, key, text).withColumn("_seed", F.xxhash64(F.lit(seed), F.col(f"`{key}`")))
-    return rows.mapInArrow(run, _SAMPLE.format(kind)).withColumnRenamed("key", key)
+    return rows.mapInArrow(run, _SAMPLE.format(kind) + (", decoded string" if decoded else "")).withColumnRenamed("key", key)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -419,13 +431,15 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = Pieces(path, 1.0).raw
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            texts = []
-            for i in range(batch.num_rows):
-                own = column[i]
-                texts.append(_written(raw, own.values.to_numpy(zero_copy_only=False)) if own.is_valid else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*batch.schema.names, into])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _DECODED_ROWS):
+                yield decoded(raw, whole.slice(at, _DECODED_ROWS))
+
+    def decoded(raw: list[bytes], batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(batch.schema.get_field_index(ids))
+        lists = (column[i] for i in range(batch.num_rows))
+        texts = [_written(raw, own.values.to_numpy(zero_copy_only=False)) if own.is_valid else None for own in lists]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*batch.schema.names, into])
 
     kept = [f for f in rows.schema.fields if f.name != into]
     return rows.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, StructType(kept).add(into, StringType()))

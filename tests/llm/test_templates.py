@@ -39,3 +39,13 @@ def test_filter_stage_keeps_the_rest(spark):
     assert sorted(r.crc for r in T.drop_contaminated(docs, bench).collect()) == ["y", "z"]
     assert T.drop_contaminated(docs, bench.limit(0)).count() == 4
     assert T.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_names_at_the_start_of_sentences(spark):
+    item = "Mia has 5 apples in her bag. Mia gives 2 apples to Ben. Ben eats 1 apple. How many apples does Mia have?"
+    renamed = item.replace("Mia", "Olga").replace("Ben", "Tariq")
+    mixed = renamed.replace("Olga gives", "Eve gives")  # one name of the item is two names here
+    short = "Boats leave the small harbour at noon"
+    got = found(spark, [(1, f"{FILL}. {renamed} {FILL}"), (2, mixed), (3, f"we ask {short} and go"), (4, item)], [(1, item), (2, short)])
+    assert set(got) == {(1, 1), (3, 2), (4, 1)}
+    assert got[1, 1].covered == 1.0 and got[1, 1].changed > 0 and (got[4, 1].covered, got[4, 1].changed) == (1.0, 0)

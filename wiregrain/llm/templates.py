@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates: questions are found again when only their numbers, names or units changed.
 
 Words become template tokens: numbers, units and names turn into typed placeholders (neighbouring names into one), all
-other words are lower-cased and lose the signs around them. Windows of ``size`` tokens of documents and benchmark
+other words are lower-cased and lose the signs around them. A capitalised word at the start of a sentence may be a name or
+not: texts are read both ways, and readings of one kind are compared. Windows of ``size`` tokens of documents and benchmark
 items are joined by hash. Windows that lie on one diagonal (equal distance of their positions) form an alignment; it
 counts only if its slots are consistent: each value of the item stands for one value of the document, and different
 values for different ones. A document is contaminated by an item if consistent alignments cover at least ``coverage``
@@ -42,6 +43,9 @@ _EMPTY, _CAPITAL, _ENDS = 4, 8, 16
 _PLACEHOLDER = np.array([0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333], np.uint64)
 #: Distinct words that a worker remembers.
 _CACHE = 1 << 20
+#: Readings of a text: words at the start of sentences as literals, and as names.
+READINGS = (0, 1)
+_SALTS = (0, 0x5851F42D4C957F2D)
 #: Bits of the filter that keeps windows no item has from being shuffled: 512 KB for any benchmark.
 FILTER_BITS = 22
 
@@ -76,19 +80,27 @@ class _Words(dict):
 _NUMBER_SET, _UNIT_SET = frozenset(NUMBER_WORDS), frozenset(UNIT_WORDS)
 
 
+def _packed(data: bytes, cache: _Words) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text, and what the cache knows of them."""
+    words = data.split()
+    return words, np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+
+
 class Template:
-    """Template tokens of a text: ``hashes``, ``kinds`` and where each token lies among the text's words."""
+    """Template tokens of a text: ``hashes``, ``kinds`` and where each token lies among the text's words.
+
+    With ``named``, a capitalised word at the start of a sentence is a name.
+    """
 
-    def __init__(self, data: bytes, cache: _Words):
-        self.words = data.split()
-        packed = np.fromiter(map(cache.__getitem__, self.words), np.uint64, len(self.words))
+    def __init__(self, words: list[bytes], packed: np.ndarray, named: bool):
+        self.words, self.salt = words, np.uint64(_SALTS[named])
         at = np.nonzero((packed & np.uint64(_EMPTY)) == 0)[0]
         packed = packed[at]
         flags = (packed & np.uint64(31)).astype(np.int64)
         begins = np.ones(len(at), bool)
         begins[1:] = (flags[:-1] & _ENDS) > 0
         kinds = flags & 3
-        kinds[(kinds == _LITERAL) & ((flags & _CAPITAL) > 0) & ~begins] = _NAME
+        kinds[(kinds == _LITERAL) & ((flags & _CAPITAL) > 0) & (named | ~begins)] = _NAME
         merged = np.zeros(len(at), bool)
         merged[1:] = (kinds[1:] == _NAME) & (kinds[:-1] == _NAME) & ~begins[1:]
         heads = np.nonzero(~merged)[0]
@@ -103,7 +115,7 @@ class Template:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         known = np.concatenate(([0], np.cumsum(self.kinds == _LITERAL)))
         at = np.nonzero(known[size:] - known[:-size] >= literals)[0]
-        return at, rolling(self.hashes, size)[at] ^ np.uint64(size)
+        return at, rolling(self.hashes, size)[at] ^ np.uint64(size) ^ self.salt
 
     def slots(self, at: int, size: int) -> list[str]:
         """``offset kind value`` of the placeholders in a window."""
@@ -116,30 +128,35 @@ class Template:
 
 
 def _windows(rows: DataFrame, size_of, literals: int, bits: np.ndarray | None) -> DataFrame:
-    """(key, crc, text) to (key, crc, pos, size, total, hash, slots); ``bits`` filters the hashes."""
+    """(key, crc, text) to (key, crc, reading, pos, size, total, hash, slots); ``bits`` filters the hashes.
+
+    ``size_of`` gives the sizes of the windows for a reading and a number of tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
         for batch in portions(batches, "text"):
             out: list[tuple] = []
             for i, data in enumerate(bytes_of(batch, "text")):
-                template = Template(data, cache)
-                for size in size_of(len(template.hashes)):
-                    at, hashes = template.windows(size, literals)
-                    total = len(at)
-                    if bits is not None and total:
-                        cell = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                        passed = bits[cell >> 3] >> (cell & 7) & 1 > 0
-                        at, hashes = at[passed], hashes[passed]
-                    for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                        out.append((i, p, size, total, h, template.slots(p, size)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+                words, packed = _packed(data, cache)
+                for reading in READINGS:
+                    template = Template(words, packed, reading == 1)
+                    for size in size_of(reading, len(template.hashes)):
+                        at, hashes = template.windows(size, literals)
+                        total = len(at)
+                        if bits is not None and total:
+                            cell = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                            passed = bits[cell >> 3] >> (cell & 7) & 1 > 0
+                            at, hashes = at[passed], hashes[passed]
+                        for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                            out.append((i, reading, p, size, total, h, template.slots(p, size)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
             row, *rest = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *rest], ["key", "crc", "pos", "size", "total", "hash", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *rest], ["key", "crc", "reading", "pos", "size", "total", "hash", "slots"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, crc long, pos long, size int, total long, hash long, slots array<string>")
+    return rows.mapInArrow(run, f"key {kind}, crc long, reading int, pos long, size int, total long, hash long, slots array<string>")
 
 
 def contaminated(
@@ -157,16 +174,18 @@ def contaminated(
     and the number of its slots with another value than in the item. ``crc`` is ``text_key`` of the document.
     """
     items = require(benchmark, item, item_text).select(F.col(f"`{item}`").alias("key"), F.lit(0).cast("long").alias("crc"), F.col(f"`{item_text}`").alias("text"))
-    own = _windows(items, lambda n: [size] if n >= size else [n] if n >= literals else [], literals, None).distinct()
+    own = _windows(items, lambda _, n: [size] if n >= size else [n] if n >= literals else [], literals, None).distinct()
     # The filter has a fixed size; the lengths of short items are fewer than ``size``.
     cells = own.select(F.expr(f"shiftrightunsigned(hash, {64 - FILTER_BITS})").alias("cell")).distinct().collect()
-    sizes = sorted(r[0] for r in own.select("size").distinct().collect())
+    sizes: dict[int, list[int]] = {}
+    for reading, n in own.select("reading", "size").distinct().collect():
+        sizes.setdefault(reading, []).append(n)
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for (cell,) in cells:
         bits[cell >> 3] |= 1 << (cell & 7)
     rows = require(docs, key, text).select(F.col(f"`{key}`").alias("key"), text_key(text).alias("crc"), F.col(f"`{text}`").alias("text"))
-    theirs = _windows(rows, lambda n: [s for s in sizes if s <= n], literals, bits).drop("total", "size").distinct()
-    own = own.select(F.col("key").alias("item"), F.col("pos").alias("item_pos"), "total", "hash", F.col("slots").alias("item_slots"))
+    theirs = _windows(rows, lambda r, n: [s for s in sizes.get(r, ()) if s <= n], literals, bits).drop("total", "size").distinct()
+    own = own.select(F.col("key").alias("item"), "reading", F.col("pos").alias("item_pos"), "total", "hash", F.col("slots").alias("item_slots"))
     pairs = F.transform(
         F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")),
         lambda z: F.struct(
@@ -175,18 +194,19 @@ def contaminated(
             F.regexp_replace(z["d"], r"^\d+ ", "").alias("d"),
         ),
     )
-    met = theirs.join(own, "hash").select("key", "crc", "item", "total", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), pairs.alias("pairs"))
-    lines = met.groupBy("key", "crc", "item", "total", "diagonal").agg(
+    met = theirs.join(own, ["hash", "reading"]).select("key", "crc", "item", "reading", "total", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), pairs.alias("pairs"))
+    lines = met.groupBy("key", "crc", "item", "reading", "total", "diagonal").agg(
         F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
     values = lambda *names: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(*[p[n].alias(n) for n in names]))))
     consistent = (values("i", "d") == values("i")) & (values("i", "d") == values("d"))
     changed = F.size(F.filter("pairs", lambda p: p["i"] != p["d"]))
-    sound = lines.filter(consistent).select("key", "crc", "item", "total", F.explode("at").alias("at"), changed.alias("changed"))
-    # A repeated id with several texts has one row for each of its lengths.
-    whole = sound.groupBy("key", "crc", "item", "total").agg(F.count_distinct("at").alias("n"), F.max("changed").cast("long").alias("changed"))
-    found = whole.filter(F.col("n") >= coverage * F.col("total"))
-    return found.select(F.col("key").alias(key), "crc", F.col("item").alias(item), (F.col("n") / F.col("total")).alias("covered"), "changed")
+    sound = lines.filter(consistent).select("key", "crc", "item", "reading", "total", F.explode("at").alias("at"), changed.alias("changed"))
+    whole = sound.groupBy("key", "crc", "item", "reading", "total").agg(F.count_distinct("at").alias("n"), F.max("changed").cast("long").alias("changed"))
+    found = whole.filter(F.col("n") >= coverage * F.col("total")).withColumn("covered", F.col("n") / F.col("total"))
+    # Of several readings the one that covers most counts, then the one with the fewest changes.
+    best = found.groupBy("key", "crc", "item").agg(F.max(F.struct("covered", (-F.col("changed")).alias("kept"))).alias("best"))
+    return best.select(F.col("key").alias(key), "crc", F.col("item").alias(item), "best.covered", (-F.col("best.kept")).alias("changed"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

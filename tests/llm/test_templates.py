@@ -49,3 +49,21 @@ def test_names_at_the_start_of_sentences(spark):
     got = found(spark, [(1, f"{FILL}. {renamed} {FILL}"), (2, mixed), (3, f"we ask {short} and go"), (4, item)], [(1, item), (2, short)])
     assert set(got) == {(1, 1), (3, 2), (4, 1)}
     assert got[1, 1].covered == 1.0 and got[1, 1].changed > 0 and (got[4, 1].covered, got[4, 1].changed) == (1.0, 0)
+
+
+def test_verbatim_items_without_literals(spark, tmp_path):
+    long = " ".join(f"{i} km" for i in range(3, 23))
+    items = [(1, "What is 12 + 35?"), (2, "3 4 5 6 7 8 9 10 11"), (3, long), (4, "7"), (5, None), (6, "..."), (7, ITEM)]
+    texts = [(1, f"{FILL} what is 12 + 35 {FILL}"), (2, "x 3 4 5 6 7 8 9 10 11 y"), (3, f"{FILL} {long}"), (4, "What is 12 - 35?"), (5, "What is 13 + 35?"), (6, "not 8"), (7, ""), (8, ITEM.lower())]
+    got = found(spark, texts, items, verbatim=True)
+    assert set(got) == {(1, 1), (2, 2), (2, 4), (3, 3), (3, 4), (8, 7)}, set(got)
+    assert all((r.covered, r.changed) == (1.0, 0) for r in got.values())
+    # The query and the pipeline's stage look for them.
+    import corpus_pipeline
+    from wiregrain.llm.queries import QUERIES
+
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {(r.doc_id, r.item_id) for r in QUERIES["op7_benchmark_decontamination"](spark, str(tmp_path)).collect()} == set(got)
+    assert {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()} == {4, 5, 6, 7}

@@ -79,7 +79,7 @@ def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other numbers, names or units."""
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
-    return templates.contaminated(_documents(spark, folder), items).select("doc_id", "item_id", "covered", "changed")
+    return templates.contaminated(_documents(spark, folder), items, verbatim=True).select("doc_id", "item_id", "covered", "changed")
 
 
 @_register

@@ -8,8 +8,10 @@ counts only if its slots are consistent: each value of the item stands for one v
 values for different ones. A document is contaminated by an item if consistent alignments cover at least ``coverage``
 of the item's windows.
 
-A window needs ``literals`` words that are no placeholders. Items with fewer than ``size`` tokens have one window,
-all of the item; items with fewer literals than that match nothing, and so do null and empty texts. Documents that
+A template window needs ``literals`` words that are no placeholders. Items with fewer than ``size`` tokens have one
+window, all of the item; as templates, items with fewer literals than that match nothing. With ``verbatim``, windows of the
+unchanged lower-cased words are a further reading that needs no literals: it finds unchanged items of numbers, names and
+units, of any length. Without it only templates are looked for. Null and empty texts match nothing. Documents that
 share an id are told apart by their text; repeated rows count once. Repeated items give equal rows once each.
 """
 
@@ -40,12 +42,17 @@ _MONEY = re.compile(r"[+-]?[$€£]?\d.*")
 _LITERAL, _NUM, _UNIT, _NAME = range(4)
 _KINDS = ("", "num", "unit", "name")
 _EMPTY, _CAPITAL, _ENDS = 4, 8, 16
+#: With _EMPTY: a sign such as + that stands alone; only verbatim windows have it.
+_SIGN = 1
+_POINTS = "()[]{}\"'.,;:!?"
 _PLACEHOLDER = np.array([0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333], np.uint64)
 #: Distinct words that a worker remembers.
 _CACHE = 1 << 20
 #: Readings of a text: words at the start of sentences as literals, and as names.
 READINGS = (0, 1)
 _SALTS = (0, 0x5851F42D4C957F2D)
+#: A further reading: all words as they are.
+VERBATIM, _VERBATIM_SALT = 2, 0x14057B7EF767814F
 #: Bits of the filter that keeps windows no item has from being shuffled: 512 KB for any benchmark.
 FILTER_BITS = 22
 
@@ -61,9 +68,10 @@ class _Words(dict):
         text = word.decode("utf-8", "replace")
         core = _EDGES.sub("", text)
         lowered = core.lower()
-        money = _MONEY.fullmatch(text.strip("()[]{}\"'.,;:!?"))
+        money = _MONEY.fullmatch(text.strip(_POINTS))
         if not core:
-            value = _EMPTY
+            core = lowered = text.strip(_POINTS)
+            value = _EMPTY | (_SIGN if core else 0)
         elif lowered in _NUMBER_SET or (core[0].isdigit() or money) and _NUMBER.fullmatch(lowered):
             value = _NUM
         elif lowered in _UNIT_SET:
@@ -127,7 +135,25 @@ class Template:
         return found
 
 
-def _windows(rows: DataFrame, size_of, literals: int, bits: np.ndarray | None) -> DataFrame:
+class Verbatim:
+    """The lower-cased words of a text without the signs around them, and signs that stand alone."""
+
+    def __init__(self, packed: np.ndarray):
+        flags = packed & np.uint64(_EMPTY | _SIGN)
+        self.hashes = packed[flags != np.uint64(_EMPTY)] >> np.uint64(5)
+
+    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of all windows."""
+        n = len(self.hashes) - size + 1
+        if n < 1:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.arange(n), rolling(self.hashes, size) ^ np.uint64(size) ^ np.uint64(_VERBATIM_SALT)
+
+    def slots(self, at: int, size: int) -> list[str]:
+        return []
+
+
+def _windows(rows: DataFrame, size_of, literals: int, bits: np.ndarray | None, verbatim: bool) -> DataFrame:
     """(key, crc, text) to (key, crc, reading, pos, size, total, hash, slots); ``bits`` filters the hashes.
 
     ``size_of`` gives the sizes of the windows for a reading and a number of tokens.
@@ -139,8 +165,8 @@ def _windows(rows: DataFrame, size_of, literals: int, bits: np.ndarray | None) -
             out: list[tuple] = []
             for i, data in enumerate(bytes_of(batch, "text")):
                 words, packed = _packed(data, cache)
-                for reading in READINGS:
-                    template = Template(words, packed, reading == 1)
+                for reading in (*READINGS, VERBATIM) if verbatim else READINGS:
+                    template = Verbatim(packed) if reading == VERBATIM else Template(words, packed, reading == 1)
                     for size in size_of(reading, len(template.hashes)):
                         at, hashes = template.windows(size, literals)
                         total = len(at)
@@ -169,12 +195,14 @@ def contaminated(
     size: int = 8,
     literals: int = 4,
     coverage: float = 0.5,
+    verbatim: bool = False,
 ) -> DataFrame:
     """(key, crc, item, covered, changed): documents that hold an item, the share of its windows that they hold,
     and the number of its slots with another value than in the item. ``crc`` is ``text_key`` of the document.
     """
     items = require(benchmark, item, item_text).select(F.col(f"`{item}`").alias("key"), F.lit(0).cast("long").alias("crc"), F.col(f"`{item_text}`").alias("text"))
-    own = _windows(items, lambda _, n: [size] if n >= size else [n] if n >= literals else [], literals, None).distinct()
+    least = lambda reading: 1 if reading == VERBATIM else literals
+    own = _windows(items, lambda r, n: [size] if n >= size else [n] if n >= least(r) else [], literals, None, verbatim).distinct()
     # The filter has a fixed size; the lengths of short items are fewer than ``size``.
     cells = own.select(F.expr(f"shiftrightunsigned(hash, {64 - FILTER_BITS})").alias("cell")).distinct().collect()
     sizes: dict[int, list[int]] = {}
@@ -184,7 +212,7 @@ def contaminated(
     for (cell,) in cells:
         bits[cell >> 3] |= 1 << (cell & 7)
     rows = require(docs, key, text).select(F.col(f"`{key}`").alias("key"), text_key(text).alias("crc"), F.col(f"`{text}`").alias("text"))
-    theirs = _windows(rows, lambda r, n: [s for s in sizes.get(r, ()) if s <= n], literals, bits).drop("total", "size").distinct()
+    theirs = _windows(rows, lambda r, n: [s for s in sizes.get(r, ()) if s <= n], literals, bits, verbatim).drop("total", "size").distinct()
     own = own.select(F.col("key").alias("item"), "reading", F.col("pos").alias("item_pos"), "total", "hash", F.col("slots").alias("item_slots"))
     pairs = F.transform(
         F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")),

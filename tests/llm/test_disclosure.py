@@ -124,3 +124,16 @@ def test_no_python_in_the_plan(spark):
     for frame in (D.personal_data(docs, Scratch(spark)), D.sanitise(docs, Scratch(spark))):
         plan = frame._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_revealing_terms_go_wherever_they_stand(spark):
+    filler = " ".join(f"plain{i}" for i in range(60))
+    near = [(i, f"start Zelda boss@acme.org {filler}") for i in range(20)]
+    rows = [*near, (20, f"Zelda boss@acme.org {filler} and ZELDA again"), (21, "here zelda stands alone"), (None, "x Zelda, y"), (22, "zelda@acme.org zeldas"), (23, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in D.sanitise(docs, Scratch(spark), everywhere=True).collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert got[21] in ("here  stands alone", "here [TERM] stands alone") and got[22] == "[EMAIL] zeldas"
+    assert not any(re.search(r"\bzelda\b", t.lower()) for t in got.values() if t)
+    spans = {r.doc_id: r.spans for r in D.personal_data(docs, Scratch(spark), everywhere=True).collect()}
+    assert spans[21] == "term:5:10" and spans[None] == "term:2:7" and spans[20].count("term:") >= 2

@@ -5,10 +5,12 @@ entities. Terms near a mention of an entity may reveal it: corpus co-occurrence
 co times near entity e and n times in the whole corpus tells the share ``1 - log2(n / co) / log2(N / slots)`` of the
 information e has, with N terms in the corpus and ``slots`` of them near mentions of e (pointwise mutual information over
 information content: 1 if t stands nowhere else, 0 if near e as often as anywhere). Terms seen near the entity at least
-``support`` times that tell ``generalise`` or more are replaced by a general class, from ``remove`` on they go.
+``support`` times that tell ``generalise`` or more are replaced by a general class, from ``remove`` on they go. With
+``everywhere`` they do so wherever they stand in the corpus, near a mention or not, and of the entities a term tells about
+the one it tells most of counts; without it only the places near mentions are found.
 
 Null texts are empty. Documents are told apart by id and text; repeated rows get equal results. Offsets count code points,
-ends are exclusive. All counts cover all rows; the only window is that of the terms around a mention.
+ends are exclusive. All counts cover all rows; the only window is that of the terms around a mention, for estimating.
 """
 
 from __future__ import annotations
@@ -142,11 +144,43 @@ def _term_counts(docs: DataFrame, text: str) -> DataFrame:
     return require(docs, text).select(F.inline(hashed)).groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def revealing(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", support: int = 2, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
-    """(key, crc, start, end, value, share, action): terms near identifiers that give them away.
+def _everywhere(docs: DataFrame, told: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, crc, start, end, term, share): all places of the told terms (term, h, share) outside identifiers.
 
-    The corpus is read twice: for the terms near mentions and for the counts of all terms. What is kept of either, terms
-    near mentions, is small beside the texts and written to the scratch folder.
+    Texts are joined only with the list of told terms that they hold.
+    """
+    rows = require(docs, key, text).select(F.col(f"`{key}`").alias("key"), text_key(text).alias("crc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    hashes = F.array_distinct(F.transform(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(F.lower(w))))
+    held = rows.select("key", "crc", F.explode(hashes).alias("h")).join(told, "h")
+    held = held.groupBy("key", "crc").agg(F.collect_set(F.struct("term", "share")).alias("told")).withColumnsRenamed({"key": "_key", "crc": "_crc"})
+    met = rows.join(held, F.col("key").eqNullSafe(F.col("_key")) & (F.col("crc") == F.col("_crc")))
+    mentions = F.concat(*[_tagged(base_spans(k, F.col("text")), lambda _, kind: F.lit(kind).alias("kind"), k) for k in KINDS])
+    met = met.select("key", "crc", "text", F.map_from_entries("told").alias("told"), mentions.alias("all"))
+    words = F.regexp_extract_all("text", F.lit(_TERM_PATTERN), F.lit(0))
+    steps = let(
+        words,
+        lambda found: F.zip_with(
+            F.slice(F.split("text", _TERM_PATTERN, -1), 1, F.size(found)), found, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("size"), F.lower(w).alias("term"))
+        ),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,term:string,share:double>>").alias("spans"))
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = acc["at"] + s["gap"]
+        share = F.try_element_at(F.col("told"), s["term"])
+        place = F.struct(begin.alias("start"), (begin + s["size"]).alias("end"), s["term"].alias("term"), share.alias("share"))
+        return F.struct((begin + s["size"]).alias("at"), F.when(share.isNotNull(), F.array_append(acc["spans"], place)).otherwise(acc["spans"]).alias("spans"))
+
+    placed = met.select("key", "crc", "all", F.aggregate(steps, start, step, lambda acc: acc["spans"]).alias("spans"))
+    free = F.filter("spans", lambda t: ~F.exists("all", lambda m: (m["start"] < t["end"]) & (m["end"] > t["start"])))
+    return placed.select("key", "crc", F.inline(free)).distinct()
+
+
+def revealing(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", support: int = 2, generalise: float = 0.75, remove: float = 0.95, everywhere: bool = False) -> DataFrame:
+    """(key, crc, start, end, value, share, action): places of terms that give identifiers away.
+
+    The corpus is read for the terms near mentions, for the counts of all terms, and for the places of those that tell.
+    What is kept, terms near mentions and those that tell, is small beside the texts and written to the scratch folder.
     """
     near = scratch.settle(_contexts(with_base(docs, key, text)))
     entities = near.groupBy("entity").agg(F.sum(F.size("terms")).alias("slots"))
@@ -159,8 +193,12 @@ def revealing(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
     total = held.filter("h is null").select("n")
     share = 1 - F.log2(F.col("n") / F.col("co")) / F.log2(F.greatest(F.col("total") / F.col("slots"), F.lit(2.0)))
     told = together.join(held, "h").join(entities, "entity").withColumn("total", total.scalar()).withColumn("share", F.round(share, 6))
-    told = told.filter(F.col("share") >= generalise).select("entity", "term", "share")
-    found = occurrences.join(told, ["entity", "term"]).groupBy("key", "crc", "start", "end", "term").agg(F.max("share").alias("share"))
+    told = told.filter(F.col("share") >= generalise).select("entity", "term", "h", "share")
+    if everywhere:
+        told = scratch.settle(told.groupBy("term", "h").agg(F.max("share").alias("share")))
+        found = _everywhere(docs, told, key, text)
+    else:
+        found = occurrences.join(told, ["entity", "term"]).groupBy("key", "crc", "start", "end", "term").agg(F.max("share").alias("share"))
     return found.select("key", "crc", "start", "end", F.col("term").alias("value"), "share", F.when(F.col("share") >= remove, "removed").otherwise("generalised").alias("action"))
 
 

@@ -93,8 +93,8 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
-    """Identifiers in every document, and the terms near them that give them away."""
-    return disclosure.personal_data(_documents(spark, folder), Scratch(spark))
+    """Identifiers in every document, and all places of the terms that give them away."""
+    return disclosure.personal_data(_documents(spark, folder), Scratch(spark), everywhere=True)
 
 
 @_register

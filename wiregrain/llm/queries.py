@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import archives, backoff, disclosure, language, quality, segmentation, simhash, spans, templates, tokens
+from wiregrain.llm import archives, backoff, countjoin, disclosure, language, quality, segmentation, simhash, spans, templates, tokens
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_documents(spark, folder), Scratch(spark))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_register
+def op13_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of word 4-gram sets with a Jaccard similarity of 0.85 or more."""
+    return countjoin.jaccard_groups(_documents(spark, folder), Scratch(spark))

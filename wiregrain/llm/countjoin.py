@@ -4,8 +4,8 @@ A document is the set of its distinct ``words``-word shingles (A-Z lower-cased;
 documents are linked when ``100 * intersection >= percent * union``. Shingles are hashed into groups, and the counts of the
 groups are the document's point: the overlap of two sets is at most the sum of the smaller coordinates of their points.
 
-* **Directory.** Two linked sets differ in at most ``d`` shingles. Dealt into ``d + 2`` groups, they agree in the whole
-  content of two groups at least, so documents meet in cells: sets of one size band with one group's content. Sets for
+* **Directory.** Two linked sets differ in at most ``d`` shingles. Dealt into more than ``d`` groups, they agree in the
+  whole content of some group, so documents meet in cells: sets of one size band with one group's content. Sets for
   which all agreeing groups could be empty ones are dealt again by another hash, so that no link is lost. Bands overlap
   where partners can be larger.
 * **Stars.** In each cell every set is first paired with one only. Pairs that pass the bound of summed minima are checked
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,19 @@ def _allowed(total: np.ndarray | int, percent: int):
     return total * (100 - percent) // (100 + percent)
 
 
+@cache
+def _groups(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each band the differences allowed and the number of groups: so many that sets leave few enough of them empty
+    for a group that agrees to have content nearly always, twice the differences at most."""
+    differ = _allowed(2 * (_EDGES[1:] - 1), percent)
+    least = np.maximum(_EDGES[:-1] * percent // 100, 1)
+    groups = differ + 2
+    for _ in range(200):
+        short = (groups * -np.expm1(-least / groups) < 1.03 * differ + 2) & (groups < 2 * differ)
+        groups = np.where(short, groups + groups // 100 + 1, groups)
+    return differ, groups
+
+
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Owner and 64-bit signature of the cells of every set, in order of owners."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -105,17 +119,15 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     band = np.searchsorted(_EDGES, sizes, "right") - 1
     owners, found = [], []
     reach = sizes * 100 // percent  # the largest partner
+    allowed, wanted = _groups(percent)
     own = np.nonzero(sizes > 0)[0]
     while len(own):
-        top = _EDGES[band[own] + 1] - 1
-        differ = _allowed(2 * top, percent)
         # Sets that differ in nothing are one class already.
-        dealt = own[differ > 0]
-        differ = differ[differ > 0]
+        dealt = own[allowed[band[own]] > 0]
+        differ, groups = allowed[band[dealt]], wanted[band[dealt]]
         for turn in range(_ROUNDS):
             if not len(dealt):
                 break
-            groups = differ + 2
             offset = np.cumsum(groups) - groups
             n = sizes[dealt]
             at = np.repeat(begin[dealt] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -131,7 +143,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
             code = (band[dealt][of] << 44 | turn << 40 | (np.arange(len(of)) - offset[of])).astype(np.uint64)
             found.append(_mix(content[kept] ^ _mix(code[kept], 5)))
             owners.append(dealt[of[kept]])
-            dealt, differ = dealt[again], differ[again]
+            dealt, differ, groups = dealt[again], differ[again], groups[again]
         band[own] += 1
         own = own[reach[own] >= _EDGES[band[own]]]
     if not owners:

@@ -72,7 +72,7 @@ def test_summed_minima_bound_the_overlap():
         pool = rng.integers(0, 1 << 62, n + m, dtype=np.uint64)
         a, b = np.unique(pool[:n]), np.unique(np.concatenate((pool[: m // 2], pool[n : n + m // 2])))
         p, q = C.point(a), C.point(b)
-        width = min(len(p), len(q))
+        width = C._width((p, q))
         x, y = C._matrix([p], np.array([len(a)]), width)[0], C._matrix([q], np.array([len(b)]), width)[0]
         assert np.minimum(x, y).sum() >= len(np.intersect1d(a, b)) and x.sum() == len(a)
 
@@ -98,10 +98,11 @@ def test_tree_pairs_equal_all_pairs():
 def test_components_equal_all_pairs(spark, page_rows, monkeypatch):
     texts = planted()
     sets = [brute_set(t) for t in texts]
-    if page_rows == 4:  # every cell's first class by the way of hot cells, every pair in a task of its own
+    if page_rows == 4:  # every cell's first class by the way of hot cells, every pair in a task of its own, no broadcast
         monkeypatch.setattr(C, "_HOT_ROWS", 0)
         monkeypatch.setattr(C, "_HOT_CELLS", 1 << 60)
         monkeypatch.setattr(C, "_PAIRS", 1)
+        monkeypatch.setattr(C, "_BROADCAST_ROWS", 0)
     with Scratch(spark) as scratch:
         found = {r.doc_id: (r.n_shingles, r.component_id) for r in C.jaccard_groups(table(spark, texts), scratch, page_rows=page_rows).collect()}
     assert found == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, brute_components(sets), strict=True))}

@@ -24,7 +24,7 @@ one task; its points have at most 65,536 coordinates.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -55,6 +55,9 @@ _STEP = 4 << 20
 #: Pairs with one source that meet in one task.
 _PAIRS = 5000
 
+#: Rows of ids that are broadcast at most, some ten bytes each.
+_BROADCAST_ROWS = 2_000_000
+
 _U = np.uint64
 
 
@@ -154,28 +157,32 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
 
 
 def point(hashes: np.ndarray) -> bytes:
-    """Group counts of a set, one byte each; twice as large sets have twice as many coordinates.
+    """Group counts of a set, half a byte each; twice as large sets have twice as many coordinates.
 
     Groups are the low bits of a hash, so a point is folded to fewer coordinates by adding its halves.
     """
-    width = min(1 << max(int(len(hashes)).bit_length() - 1, 3), _COORDINATES)
+    width = min(1 << max(int(len(hashes)).bit_length() - 2, 3), _COORDINATES)
     counts = np.bincount((_mix(hashes, 3) & _U(width - 1)).astype(np.int64), minlength=width)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
-
-
-def _folded(own: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(own, np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32)
+    counts = np.minimum(counts, 15).astype(np.uint8)
+    return (counts[: width // 2] << 4 | counts[width // 2 :]).tobytes()
 
 
 def _matrix(points: list[bytes], sizes: np.ndarray, width: int) -> np.ndarray:
-    """Points with ``width`` coordinates each, and one more for what a byte could not count."""
+    """Points with ``width`` coordinates each, and one more for what half a byte could not count."""
     out = np.empty((len(points), width + 1), np.int32)
-    for i, own in enumerate(points):
-        out[i, :-1] = _folded(own, width)
+    for i, packed in enumerate(points):
+        own = np.frombuffer(packed, np.uint8)
+        own = np.concatenate((own >> 4, own & 15))
+        out[i, :-1] = own.reshape(-1, width).sum(axis=0, dtype=np.int32)
     out[:, -1] = sizes - out[:, :-1].sum(axis=1)
     return out
 
 
+def _width(points: Iterable[bytes]) -> int:
+    """Coordinates that all these points can be folded to."""
+    return 2 * min(map(len, points))
+
+
 def _enough(bound: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
     """Whether an overlap of ``bound`` links sets with ``total`` shingles together."""
     return bound * (100 + percent) >= percent * total
@@ -276,6 +283,11 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "cid long, shingles binary")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A settled table of ids, broadcast if it is counted to be small; else Spark joins it by its key."""
+    return F.broadcast(table) if table.count() <= _BROADCAST_ROWS else table
+
+
 def _sizes_fit(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
@@ -291,7 +303,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 p, q = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
-                width = min(len(p), len(q))
+                width = _width((p, q))
                 x, y = _matrix([p], n[i : i + 1], width)[0], _matrix([q], m[i : i + 1], width)[0]
                 keep[i] = _enough(np.minimum(x, y).sum(dtype=np.int64), n[i] + m[i], percent)
             yield batch.select(["src", "dst"]).filter(pa.array(keep))
@@ -331,8 +343,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "src long, dst long")
 
 
-def _cells(described: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cell, cid, first): the classes of every cell with two or more of them, and one of them for all."""
+def _cells(described: DataFrame, copies: DataFrame) -> DataFrame:
+    """(cell, cid, first): the classes of every cell with two or more of them, and one of them for all.
+
+    ``copies`` are the rows that do not name their class.
+    """
     listed = described.select("row", F.explode("cells").alias("cell"))
     total = described.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0]
     limit = max(_HOT_ROWS, total // _HOT_CELLS)
@@ -342,12 +357,10 @@ def _cells(described: DataFrame, classes: DataFrame) -> DataFrame:
     hot = F.broadcast(sample.select("cell"))
     # The smallest row of a class names it, so the smallest row of a cell is a class.
     firsts = listed.join(hot, "cell", "left_semi").groupBy("cell").agg(F.min("row").alias("hot_first"))
-    own = described.join(classes.select(F.col("cid").alias("row")), "row", "left_semi")
-    rows = own.select(F.col("row").alias("cid"), F.explode("cells").alias("cell")).join(F.broadcast(firsts), "cell", "left")
-    rows = rows.withColumn("salt", F.when(F.col("hot_first").isNotNull(), F.col("cid")).otherwise(F.lit(0)))
-    cell = Window.partitionBy("cell", "salt")
-    rows = rows.select("cell", "cid", "hot_first", F.count("*").over(cell).alias("n"), F.min("cid").over(cell).alias("least"))
-    return rows.filter(F.col("hot_first").isNotNull() | (F.col("n") > 1)).select("cell", "cid", F.coalesce("hot_first", "least").alias("first"))
+    own = described.join(copies, "row", "left_anti").select(F.col("row").alias("cid"), F.explode("cells").alias("cell"))
+    cell = Window.partitionBy("cell")
+    cold = own.join(F.broadcast(firsts), "cell", "left_anti").select("cell", "cid", F.count("*").over(cell).alias("n"), F.min("cid").over(cell).alias("first"))
+    return cold.filter("n > 1").select("cell", "cid", "first").union(own.join(F.broadcast(firsts), "cell").select("cell", "cid", "hot_first"))
 
 
 def _paged(members: DataFrame, page_rows: int) -> DataFrame:
@@ -357,7 +370,7 @@ def _paged(members: DataFrame, page_rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def page(rows: list[tuple]) -> pa.RecordBatch:
             cells, cids, roots, sizes, points = zip(*rows, strict=True)
-            width = min(map(len, points))
+            width = _width(points)
             top = _matrix(list(points), np.array(sizes), width).max(axis=0).astype("<i4").tobytes()
             number = cids[0]  # one of this cell in one page only
             box = (cells[0], number, None, min(roots), max(roots), min(sizes), max(sizes), top)
@@ -421,7 +434,7 @@ def _tree_join(pages: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def join(rows: list[tuple]) -> pa.RecordBatch:
-            width = min(len(r[7]) for r in rows)
+            width = _width(r[7] for r in rows)
             parts = [[r for r in rows if r[3] == side] for side in (0, 1)]
             ids, trees = [], []
             for part in parts:
@@ -452,25 +465,27 @@ def groups(rows: DataFrame, scratch: Scratch, words: int = 4, percent: int = 85,
     Keys must tell rows with different texts apart. ``seeds`` are pairs (key_1, key_2) that are checked first besides the
     stars; they save work where they are right and do no harm where not.
     """
-    described = scratch.settle(_described(rows, words, percent).withColumn("row", F.monotonically_increasing_id()))
-    full = described.filter("size > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("row").alias("cid"))
-    members = scratch.settle(full.select("key", "row", "d1", "d2", "size").join(classes, ["d1", "d2"]).select("key", "row", "size", "cid"))
-    held = scratch.settle(_cells(full, members.filter("row = cid").select("cid")))
-    tried = held.filter("cid <> first").select(F.col("first").alias("src"), F.col("cid").alias("dst"))
-    if seeds is not None:
-        end = lambda i: members.select(F.col("key").alias(f"k{i}"), F.col("cid").alias(f"c{i}"))
-        met = seeds.join(end(1), F.col("key_1").eqNullSafe(F.col("k1"))).join(end(2), F.col("key_2").eqNullSafe(F.col("k2")))
-        tried = tried.union(met.filter("c1 <> c2").select(F.least("c1", "c2"), F.greatest("c1", "c2")))
-    tried = scratch.settle(tried.distinct())
-    near = held.select("cid").union(tried.select("src")).union(tried.select("dst")).distinct()
-    points = scratch.settle(described.select(F.col("row").alias("cid"), "size", "point").join(near, "cid", "left_semi"))
+    with Scratch(rows.sparkSession) as first:
+        described = first.settle(_described(rows, words, percent).withColumn("row", F.monotonically_increasing_id()))
+        full = described.filter("size > 0")
+        classes = full.groupBy("d1", "d2").agg(F.min("row").alias("cid"))
+        members = scratch.settle(full.select("key", "row", "d1", "d2", "size").join(classes, ["d1", "d2"]).select("key", "row", "size", "cid"))
+        held = scratch.settle(_cells(full, _small(members.filter("row <> cid").select("row"))))
+        tried = held.filter("cid <> first").select(F.col("first").alias("src"), F.col("cid").alias("dst"))
+        if seeds is not None:
+            end = lambda i: members.select(F.col("key").alias(f"k{i}"), F.col("cid").alias(f"c{i}"))
+            met = seeds.join(end(1), F.col("key_1").eqNullSafe(F.col("k1"))).join(end(2), F.col("key_2").eqNullSafe(F.col("k2")))
+            tried = tried.union(met.filter("c1 <> c2").select(F.least("c1", "c2"), F.greatest("c1", "c2")))
+        tried = scratch.settle(tried.distinct())
+        near = scratch.settle(held.select("cid").union(tried.select("src")).union(tried.select("dst")).distinct())
+        points = scratch.settle(described.select(F.col("row").alias("cid"), "size", "point").join(_small(near), "cid", "left_semi"))
+        empty = scratch.settle(described.filter("size = 0").select("key", "size", F.lit(None).cast("long").alias("root")))
 
     def check(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("src").alias("cid")).union(pairs.select(F.col("dst").alias("cid"))).distinct()
-        chosen = members.filter("row = cid").join(wanted, "cid", "left_semi").select("cid", F.col("key").alias("_key"))
+        chosen = _small(scratch.settle(members.filter("row = cid").join(wanted, "cid", "left_semi").select("cid", F.col("key").alias("_key"))))
         own = rows.join(chosen, F.col("key").eqNullSafe(F.col("_key"))).select("cid", "text").dropDuplicates(["cid"])
-        return scratch.settle(_verified(pairs, scratch.settle(_sets(own, words)), percent))
+        return scratch.settle(_verified(pairs, _sets(own, words), percent))
 
     links = check(scratch.settle(_bounded(tried, points, percent)))
     stars = star_components(links, scratch).withColumnRenamed("node", "cid")
@@ -484,7 +499,7 @@ def groups(rows: DataFrame, scratch: Scratch, words: int = 4, percent: int = 85,
     rest = scratch.settle(rest.join(tried, ["src", "dst"], "left_anti"))
     roots = star_components(links.union(check(rest)), scratch).withColumnRenamed("node", "cid")
     found = members.join(roots, "cid", "left").select("key", "size", F.coalesce("root", "cid").alias("root"))
-    return found.union(described.filter("size = 0").select("key", "size", F.lit(None).cast("long").alias("root")))
+    return found.union(empty)
 
 
 def jaccard_groups(

@@ -343,7 +343,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "src long, dst long")
 
 
-def _cells(described: DataFrame, copies: DataFrame) -> DataFrame:
+def _cells(described: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
     """(cell, cid, first): the classes of every cell with two or more of them, and one of them for all.
 
     ``copies`` are the rows that do not name their class.
@@ -354,13 +354,17 @@ def _cells(described: DataFrame, copies: DataFrame) -> DataFrame:
     # Cells that stand in many rows, by a sample that steers only where their first class is looked for.
     sample = listed.filter(F.pmod(F.xxhash64("row"), F.lit(64)) == 0).groupBy("cell").count().filter(F.col("count") > limit // 128)
     # Rows of the sample divided by the count asked for: no more than about two hundred thousand cells.
-    hot = F.broadcast(sample.select("cell"))
-    # The smallest row of a class names it, so the smallest row of a cell is a class.
-    firsts = listed.join(hot, "cell", "left_semi").groupBy("cell").agg(F.min("row").alias("hot_first"))
+    hot = scratch.settle(sample.select("cell"))
     own = described.join(copies, "row", "left_anti").select(F.col("row").alias("cid"), F.explode("cells").alias("cell"))
     cell = Window.partitionBy("cell")
-    cold = own.join(F.broadcast(firsts), "cell", "left_anti").select("cell", "cid", F.count("*").over(cell).alias("n"), F.min("cid").over(cell).alias("first"))
-    return cold.filter("n > 1").select("cell", "cid", "first").union(own.join(F.broadcast(firsts), "cell").select("cell", "cid", "hot_first"))
+    any_hot = not hot.isEmpty()
+    cold = (own.join(F.broadcast(hot), "cell", "left_anti") if any_hot else own).select("cell", "cid", F.count("*").over(cell).alias("n"), F.min("cid").over(cell).alias("first"))
+    cold = cold.filter("n > 1").select("cell", "cid", "first")
+    if not any_hot:
+        return cold
+    # The smallest row of a class names it, so the smallest row of a cell is a class.
+    firsts = scratch.settle(listed.join(F.broadcast(hot), "cell", "left_semi").groupBy("cell").agg(F.min("row").alias("first")))
+    return cold.union(own.join(F.broadcast(firsts), "cell").select("cell", "cid", "first"))
 
 
 def _paged(members: DataFrame, page_rows: int) -> DataFrame:
@@ -470,7 +474,7 @@ def groups(rows: DataFrame, scratch: Scratch, words: int = 4, percent: int = 85,
         full = described.filter("size > 0")
         classes = full.groupBy("d1", "d2").agg(F.min("row").alias("cid"))
         members = scratch.settle(full.select("key", "row", "d1", "d2", "size").join(classes, ["d1", "d2"]).select("key", "row", "size", "cid"))
-        held = scratch.settle(_cells(full, _small(members.filter("row <> cid").select("row"))))
+        held = scratch.settle(_cells(full, _small(members.filter("row <> cid").select("row")), first))
         tried = held.filter("cid <> first").select(F.col("first").alias("src"), F.col("cid").alias("dst"))
         if seeds is not None:
             end = lambda i: members.select(F.col("key").alias(f"k{i}"), F.col("cid").alias(f"c{i}"))

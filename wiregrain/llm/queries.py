@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import archives, backoff, countjoin, disclosure, language, quality, segmentation, simhash, spans, templates, tokens
+from wiregrain.llm import archives, backoff, countjoin, disclosure, language, quality, segmentation, simhash, spans, templates, tokens, whitening
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op13_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under links of word 4-gram sets with a Jaccard similarity of 0.85 or more."""
     return countjoin.jaccard_groups(_documents(spark, folder), Scratch(spark))
+
+
+@_register
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Four whitened components of every embedding."""
+    return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"), Scratch(spark))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrain.llm import archives, backoff, countjoin, disclosure, language, quality, segmentation, simhash, spans, templates, tokens, whitening
+from wiregrain.llm import archives, backoff, countjoin, disclosure, divergence, language, quality, segmentation, simhash, spans, templates, tokens, whitening
 from wiregrain.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,49 @@ def op13_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Four whitened components of every embedding."""
     return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"), Scratch(spark))
+
+
+@_register
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Differences of the sources of each language, and the terms that set a source apart."""
+    return divergence.audit(_documents(spark, folder), Scratch(spark))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(words)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 10),
+size AS (SELECT g.lang, g.source, coalesce(k.v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) k USING (lang)),
+seen AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(words) AS term FROM d) JOIN kept USING (lang, term)
+  GROUP BY lang, source, term),
+dense AS (
+  SELECT s.lang, s.source, k.term, s.v, coalesce(c.n, 0) AS n FROM size s JOIN kept k USING (lang) LEFT JOIN seen c USING (lang, source, term)),
+own AS (
+  SELECT lang, source, term, n,
+         1 + (1000000000 * (n + 2)) // (CAST(sum(n) OVER (PARTITION BY lang, source) AS BIGINT) + 2 * v) AS p
+  FROM dense),
+whole AS (
+  SELECT lang, term, 1 + (1000000000 * (n + 2)) // (CAST(sum(n) OVER (PARTITION BY lang) AS BIGINT) + 2 * v) AS q
+  FROM (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n, any_value(v) AS v FROM dense GROUP BY lang, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM size a JOIN size b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+    FROM own x JOIN own y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) f
+  ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (
+  SELECT lang, source, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value
+  FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

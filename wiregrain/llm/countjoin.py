@@ -13,6 +13,8 @@ groups are the document's point: the overlap of two sets is at most the sum of t
 * **R-trees.** Cells that still hold more than one component become pages of an R-tree: sorted by size, with the largest
   coordinates, sizes and components of their points as bounding box. Page pairs, then nodes inside pages, then points go
   on only if the summed minima of their boxes reach the overlap that their sizes need and more than one component is left.
+  First every point is paired with its ``BEST`` nearest partners of each page only, which connects nearly all of a large
+  group of near copies; then all pairs that are still in different components follow.
 * **Check.** Surviving pairs are compared on their whole sets of 64-bit shingle hashes.
 
 Equal sets are one class, told by 128 bits. Texts null, empty or without a word have the empty set and are linked with
@@ -48,6 +50,8 @@ _HOT_ROWS = 4096
 _HOT_CELLS = 100_000
 #: Points and bytes of points of a page, and children of a node.
 PAGE_ROWS = 1024
+#: Partners of a point in one page that are tried before all others.
+BEST = 4
 _PAGE_BYTES = 2 << 20
 _FANOUT = 8
 #: Pairs that are compared at a time, in bytes of points.
@@ -201,8 +205,11 @@ class Tree:
             )
 
 
-def tree_pairs(one: Tree, two: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves (i, j) of two trees with different components whose summed minima allow a link; i < j if it is one tree."""
+def tree_pairs(one: Tree, two: Tree, percent: int, best: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves (i, j) of two trees with different components whose summed minima allow a link; i < j if it is one tree.
+
+    With ``best`` only the pairs are given that are among the nearest so many of one of their leaves.
+    """
     same = one is two
     while len(one.levels) < len(two.levels):
         one.levels.append(one.levels[-1])
@@ -219,15 +226,29 @@ def tree_pairs(one: Tree, two: Tree, percent: int) -> tuple[np.ndarray, np.ndarr
         if same:
             keep &= (a < b) if level == 0 else (a <= b)
         a, b = a[keep], b[keep]
-        fits = np.empty(len(a), bool)
+        fits, near = np.empty(len(a), bool), np.empty(len(a))
         step = max(_STEP // (4 * p[0].shape[1]), 1)
         for at in range(0, len(a), step):
             x, y = a[at : at + step], b[at : at + step]
-            fits[at : at + step] = _enough(np.minimum(p[0][x], q[0][y]).sum(axis=1, dtype=np.int64), p[1][x] + q[1][y], percent)
-        a, b = a[fits], b[fits]
+            bound, total = np.minimum(p[0][x], q[0][y]).sum(axis=1, dtype=np.int64), p[1][x] + q[1][y]
+            fits[at : at + step], near[at : at + step] = _enough(bound, total, percent), bound / total
+        a, b, near = a[fits], b[fits], near[fits]
+    if best is not None:
+        first = (_ranked(a, near) < best) | (_ranked(b, near) < best)
+        a, b = a[first], b[first]
     return a, b
 
 
+def _ranked(leaf: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Place of each pair among those of its leaf, the nearest first."""
+    order = np.lexsort((-near, leaf))
+    head = np.concatenate(([True], np.diff(leaf[order]) != 0))[: len(order)]
+    start = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - start
+    return rank
+
+
 def _children(nodes: np.ndarray, below: int, above: int) -> tuple[np.ndarray, np.ndarray]:
     """First child and number of children of each node."""
     if below == above:  # a level repeated to reach the height of the other tree
@@ -427,7 +448,7 @@ def _page_pairs(boxes: DataFrame, percent: int) -> DataFrame:
     return met.select("cell", "page_1", "page_2", "least_1", "least_2", "point_1", "point_2").mapInArrow(run, "cell long, page long, other long")
 
 
-def _tree_join(pages: DataFrame, percent: int) -> DataFrame:
+def _tree_join(pages: DataFrame, percent: int, best: int | None) -> DataFrame:
     """Pairs (src, dst) of different components in one cell that the trees of their pages let pass."""
     members = pages.filter("cid is not null").select("cell", "page", "cid", F.col("low").alias("root"), F.col("least").alias("size"), "point")
     units = _page_pairs(pages.filter("cid is null"), percent)
@@ -446,7 +467,7 @@ def _tree_join(pages: DataFrame, percent: int) -> DataFrame:
                 ids.append(np.array([r[4] for r in part], np.int64))
                 trees.append(Tree(sizes, _matrix([r[7] for r in part], sizes, width), np.array([r[5] for r in part], np.int64)) if part else None)
             alone = trees[1] is None
-            a, b = tree_pairs(trees[0], trees[0] if alone else trees[1], percent)
+            a, b = tree_pairs(trees[0], trees[0] if alone else trees[1], percent, best)
             x, y = ids[0][a], ids[0 if alone else 1][b]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["src", "dst"])
 
@@ -492,16 +513,20 @@ def groups(rows: DataFrame, scratch: Scratch, words: int = 4, percent: int = 85,
         return scratch.settle(_verified(pairs, _sets(own, words), percent))
 
     links = check(scratch.settle(_bounded(tried, points, percent)))
-    stars = star_components(links, scratch).withColumnRenamed("node", "cid")
-    rooted = scratch.settle(held.select("cell", "cid").join(stars, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
-    # Cells with the same classes are one.
-    sums = [F.sum(F.xxhash64("cid", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
-    state = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *sums)
-    open_ = state.filter("low <> high").groupBy("n", "s0", "s1").agg(F.min("cell").alias("cell")).select("cell")
-    left = scratch.settle(rooted.join(open_, "cell", "left_semi").join(points, "cid").select("cell", "cid", "root", "size", "point"))
-    rest = _tree_join(scratch.settle(_paged(left, page_rows)), percent)
-    rest = scratch.settle(rest.join(tried, ["src", "dst"], "left_anti"))
-    roots = star_components(links.union(check(rest)), scratch).withColumnRenamed("node", "cid")
+    roots = star_components(links, scratch).withColumnRenamed("node", "cid")
+    for best in (BEST, None):
+        rooted = scratch.settle(held.select("cell", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+        # Cells with the same classes are one.
+        sums = [F.sum(F.xxhash64("cid", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
+        state = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *sums)
+        if best is None:  # in smaller cells all pairs were among the best
+            state = state.filter(F.col("n") > BEST + 1)
+        open_ = state.filter("low <> high").groupBy("n", "s0", "s1").agg(F.min("cell").alias("cell")).select("cell")
+        left = scratch.settle(rooted.join(open_, "cell", "left_semi").join(points, "cid").select("cell", "cid", "root", "size", "point"))
+        rest = _tree_join(scratch.settle(_paged(left, page_rows)), percent, best)
+        rest = scratch.settle(rest.join(tried, ["src", "dst"], "left_anti"))
+        links, tried = links.union(check(rest)), tried.union(rest)
+        roots = star_components(links, scratch).withColumnRenamed("node", "cid")
     found = members.join(roots, "cid", "left").select("key", "size", F.coalesce("root", "cid").alias("root"))
     return found.union(empty)
 

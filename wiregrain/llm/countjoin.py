@@ -59,6 +59,8 @@ _STEP = 4 << 20
 #: Pairs with one source that meet in one task.
 _PAIRS = 5000
 
+#: Bytes of text whose shingles a worker holds at a time.
+_TEXT_BYTES = 2 << 20
 #: Rows of ids that are broadcast at most, some ten bytes each.
 _BROADCAST_ROWS = 2_000_000
 
@@ -272,7 +274,7 @@ def _described(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, text) to (key, d1, d2, size, cells, point)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text"):
+        for batch in portions(batches, "text", _TEXT_BYTES):
             sets = [shingles(x, words) for x in bytes_of(batch, "text")]
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             owner, signature = signatures(sets, percent)
@@ -297,7 +299,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     """(cid, text) to (cid, shingles as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text"):
+        for batch in portions(batches, "text", _TEXT_BYTES):
             found = [shingles(x, words).tobytes() for x in bytes_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["cid", "shingles"])
 

@@ -34,6 +34,8 @@ def test_odd_rows(spark):
     assert [got[k].lang_pred for k in (0, 1, 90, 91, 92, 93, None, 94)] == ["de", "en", "und", "und", "und", "en", "de", "en"]
     assert all(0 <= r.score <= 1 for r in got.values()) and got[90].score == 0
     assert L.predict(docs, model).count() == len(rows)
+    odd = spark.createDataFrame(list(enumerate(["½ ² ①", "Ⅷ", "ª", "½ und nicht", "一", "٣ 5"])), "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in sorted(L.predict(odd, model).collect())] == [True, True, False, False, False, True]
     assert L.fit(docs.limit(0)) is None and {r.lang_pred for r in L.predict(docs, None).collect()} == {"und"}
     with pytest.raises(ValueError):
         L.fit(docs, most_languages=1)

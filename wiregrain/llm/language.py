@@ -14,6 +14,7 @@ language that sorts first. Whole texts count, in steps of bounded memory.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +30,17 @@ BUCKETS = 1 << 16
 #: Score below which a text has no language: no better than a text that shares nothing with any landmark.
 LEAST_SCORE = 0.1
 _STEP = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters of words; letters are among them, but so are numbers such as one half or circled digits.
+_WORD = re.compile(r"[^\W\d_]")
 _SPACE = re.compile(r"\s+")
 _MULTIPLIER = np.uint32(2654435761)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter (Unicode category L, as in the choice of texts to fit on)."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in _WORD.finditer(text))
+
+
 def mark_grams(text: str, order: int, seen: np.ndarray) -> None:
     """Set the entries of ``seen`` whose buckets hold an n-gram of the text."""
     text = _SPACE.sub(" ", text.lower())
@@ -92,8 +99,13 @@ def fit(
     """
     rows = require(labelled, lang, text).toDF("lang", "text").filter("lang is not null and text is not null")
     rows = rows.filter(F.regexp_like("text", F.lit(r"\p{L}"))).withColumn("pick", F.xxhash64("text"))
+    # Of each language about four times as many hashes as wanted are ranked, the smallest, by a threshold from its size;
+    # so a language with a third of all rows sends no more to one task than any other.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("pick").alias("texts"))
+    part = F.col("pick").cast("double") / 2.0**64 + 0.5
+    low = rows.select("lang", "pick").join(F.broadcast(sizes.limit(most_languages + 1)), "lang").filter(part * F.col("texts") <= 4 * rows_per_language)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
-    picks = rows.select("lang", "pick").distinct().withColumn("rank", rank).filter(F.col("rank") <= rows_per_language)
+    picks = low.select("lang", "pick").distinct().withColumn("rank", rank).filter(F.col("rank") <= rows_per_language)
     picks = picks.select("lang", "pick").limit(most_languages * rows_per_language + 1)
     # Bounded by the limit above: at most 1.5 MB of hashes.
     chosen = rows.join(F.broadcast(picks), ["lang", "pick"]).groupBy("lang", "pick").agg(F.min("text").alias("text"))
@@ -124,7 +136,7 @@ def fit(
 
 def _scored(fitted: LanguageModel | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    known = [i for i, t in enumerate(texts) if fitted is not None and _LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if fitted is not None and has_letter(t)]
     langs, scores = ["und"] * len(texts), np.zeros(len(texts))
     for at in range(0, len(known), 64):
         own = known[at : at + 64]

@@ -16,13 +16,13 @@ def found(spark, texts, items=None, **options):
 
 def test_numbers_names_and_units_may_change(spark):
     new = ITEM.replace("30", "75").replace("4", "9").replace("Anna Miller", "Omar").replace("Boston", "New York").replace("miles", "km")
-    mixed = ITEM.replace("walks 4", "walks 5")  # 4 is 5 in one slot and 4 in another
-    swapped = ITEM.replace("30", "4")  # two values of the item are one value here
+    mixed = new.replace("walks 9", "walks 5")  # 4 is 5 in one slot and 9 in another
+    swapped = new.replace("75", "9")  # two values of the item are one value here
     got = found(
         spark,
         [(1, ITEM), (2, f"{FILL} {new} {FILL}"), (3, mixed), (4, swapped), (5, FILL), (6, " ".join(ITEM.split()[:9])), (7, f"{FILL}\n{ITEM.upper().lower()}"), (8, None), (9, ""), (None, ITEM), (1, ITEM), (1, "other text")],
     )
-    assert set(got) == {(1, 1), (2, 1), (None, 1)}, set(got)
+    assert set(got) == {(1, 1), (2, 1), (7, 1), (None, 1)}, set(got)
     assert got[1, 1].covered == 1.0 and got[1, 1].changed == 0
     assert got[2, 1].covered == 1.0 and got[2, 1].changed >= 6
 
@@ -30,7 +30,7 @@ def test_numbers_names_and_units_may_change(spark):
 def test_short_items_and_ties(spark):
     items = [(1, "red green blue yellow black"), (2, "one two"), (3, None), (4, "red green blue yellow black"), (5, "3 4 5 6 7 8 9 10 11")]
     got = found(spark, [(1, "x red, GREEN blue yellow black y"), (2, "one two"), (3, "3 4 5 6 7 8 9 10 11"), (4, "red green blue " * 40000)], items)
-    assert set(got) == {(1, 1), (1, 4)}
+    assert set(got) == {(1, 1), (1, 4), (2, 2), (3, 5)}
 
 
 def test_filter_stage_keeps_the_rest(spark):
@@ -55,7 +55,7 @@ def test_verbatim_items_without_literals(spark, tmp_path):
     long = " ".join(f"{i} km" for i in range(3, 23))
     items = [(1, "What is 12 + 35?"), (2, "3 4 5 6 7 8 9 10 11"), (3, long), (4, "7"), (5, None), (6, "..."), (7, ITEM)]
     texts = [(1, f"{FILL} what is 12 + 35 {FILL}"), (2, "x 3 4 5 6 7 8 9 10 11 y"), (3, f"{FILL} {long}"), (4, "What is 12 - 35?"), (5, "What is 13 + 35?"), (6, "not 8"), (7, ""), (8, ITEM.lower())]
-    got = found(spark, texts, items, verbatim=True)
+    got = found(spark, texts, items)
     assert set(got) == {(1, 1), (2, 2), (2, 4), (3, 3), (3, 4), (8, 7)}, set(got)
     assert all((r.covered, r.changed) == (1.0, 0) for r in got.values())
     # The query and the pipeline's stage look for them.

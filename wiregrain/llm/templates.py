@@ -195,7 +195,7 @@ def contaminated(
     size: int = 8,
     literals: int = 4,
     coverage: float = 0.5,
-    verbatim: bool = False,
+    verbatim: bool = True,
 ) -> DataFrame:
     """(key, crc, item, covered, changed): documents that hold an item, the share of its windows that they hold,
     and the number of its slots with another value than in the item. ``crc`` is ``text_key`` of the document.

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiregrain.llm.quality import let
@@ -43,6 +43,10 @@ _TERM_PATTERN = r"[\p{L}\p{N}]+"
 #: Characters on each side of a mention in which its terms are looked for, and how many terms count on a side.
 CONTEXT_CHARS = 120
 CONTEXT_TERMS = 5
+#: Characters of a piece of text from which contexts are cut, more than a context has.
+_PIECE = 1024
+#: Stretches of identifiers, of five characters at least, that can begin or end in a context, and one that reaches into it.
+_NEAR = CONTEXT_CHARS // 5 + 2
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -106,26 +110,76 @@ def _tagged(spans: Column, tag: Callable[[Column, str], Column], kind: str) -> C
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tag(s, kind)))
 
 
+def _covers(spans: Column) -> Column:
+    """Disjoint stretches (start, end, members) of sorted spans; spans that overlap are one stretch."""
+    kind = "array<struct<start:int,end:int,entity:string>>"
+    nothing = F.struct(
+        F.array().cast(f"array<struct<start:int,end:int,members:{kind}>>").alias("done"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.array().cast(kind).alias("members")
+    )
+    closed = lambda acc: F.when(
+        F.size(acc["members"]) > 0, F.array_append(acc["done"], F.struct(acc["start"].alias("start"), acc["end"].alias("end"), acc["members"].alias("members")))
+    ).otherwise(acc["done"])
+
+    def step(acc: Column, m: Column) -> Column:
+        inside = m["start"] < acc["end"]
+        return F.struct(
+            F.when(inside, acc["done"]).otherwise(closed(acc)).alias("done"),
+            F.when(inside, acc["start"]).otherwise(m["start"]).alias("start"),
+            F.greatest(F.when(inside, acc["end"]).otherwise(F.lit(0)), m["end"]).alias("end"),
+            F.when(inside, F.array_append(acc["members"], m)).otherwise(F.array(m)).alias("members"),
+        )
+
+    return F.aggregate(spans, nothing, step, closed)
+
+
 def _contexts(rows: DataFrame) -> DataFrame:
-    """(key, crc, entity, terms): the terms (term, start, end) on both sides of every mention of an identifier."""
+    """(key, crc, entity, terms): the terms (term, start, end) on both sides of every mention of an identifier.
+
+    A mention takes its context out of the one or two pieces of the text around it, and compares terms with the
+    stretches of identifiers next to its own, so the work grows with the text and its mentions, not with their product.
+    """
     mention = F.concat(*[_tagged(F.col(k), lambda s, kind: F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"), k) for k in KINDS])
-    rows = rows.withColumn("mentions", mention).filter(F.size("mentions") > 0)
-    rows = rows.select("key", "crc", "text", F.col("mentions").alias("all"), F.explode("mentions").alias("m")).select("key", "crc", "text", "all", "m.*")
-    first = F.greatest(F.col("start") - CONTEXT_CHARS, F.lit(0))
-    rows = rows.select(
-        "key", "crc", "entity", "all", "start", "end",
-        first.alias("left_at"),
-        F.substring(F.col("text"), first + 1, F.col("start") - first).alias("left"),
-        F.substring(F.col("text"), F.col("end") + 1, F.lit(CONTEXT_CHARS)).alias("right"),
-        (F.col("end") + CONTEXT_CHARS < F.length("text")).alias("cut"),
-    )
+    rows = rows.select("key", "crc", "text", F.sort_array(mention).alias("mentions")).filter(F.size("mentions") > 0)
+
+    def surrounded(pieces: Column, covers: Column, length: Column) -> Column:
+        def cut_out(at: Column, size: Column) -> Column:
+            piece = F.floor(at / _PIECE).cast("int")
+            both = F.concat(F.coalesce(F.get(pieces, piece), F.lit("")), F.coalesce(F.get(pieces, piece + 1), F.lit("")))
+            return F.substring(both, at - piece * _PIECE + 1, size)
+
+        def context(m: Column, near: Column) -> Column:
+            first = F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0))
+            return F.struct(
+                m["entity"].alias("entity"),
+                m["end"].alias("end"),
+                first.alias("left_at"),
+                cut_out(first, m["start"] - first).alias("left"),
+                cut_out(m["end"], F.lit(CONTEXT_CHARS)).alias("right"),
+                (m["end"] + CONTEXT_CHARS < length).alias("cut"),
+                near.alias("near"),
+            )
+
+        bounds = F.transform(covers, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
+        return let(
+            bounds,
+            lambda all_: F.flatten(
+                F.transform(
+                    covers,
+                    lambda c, i: let(F.slice(all_, F.greatest(i - _NEAR + 1, F.lit(1)), 2 * _NEAR + 1), lambda near: F.transform(c["members"], lambda m: context(m, near))),
+                )
+            ),
+        )
+
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    found = let(pieces, lambda p: let(_covers(F.col("mentions")), lambda c: let(F.length("text"), lambda n: surrounded(p, c, n))))
+    rows = rows.select("key", "crc", F.inline(found))
     placed = lambda spans, by: F.transform(
         spans, lambda s: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end"))
     )
     # A term that the window cuts is not a term of the text.
     before = let(matches(F.col("left"), _TERM_PATTERN), lambda t: F.filter(t, lambda s: (s["start"] > 0) | (F.col("left_at") == 0)))
     after = F.filter(matches(F.col("right"), _TERM_PATTERN), lambda s: (s["end"] < CONTEXT_CHARS) | ~F.col("cut"))
-    free = lambda t: (F.length(t["term"]) >= 3) & ~F.exists("all", lambda m: (m["start"] < t["end"]) & (m["end"] > t["start"]))
+    free = lambda t: (F.length(t["term"]) >= 3) & ~F.exists("near", lambda m: (m["start"] < t["end"]) & (m["end"] > t["start"]))
     left = let(F.filter(placed(before, F.col("left_at")), free), lambda t: F.slice(t, F.greatest(F.size(t) - CONTEXT_TERMS + 1, F.lit(1)), CONTEXT_TERMS))
     right = F.slice(F.filter(placed(after, F.col("end")), free), 1, CONTEXT_TERMS)
     return rows.select("key", "crc", "entity", F.concat(left, right).alias("terms"))
@@ -171,12 +225,19 @@ def _everywhere(docs: DataFrame, told: DataFrame, key: str, text: str) -> DataFr
         place = F.struct(begin.alias("start"), (begin + s["size"]).alias("end"), s["term"].alias("term"), share.alias("share"))
         return F.struct((begin + s["size"]).alias("at"), F.when(share.isNotNull(), F.array_append(acc["spans"], place)).otherwise(acc["spans"]).alias("spans"))
 
-    placed = met.select("key", "crc", "all", F.aggregate(steps, start, step, lambda acc: acc["spans"]).alias("spans"))
-    free = F.filter("spans", lambda t: ~F.exists("all", lambda m: (m["start"] < t["end"]) & (m["end"] > t["start"])))
-    return placed.select("key", "crc", F.inline(free)).distinct()
+    spans = F.aggregate(steps, start, step, lambda acc: acc["spans"])
+    marks = F.transform("all", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("share")))
+    placed = met.select("key", "crc", F.inline(F.concat(spans, marks)))
+    # A term is free if the identifiers that begin before it have ended and the next one begins after it.
+    earlier = Window.partitionBy("key", "crc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("key", "crc").orderBy(F.desc("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    mark = lambda c: F.when(F.col("term").isNull(), F.col(c))
+    placed = placed.withColumn("ended", F.max(mark("end")).over(earlier)).withColumn("next", F.min(mark("start")).over(later))
+    free = F.col("term").isNotNull() & (F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
+    return placed.filter(free).select("key", "crc", "start", "end", "term", "share").distinct()
 
 
-def revealing(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", support: int = 2, generalise: float = 0.75, remove: float = 0.95, everywhere: bool = False) -> DataFrame:
+def revealing(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", support: int = 2, generalise: float = 0.75, remove: float = 0.95, everywhere: bool = True) -> DataFrame:
     """(key, crc, start, end, value, share, action): places of terms that give identifiers away.
 
     The corpus is read for the terms near mentions, for the counts of all terms, and for the places of those that tell.
@@ -203,13 +264,14 @@ def revealing(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
 
 
 def _by_document(found: DataFrame) -> DataFrame:
-    listed = F.sort_array(F.collect_set(F.struct("start", "end", "action")))
+    general = F.when(F.col("value").rlike(r"^\p{N}+$"), "number").when(F.col("value").rlike(r"\p{N}"), "code").otherwise(TERM)
+    listed = F.sort_array(F.collect_set(F.struct("start", "end", F.when(F.col("action") == "removed", "").otherwise(F.upper(general)).alias("by"))))
     return found.groupBy("key", "crc").agg(listed.alias("terms")).withColumnsRenamed({"key": "_key", "crc": "_crc"})
 
 
 def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
     met = rows.join(_by_document(found), F.col("key").eqNullSafe(F.col("_key")) & (F.col("crc") == F.col("_crc")), "left")
-    none = F.array().cast("array<struct<start:int,end:int,action:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,by:string>>")
     return met.drop("_key", "_crc").withColumn("terms", F.coalesce("terms", none))
 
 
@@ -235,7 +297,8 @@ def personal_data(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
 
 
 def sanitise(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with identifiers replaced by their kind in brackets, revealing terms generalised or removed.
+    """``docs`` with identifiers replaced by their kind in brackets, revealing terms removed or replaced by their general
+    class: [NUMBER], [CODE] (letters and digits) or [TERM].
 
     Spans that overlap are replaced together, by the kind of the first. Null texts stay null.
     """
@@ -244,7 +307,7 @@ def sanitise(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     plain = rows.select("row", F.col(f"row.`{key}`").alias("key"), text_key(f"row.`{text}`").alias("crc"), F.coalesce(F.col(f"row.`{text}`"), F.lit("")).alias("text"))
     met = _joined(plain, revealing(docs, scratch, key, text, **options))
     labelled = [_tagged(base_spans(k, F.col("text")), lambda _, kind: F.lit(f"[{kind.upper()}]").alias("by"), k) for k in KINDS]
-    general = _tagged(F.col("terms"), lambda s, kind: F.when(s["action"] == "removed", "").otherwise(f"[{kind.upper()}]").alias("by"), TERM)
+    general = _tagged(F.col("terms"), lambda s, kind: F.when(s["by"] == "", "").otherwise(F.concat(F.lit("["), s["by"], F.lit("]"))).alias("by"), TERM)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -8,7 +8,9 @@ import os
 import uuid
 import zipfile
 from contextlib import suppress
+from typing import ClassVar
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,9 +34,15 @@ def build_session(master: str | None = None, app: str = "wiregrain", **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or else a folder in the warehouse."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``; with a local master, where all is one machine,
+    a folder in the warehouse if that is not set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def _path(spark: SparkSession, path: str):
@@ -45,11 +53,18 @@ def _path(spark: SparkSession, path: str):
 
 
 class Scratch:
-    """Owner of intermediate tables in the shared folder; ``release`` deletes them."""
+    """Owner of intermediate tables in the shared folder; ``release`` deletes them, at the latest when Python ends.
 
-    def __init__(self, spark: SparkSession):
+    Folder and file system are looked up at once, so that tables can be deleted after the session was stopped.
+    """
+
+    _open: ClassVar[dict[str, Scratch]] = {}
+
+    def __init__(self, spark: SparkSession, kind: str = "scratch"):
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+        self._at, self._files = _path(spark, self.path)
+        Scratch._open[self.path] = self
 
     def settle(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write an intermediate result and read it back; see ``settle``."""
@@ -62,8 +77,8 @@ class Scratch:
 
     def release(self) -> None:
         """Delete the tables; results that were not written yet can no longer be read."""
-        at, files = _path(self.spark, self.path)
-        files.delete(at, True)
+        self._files.delete(self._at, True)
+        Scratch._open.pop(self.path, None)
 
     def __enter__(self) -> Scratch:
         return self
@@ -93,10 +108,11 @@ def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 @atexit.register
 def release_all() -> None:
-    """Delete everything ``settle`` wrote; runs by itself when Python ends."""
-    for key in list(_OWNERS):
-        with suppress(Exception):  # the session may be gone already
-            _OWNERS.pop(key).release()
+    """Delete the tables of all owners; runs by itself when Python ends, also after the session was stopped."""
+    _OWNERS.clear()
+    for owner in list(Scratch._open.values()):
+        with suppress(Py4JError, OSError):  # a JVM that is gone can not delete; its folder stays
+            owner.release()
 
 
 _SHIPPED: set[str] = set()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
@@ -13,7 +12,7 @@ from wiregrain.operators.decode import Protocol, decode
 from wiregrain.operators.detect import FEATURES, score
 from wiregrain.operators.features import entropy_features, operation_flags, validation_flags
 from wiregrain.operators.rules import flag_anomalies
-from wiregrain.session import shared_dir
+from wiregrain.session import Scratch
 from wiregrain.streaming.rolling import rolling_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -93,7 +92,7 @@ def alert_writer(path: str) -> Callable[[DataFrame, int], None]:
 def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there now, to a Parquet folder in the shared scratch space, and read it back."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = Scratch(spark, "stream").path
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{base}/out")

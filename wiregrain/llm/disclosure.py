@@ -5,9 +5,8 @@ entities. Terms near a mention of an entity may reveal it: corpus co-occurrence
 co times near entity e and n times in the whole corpus tells the share ``1 - log2(n / co) / log2(N / slots)`` of the
 information e has, with N terms in the corpus and ``slots`` of them near mentions of e (pointwise mutual information over
 information content: 1 if t stands nowhere else, 0 if near e as often as anywhere). Terms seen near the entity at least
-``support`` times that tell ``generalise`` or more are replaced by a general class, from ``remove`` on they go. With
-``everywhere`` they do so wherever they stand in the corpus, near a mention or not, and of the entities a term tells about
-the one it tells most of counts; without it only the places near mentions are found.
+``support`` times that tell ``generalise`` or more are replaced by a general class, from ``remove`` on they go, wherever
+they stand in the corpus, near a mention or not; of the entities a term tells about the one it tells most of counts.
 
 Null texts are empty. Documents are told apart by id and text; repeated rows get equal results. Offsets count code points,
 ends are exclusive. All counts cover all rows; the only window is that of the terms around a mention, for estimating.
@@ -237,7 +236,7 @@ def _everywhere(docs: DataFrame, told: DataFrame, key: str, text: str) -> DataFr
     return placed.filter(free).select("key", "crc", "start", "end", "term", "share").distinct()
 
 
-def revealing(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", support: int = 2, generalise: float = 0.75, remove: float = 0.95, everywhere: bool = True) -> DataFrame:
+def revealing(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", support: int = 2, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
     """(key, crc, start, end, value, share, action): places of terms that give identifiers away.
 
     The corpus is read for the terms near mentions, for the counts of all terms, and for the places of those that tell.
@@ -255,11 +254,8 @@ def revealing(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
     share = 1 - F.log2(F.col("n") / F.col("co")) / F.log2(F.greatest(F.col("total") / F.col("slots"), F.lit(2.0)))
     told = together.join(held, "h").join(entities, "entity").withColumn("total", total.scalar()).withColumn("share", F.round(share, 6))
     told = told.filter(F.col("share") >= generalise).select("entity", "term", "h", "share")
-    if everywhere:
-        told = scratch.settle(told.groupBy("term", "h").agg(F.max("share").alias("share")))
-        found = _everywhere(docs, told, key, text)
-    else:
-        found = occurrences.join(told, ["entity", "term"]).groupBy("key", "crc", "start", "end", "term").agg(F.max("share").alias("share"))
+    told = scratch.settle(told.groupBy("term", "h").agg(F.max("share").alias("share")))
+    found = _everywhere(docs, told, key, text)
     return found.select("key", "crc", "start", "end", F.col("term").alias("value"), "share", F.when(F.col("share") >= remove, "removed").otherwise("generalised").alias("action"))
 
 

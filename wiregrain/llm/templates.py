@@ -9,9 +9,9 @@ values for different ones. A document is contaminated by an item if consistent a
 of the item's windows.
 
 A template window needs ``literals`` words that are no placeholders. Items with fewer than ``size`` tokens have one
-window, all of the item; as templates, items with fewer literals than that match nothing. With ``verbatim``, windows of the
-unchanged lower-cased words are a further reading that needs no literals: it finds unchanged items of numbers, names and
-units, of any length. Without it only templates are looked for. Null and empty texts match nothing. Documents that
+window, all of the item; as templates, items with fewer literals than that match nothing. Windows of the unchanged
+lower-cased words are a further reading that needs no literals: it finds unchanged items of numbers, names and units, of
+any length. Null and empty texts match nothing. Documents that
 share an id are told apart by their text; repeated rows count once. Repeated items give equal rows once each.
 """
 
@@ -153,7 +153,7 @@ class Verbatim:
         return []
 
 
-def _windows(rows: DataFrame, size_of, literals: int, bits: np.ndarray | None, verbatim: bool) -> DataFrame:
+def _windows(rows: DataFrame, size_of, literals: int, bits: np.ndarray | None) -> DataFrame:
     """(key, crc, text) to (key, crc, reading, pos, size, total, hash, slots); ``bits`` filters the hashes.
 
     ``size_of`` gives the sizes of the windows for a reading and a number of tokens.
@@ -165,7 +165,7 @@ def _windows(rows: DataFrame, size_of, literals: int, bits: np.ndarray | None, v
             out: list[tuple] = []
             for i, data in enumerate(bytes_of(batch, "text")):
                 words, packed = _packed(data, cache)
-                for reading in (*READINGS, VERBATIM) if verbatim else READINGS:
+                for reading in (*READINGS, VERBATIM):
                     template = Verbatim(packed) if reading == VERBATIM else Template(words, packed, reading == 1)
                     for size in size_of(reading, len(template.hashes)):
                         at, hashes = template.windows(size, literals)
@@ -195,14 +195,13 @@ def contaminated(
     size: int = 8,
     literals: int = 4,
     coverage: float = 0.5,
-    verbatim: bool = True,
 ) -> DataFrame:
     """(key, crc, item, covered, changed): documents that hold an item, the share of its windows that they hold,
     and the number of its slots with another value than in the item. ``crc`` is ``text_key`` of the document.
     """
     items = require(benchmark, item, item_text).select(F.col(f"`{item}`").alias("key"), F.lit(0).cast("long").alias("crc"), F.col(f"`{item_text}`").alias("text"))
     least = lambda reading: 1 if reading == VERBATIM else literals
-    own = _windows(items, lambda r, n: [size] if n >= size else [n] if n >= least(r) else [], literals, None, verbatim).distinct()
+    own = _windows(items, lambda r, n: [size] if n >= size else [n] if n >= least(r) else [], literals, None).distinct()
     # The filter has a fixed size; the lengths of short items are fewer than ``size``.
     cells = own.select(F.expr(f"shiftrightunsigned(hash, {64 - FILTER_BITS})").alias("cell")).distinct().collect()
     sizes: dict[int, list[int]] = {}
@@ -212,7 +211,7 @@ def contaminated(
     for (cell,) in cells:
         bits[cell >> 3] |= 1 << (cell & 7)
     rows = require(docs, key, text).select(F.col(f"`{key}`").alias("key"), text_key(text).alias("crc"), F.col(f"`{text}`").alias("text"))
-    theirs = _windows(rows, lambda r, n: [s for s in sizes.get(r, ()) if s <= n], literals, bits, verbatim).drop("total", "size").distinct()
+    theirs = _windows(rows, lambda r, n: [s for s in sizes.get(r, ()) if s <= n], literals, bits).drop("total", "size").distinct()
     own = own.select(F.col("key").alias("item"), "reading", F.col("pos").alias("item_pos"), "total", "hash", F.col("slots").alias("item_slots"))
     pairs = F.transform(
         F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")),

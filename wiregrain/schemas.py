@@ -31,6 +31,13 @@ CAPTURE_PARTS = (
     "kind string, byte_order string, link_types array<int>, ticks array<long>, problem string"
 )
 
+CAPTURE_SEGMENTS = (
+    "capture_id string, path string, length long, segment long, kind string, entry long, entry_order string, exit long, "
+    "exit_order string, fresh boolean, links array<int>, ticks array<long>, need int, faces int, packets long, stopped boolean, "
+    "parts array<struct<offset: long, packets: long, begin: long, size: long, fresh: boolean, byte_order: string, "
+    "links: array<int>, ticks: array<long>, problem: string>>"
+)
+
 PACKET_LABELS = T.StructType(
     [
         T.StructField(

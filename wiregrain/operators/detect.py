@@ -97,17 +97,21 @@ def dnp3_ml_features(packets: DataFrame) -> DataFrame:
     )
 
 
-def packet_ml_features(packets: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Classifier features of every frame of every capture, with its ids."""
+def packet_fields(packets: DataFrame) -> DataFrame:
+    """The classifier features that a packet has by itself, for batch and streams."""
     return (
         packets.transform(modbus_ml_features)
         .transform(dnp3_ml_features)
         .withColumn("packet_size", F.col("frame_len"))
         .drop("payload", "frame_len")
-        .transform(inter_arrival, hot_rows=hot_rows)
     )
 
 
+def packet_ml_features(packets: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Classifier features of every frame of every capture, with its ids."""
+    return packet_fields(packets).transform(inter_arrival, hot_rows=hot_rows)
+
+
 # --- split ------------------------------------------------------------------------
 
 _CELLS = 1 << 18

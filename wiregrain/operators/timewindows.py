@@ -36,20 +36,27 @@ def window_metrics(
 ) -> DataFrame:
     """Packet counts, address topology and violation rate per window (``slide`` divides ``width``).
 
-    On a stream ``late`` sets the watermark, and distinct counts are approximate,
-    because Spark does not keep exact ones in streaming state. In batch, packets are first
-    summed per slide step and address combination, so overlapping windows copy
-    those sums and not the packets.
+    On a stream ``late`` sets the watermark, and two stateful steps follow each other: one row of state for each value of
+    each side in a window, and, when the window closes, a count of these rows. So distinct counts are exact and a busy
+    window is many small rows. In batch, packets are first summed per slide step and address combination, so overlapping
+    windows copy those sums and not the packets.
     """
     if df.isStreaming:
         rows = df.withWatermark("ts", late) if late else df
-        out = rows.groupBy(*keys, _span(width, slide)).agg(
+        sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("string").alias("value")) for c in _SIDES]))
+        rows = rows.select(*keys, "ts", "packet_length", _invalid().alias("invalid"), sides.alias("s"))
+        seen = rows.groupBy(*keys, _span(width, slide), "s.side", "s.value").agg(
             F.count(F.lit(1)).alias("packets"),
             F.sum("packet_length").alias("bytes"),
-            *[F.approx_count_distinct(c).alias(name) for c, name in _SIDES.items()],
-            F.count_if(_invalid()).alias("violations"),
-            F.avg(_invalid().cast("int")).alias("violation_rate"),
+            F.count_if("invalid").alias("violations"),
+        )
+        # Every packet stands in the rows of each side, so one side gives the sums.
+        first = F.col("side") == next(iter(_SIDES))
+        out = seen.groupBy(*keys, "w").agg(
+            *[F.sum(F.when(first, F.col(c))).alias(c) for c in ("packets", "bytes", "violations")],
+            *[F.count_if((F.col("side") == c) & F.col("value").isNotNull()).alias(name) for c, name in _SIDES.items()],
         )
+        out = out.withColumn("violation_rate", F.col("violations") / F.col("packets"))
     else:
         step = df.groupBy(*keys, *_SIDES, F.window("ts", slide or width)["start"].alias("ts")).agg(
             F.count(F.lit(1)).alias("packets"),
@@ -158,8 +165,18 @@ def session_codes(
     gap: str = "30 minutes",
     order: str = "packet_number",
     hot_rows: int | None = HOT_ROWS,
+    late: str | None = None,
 ) -> DataFrame:
-    """Sessions with their dominant function code, smallest on ties (batch)."""
+    """Sessions with their dominant function code, smallest on ties.
+
+    On a stream each open session keeps the counts of its codes, which are added when sessions merge.
+    """
+    if df.isStreaming:
+        rows = df.withWatermark("ts", late) if late else df
+        out = rows.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(
+            F.count(F.lit(1)).alias("packets"), F.mode("function_code", True).alias("dominant_fc")
+        )
+        return out.select(*keys, F.col("w.start").alias("session_start"), "packets", "dominant_fc")
     rows = df.select(*keys, order, "ts", "function_code")
     rows = with_session(rows, keys, gap, order, hot_rows)
     counts = rows.groupBy(*keys, "session_start", "function_code").agg(F.count(F.lit(1)).alias("n"))

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wiregrain.operators import timewindows as W
-from wiregrain.plans.queries.registry import query, tidy
+from wiregrain.operators.detect import packet_fields, train_classifier
+from wiregrain.plans.queries.registry import PACKETS, query, tidy
+from wiregrain.plans.tables import modbus_packets
+from wiregrain.session import Scratch
 from wiregrain.streaming import jobs, rolling
+from wiregrain.streaming.pairing import pair_stream
 from wiregrain.streaming.sources import drop_repeats, packet_stream
 
 _EVENTS = T.StructType(
@@ -51,26 +55,45 @@ def event_stream(spark, folder):
 _CLOSED = "(SELECT max(epoch_us(ts)) FROM events) - 120000000"
 
 
+_WINDOW = """count(*) AS packets, CAST(sum(floor(value)) AS BIGINT) AS bytes,
+  count(DISTINCT user_id) AS unique_src_ips, count(DISTINCT event_type) AS unique_dst_ips, count(DISTINCT user_id % 256) AS unique_unit_ids,
+  count(DISTINCT CASE WHEN event_type IN ('view', 'click', 'signup', 'purchase') THEN event_type ELSE 'error' END) AS unique_function_codes,
+  count(*) FILTER (event_type = 'error') AS violations, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS violation_rate"""
+
+
 @query(
     "stream_tumbling_5m",
-    f"""WITH w AS (SELECT epoch_us(ts) // 300000000 * 300000000 AS window_start, event_type, value FROM events)
-SELECT window_start, window_start + 300000000 AS window_end, count(*) AS packets, CAST(sum(floor(value)) AS BIGINT) AS bytes, count(*) FILTER (event_type = 'error') AS violations
+    f"""WITH w AS (SELECT epoch_us(ts) // 300000000 * 300000000 AS window_start, * FROM events)
+SELECT window_start, window_start + 300000000 AS window_end, {_WINDOW}
 FROM w GROUP BY window_start HAVING window_start + 300000000 <= {_CLOSED}""",
 )
 def stream_tumbling_5m(spark, folder):
-    stream = W.tumbling_metrics(event_stream(spark, folder), late="2 minutes")
-    out = jobs.run_available(stream)
-    return tidy(out.select("window_start", "window_end", "packets", "bytes", "violations"))
+    return tidy(jobs.run_available(W.tumbling_metrics(event_stream(spark, folder), late="2 minutes")))
 
 
 @query(
     "stream_sliding_60s",
-    f"""WITH w AS (SELECT (epoch_us(ts) // 10000000 - k) * 10000000 AS window_start FROM events, (SELECT unnest(range(6)) AS k))
-SELECT window_start, count(*) AS packets FROM w GROUP BY window_start HAVING window_start + 60000000 <= {_CLOSED}""",
+    f"""WITH w AS (SELECT (epoch_us(ts) // 10000000 - k) * 10000000 AS window_start, events.* FROM events, (SELECT unnest(range(6)) AS k))
+SELECT window_start, window_start + 60000000 AS window_end, {_WINDOW}
+FROM w GROUP BY window_start HAVING window_start + 60000000 <= {_CLOSED}""",
 )
 def stream_sliding_60s(spark, folder):
-    out = jobs.run_available(W.window_metrics(event_stream(spark, folder), late="2 minutes"))
-    return tidy(out.select("window_start", "packets"))
+    return tidy(jobs.run_available(W.window_metrics(event_stream(spark, folder), late="2 minutes")))
+
+
+@query(
+    "stream_session_codes",
+    f"""WITH g AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 7200000000 THEN 0 ELSE 1 END AS fresh, event_id,
+  CASE event_type WHEN 'view' THEN 3 WHEN 'click' THEN 6 WHEN 'signup' THEN 23 WHEN 'purchase' THEN 16 ELSE 131 END AS fc FROM events),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+c AS (SELECT user_id, sid, fc, min(us) AS us, max(us) AS last, count(*) AS k FROM n GROUP BY ALL)
+SELECT user_id, min(us) AS session_start, CAST(sum(k) AS BIGINT) AS packets, arg_min(fc, -k * 1000 + fc) AS dominant_fc
+FROM c GROUP BY user_id, sid HAVING max(last) + 7200000000 <= {_CLOSED}""",
+)
+def stream_session_codes(spark, folder):
+    """Sessions of a user with the code that occurs most, from session state."""
+    out = W.session_codes(event_stream(spark, folder), ["user_id"], "2 hours", late="2 minutes")
+    return tidy(jobs.run_available(out))
 
 
 @query(
@@ -121,25 +144,47 @@ def stream_rolling(spark, folder):
 
 @query(
     "stream_pairs",
-    """WITH q AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events WHERE event_type = 'view'),
-r AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'click'),
-p AS (SELECT q.user_id, q.event_id AS request_number, q.us, min((r.us - q.us) / 1000) AS d FROM q LEFT JOIN r ON r.user_id = q.user_id AND r.us BETWEEN q.us AND q.us + 86400000000 GROUP BY ALL)
-SELECT user_id, request_number, round(d, 4) AS response_delay_ms FROM p
-WHERE us // 60000000 * 60000000 + 60000000 <= least((SELECT max(us) FROM q), (SELECT max(us) FROM r)) - 86400000000 - 240000000""",
+    """WITH q AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'view' AS asks FROM events WHERE event_type IN ('view', 'click')),
+p AS (SELECT a.user_id, a.event_id AS request_number, a.us, arg_min(b.event_id, (b.us, b.event_id)) AS response_number, min(b.us) AS reply
+  FROM q a LEFT JOIN q b ON NOT b.asks AND b.user_id = a.user_id AND b.us BETWEEN a.us AND a.us + 86400000000 WHERE a.asks GROUP BY ALL)
+SELECT user_id, request_number, response_number, round((reply - us) / 1000, 4) AS response_delay_ms FROM p
+WHERE (us + 86400000000 + 999999) // 1000000 * 1000000 < ((SELECT max(us) FROM q) - 120000000) // 1000 * 1000""",
 )
 def stream_pairs(spark, folder):
-    """Views as requests and clicks as responses of the same user within a day; well-closed rows only."""
+    """Views as requests and clicks as responses of the same user within a day, from keyed state."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     events = event_stream(spark, folder).where(F.col("event_type").isin("view", "click"))
     messages = events.withColumn("is_request", F.col("event_type") == "view")
-    out = jobs.run_available(jobs.pair_stream(messages, ["user_id"], timeout="1 day"))
-    # The watermark follows the slower of the two sides.
-    asked = spark.read.parquet(f"{folder}/events.parquet").select(
-        F.col("event_id").alias("request_number"),
-        "event_type",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+    return tidy(jobs.run_available(pair_stream(messages, ["user_id"], timeout="1 day")), 4)
+
+
+@query(
+    "stream_scores",
+    f"""WITH {PACKETS}, g AS (
+  SELECT capture_id, packet_number, function_code, dst_port, event_type, (us - lag(us) OVER (PARTITION BY capture_id ORDER BY packet_number)) / 1e6 AS gap FROM pk)
+SELECT capture_id, packet_number, function_code AS mb_func_code, CAST(dst_port = 502 AND function_code = 6 AS INTEGER) AS mb_write_reg,
+  round(coalesce(gap, 0), 6) AS inter_arrival_time, CASE event_type WHEN 'click' THEN 'P1' WHEN 'purchase' THEN 'P2' ELSE 'P3' END AS prediction
+FROM g WHERE event_type IN ('click', 'purchase', 'error')""",
+)
+def stream_scores(spark, folder):
+    """Alerts of a packet stream: features from keyed state, a tree that was taught a rule of the code, the alert sink."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    base = Scratch(spark, "stream").path
+    packets = modbus_packets(spark, folder)
+    packets.write.parquet(f"{base}/packets")
+    rule = F.when(F.col("mb_func_code") == 6, 1).when(F.col("mb_func_code") == 16, 2).when(F.col("mb_func_code") == 131, 3).otherwise(0)
+    train = packet_fields(spark.read.schema(packets.schema).parquet(f"{base}/packets"))
+    columns = ["mb_func_code", "mb_write_reg", "src_port", "dst_port"]
+    train = train.withColumn("numeric_label", rule)
+    model = train_classifier(train, columns, numTrees=1, featureSubsetStrategy="all", bootstrap=False)
+    stream = packet_stream(spark, f"{base}/packets", schema=packets.schema)
+    alerts = jobs.score_stream(model, jobs.ml_feature_stream(stream), columns)
+    running = (
+        alerts.writeStream.foreachBatch(jobs.alert_writer(f"{base}/alerts"))
+        .option("checkpointLocation", f"{base}/state")
+        .trigger(availableNow=True)
+        .start()
     )
-    sides = asked.where(F.col("event_type").isin("view", "click")).groupBy("event_type")
-    slower = sides.agg(F.max("us").alias("us")).agg(F.min("us")).scalar()
-    closed = F.floor(F.col("us") / 60_000_000) * 60_000_000 + 60_000_000
-    rows = out.join(asked, "request_number").where(closed <= slower - 86_400_000_000 - 240_000_000)
-    return tidy(rows.drop("us", "event_type"), 4)
+    running.awaitTermination()
+    out = spark.read.schema(alerts.schema).parquet(f"{base}/alerts")
+    return tidy(out.select("capture_id", "packet_number", "mb_func_code", "mb_write_reg", "inter_arrival_time", "prediction"))

@@ -1,4 +1,4 @@
-"""Streaming forms of pairing, rules and scoring, and a runner for finite runs."""
+"""Streaming forms of rules and scoring, and a runner for finite runs."""
 
 from __future__ import annotations
 
@@ -9,47 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiregrain.operators.decode import Protocol, decode
-from wiregrain.operators.detect import FEATURES, score
+from wiregrain.operators.detect import FEATURES, packet_fields, score
 from wiregrain.operators.features import entropy_features, operation_flags, validation_flags
 from wiregrain.operators.rules import flag_anomalies
 from wiregrain.session import Scratch
+from wiregrain.streaming.gaps import gap_stream
 from wiregrain.streaming.rolling import rolling_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def pair_stream(
-    messages: DataFrame,
-    keys: Sequence[str],
-    timeout: str = "10 seconds",
-    late: str = "2 minutes",
-) -> DataFrame:
-    """Requests with their earliest response, orphans included once the watermark has passed them."""
-    keys = list(keys)
-    requests = (
-        messages.where("is_request")
-        .select(*keys, F.col("packet_number").alias("request_number"), F.col("ts").alias("request_ts"))
-        .withWatermark("request_ts", late)
-    )
-    responses = (
-        messages.where(~F.col("is_request"))
-        .select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("ts").alias("response_ts"))
-        .withWatermark("response_ts", late)
-    )
-    cond = (F.col("response_ts") >= F.col("request_ts")) & (
-        F.col("response_ts") <= F.col("request_ts") + F.expr(f"interval {timeout}")
-    )
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"r_{k}"))
-    pairs = requests.join(responses, cond, "left_outer")
-    # The first response wins; grouping by the event time lets finished requests leave the state.
-    return pairs.groupBy(*keys, "request_number", F.window("request_ts", "1 minute").alias("w")).agg(
-        F.min(
-            (F.unix_micros("response_ts") - F.unix_micros("request_ts")) / 1000
-        ).alias("response_delay_ms")
-    ).drop("w")
-
-
 #: What rules and reports read besides the rolling features.
 RULE_COLUMNS = (
     "src_ip",
@@ -76,6 +45,11 @@ def flag_stream(features: DataFrame, baseline: DataFrame) -> DataFrame:
     return flag_anomalies(features, baseline)
 
 
+def ml_feature_stream(packets: DataFrame) -> DataFrame:
+    """Classifier features of a stream of raw packets: header fields per packet, the time gap from keyed state."""
+    return gap_stream(packet_fields(packets))
+
+
 def score_stream(model: PipelineModel, features: DataFrame, columns: Sequence[str] = tuple(FEATURES)) -> DataFrame:
     return score(model, features, columns)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wiregrain.constants import ADDRESS_POOLS, SAFE_RANGES
 from wiregrain.functions.text import last_octet, parse_iso, short_label
 from wiregrain.operators.quantiles import quantile_table
-from wiregrain.operators.spread import HOT_ROWS, ordered, running_sum
+from wiregrain.operators.spread import HOT_ROWS, SLICE, find_hot, ordered, running_sum, with_slice
 from wiregrain.operators.stats import join_keys
 from wiregrain.session import settle
 
@@ -145,15 +145,16 @@ def match_detections(
     predictions: DataFrame,
     events: DataFrame,
     tolerance_seconds: float = 1.0,
-    cell_seconds: float = 60.0,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per attack event: packets of its capture predicted as its class within the tolerance.
 
     No pairs are formed. Every event asks a running packet count twice, just before
     its interval and at its end, and the difference is the number of packets inside.
-    The running count works on time cells, so a busy capture is many small windows.
+    The running count works on slices of time that are cut until they are small, so a busy capture, or a flood within
+    one second, is many windows.
     """
-    tolerance, cell = int(tolerance_seconds * 1e6), int(cell_seconds * 1e6)
+    tolerance = int(tolerance_seconds * 1e6)
     group = ["capture_id", "label"]
     wanted = events.withColumn("label", short_label(F.col("attacker_profile_id")))
     seen = (
@@ -170,10 +171,11 @@ def match_detections(
     probes = wanted.select(*group, "event_id", F.inline(ends)).withColumn(
         "packets", F.lit(0).cast("long")
     )
-    points = settle(seen.unionByName(probes).withColumn("cell", F.floor(F.col("us") / cell)))
+    points = settle(seen.unionByName(probes))
+    points = with_slice(points, find_hot(points, group, "us", hot_rows))
     # Packets sort before probes of the same microsecond.
     order = [F.col("us"), F.col("sign") != 0]
-    counted = running_sum(points, {"packets": "upto"}, keys=group, bucket="cell", order=order)
+    counted = running_sum(points, {"packets": "upto"}, keys=group, bucket=SLICE, order=order)
     hits = counted.where(F.col("sign") != 0).groupBy("capture_id", "event_id").agg(
         F.sum(F.col("sign") * F.col("upto")).alias("detected_packets")
     )

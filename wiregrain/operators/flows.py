@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wiregrain.operators.spread import HOT_ROWS, ordered
+from wiregrain.operators.spread import HOT_ROWS, SLICE, find_hot, join_null_safe, ordered, with_slice
 from wiregrain.operators.windows import rolling_features, time_gap
 
 FLOW = ["capture_id", "ip_a", "port_a", "ip_b", "port_b"]
@@ -150,12 +150,15 @@ def pair_requests(
     order: str = "packet_number",
     timeout_seconds: float = 10.0,
     cell_seconds: float = 60.0,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Each request with the earliest response at or after it within the timeout.
 
     A look-ahead over time-ordered rows instead of a self-join, so a busy key never
     multiplies. Keys are cut into time cells; a response in the first ``timeout`` of a
     cell is also shown to the cell before, which is all a request there can reach.
+    A cell above ``hot_rows`` is cut into slices, and the first response of the slices behind
+    is handed to each slice, one row for a slice. ``hot_rows=None`` says that no cell is large.
     """
     timeout, cell = int(timeout_seconds * 1e6), int(max(cell_seconds, timeout_seconds) * 1e6)
     rows = messages.select(
@@ -164,13 +167,20 @@ def pair_requests(
     early = (~F.col(is_request)) & (F.col("us") - F.col("cell") * cell <= timeout)
     shown = rows.unionByName(rows.where(early).withColumn("cell", F.col("cell") - 1))
     # Looking ahead is looking back in the opposite order, which runs in one pass.
+    cells = [*keys, "cell"]
+    hot = None if hot_rows is None else find_hot(shown, cells, "us", hot_rows)
     back = (
-        Window.partitionBy(*keys, "cell")
+        Window.partitionBy(*cells, SLICE)
         .orderBy(F.col("us").desc(), F.col(order).desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     reply = F.when(~F.col(is_request), F.struct(F.col("us").alias("us"), F.col(order).alias("number")))
-    found = shown.withColumn("reply", F.last(reply, ignorenulls=True).over(back)).where(is_request)
+    found = with_slice(shown, hot).withColumn("reply", F.last(reply, ignorenulls=True).over(back)).where(is_request)
+    if hot is not None:
+        firsts = with_slice(shown, hot, only_hot=True).groupBy(*cells, SLICE).agg(F.min(reply).alias("first"))
+        behind = Window.partitionBy(*cells).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        handed = firsts.select(*cells, SLICE, F.last("first", ignorenulls=True).over(behind).alias("handed"))
+        found = join_null_safe(found, handed, [*cells, SLICE]).withColumn("reply", F.coalesce("reply", "handed"))
     in_time = F.col("reply.us") - F.col("us") <= timeout
     return found.select(
         *keys,

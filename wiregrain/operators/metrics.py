@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiregrain.constants import LABELS
-from wiregrain.operators.spread import running_sum
+from wiregrain.operators.spread import HOT_ROWS, SLICE, find_hot, running_sum, with_slice
 from wiregrain.session import settle
 
 
@@ -142,15 +142,26 @@ def protocol_accuracy(
     return overall.unionByName(per_class)
 
 
-_SCORE_CELLS = 1 << 14
+#: Scores as whole numbers of this fraction, fine enough for doubles next to 1.
+_SCORE_STEPS = 1 << 52
+
+
+def score_slices(steps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Descending scores of each class in slices that follow the data: a class above the limit is cut until its slices are small."""
+    steps = steps.withColumn("__place", F.floor((1 - F.col("score")) * _SCORE_STEPS).cast("long"))
+    return with_slice(steps, find_hot(steps, ["class"], "__place", hot_rows)).drop("__place")
 
 
 def roc_points(
-    df: DataFrame, label: str = "label", labels: Sequence[str] = tuple(LABELS), prefix: str = "prob_"
+    df: DataFrame,
+    label: str = "label",
+    labels: Sequence[str] = tuple(LABELS),
+    prefix: str = "prob_",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One-vs-rest points, one per distinct score of each class: threshold, false and true positive rate.
 
-    Ties are collapsed first; the descending running counts then work on score cells, not on one long sort.
+    Ties are collapsed first; the descending running counts then work on slices of scores, not on one long sort.
     """
     pairs = ", ".join(f"'{c}', cast(`{prefix}{c}` as double)" for c in labels)
     long = df.select(F.col(label).alias("__y"), F.expr(f"stack({len(labels)}, {pairs}) as (class, score)"))
@@ -159,13 +170,12 @@ def roc_points(
     steps = settle(
         long.groupBy("class", "score").agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     )
-    cell = F.floor((1 - F.col("score")) * _SCORE_CELLS).cast("int")
     ran = running_sum(
-        steps.withColumn("cell", cell),
+        score_slices(steps, hot_rows),
         {"pos": "tp", "neg": "fp"},
         keys=["class"],
-        bucket="cell",
-        order=[F.col("score").desc()],
+        bucket=SLICE,
+        order=[F.col("score").desc_nulls_first()],
     )
     totals = steps.groupBy("class").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     # One row per class.

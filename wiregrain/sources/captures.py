@@ -17,7 +17,7 @@ first byte finds, damaged files included. A part list and a segment list are a f
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wiregrain.operators.decode import decode_frames
+from wiregrain.operators.decode import PROTOCOLS, decode_frames
 from wiregrain.schemas import CAPTURE_PARTS, CAPTURE_SEGMENTS, FRAMES
 from wiregrain.session import settle
 
@@ -465,8 +465,12 @@ _SEGMENT_SCHEMA = pa.schema(
 )
 
 
-def _frames_of(part: dict) -> Iterator[pa.RecordBatch]:
-    """Frames of one part in batches; Python touches the record headers, numpy the frames."""
+def frames_of(part: dict, choose: Callable[[dict], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Frames of one part in batches; Python touches the record headers, numpy the frames.
+
+    ``choose`` gets numbers, times, lengths, ports and protocol of a batch as arrays and says which frames stay; these columns
+    then go along behind the usual ones.
+    """
     layout = _Layout(part["kind"], part["byte_order"], part["link_types"], part["ticks"])
     with _open(part["path"]) as file:
         buf = file.read_at(part["size"], part["begin"])
@@ -480,22 +484,38 @@ def _frames_of(part: dict) -> Iterator[pa.RecordBatch]:
             if block in (_NG_PACKET, _NG_SIMPLE):
                 found.append((start, size, us, face))
         starts, sizes, times, faces = (np.array(c, np.int64) for c in zip(*found, strict=True))
-        n = len(found)
         links = np.array(layout.links, np.int64)[faces]
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        frames = pa.BinaryArray.from_buffers(
-            pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join([buf[a : a + k] for a, k, _, _ in found]))]
-        )
-        columns = [
-            pa.array([part["capture_id"]] * n, pa.string()),
-            pa.array(np.arange(number, number + n)),
-            pa.array(times),
-            pa.array(sizes.astype(np.int32)),
-            pa.array(_ip_at(links, data, starts, sizes)),
-            frames,
-        ]
-        yield pa.RecordBatch.from_arrays(columns, _FRAME_NAMES)
-        number, left = number + n, left - n
+        facts = {"packet_number": np.arange(number, number + len(found)), "ts_us": times, "frame_len": sizes}
+        facts["ip_at"] = _ip_at(links, data, starts, sizes)
+        number, left = number + len(found), left - len(found)
+        if choose is not None:
+            facts.update(_ports(data, starts, sizes, facts["ip_at"].astype(np.int64)))
+            kept = np.flatnonzero(choose(facts))
+            if not len(kept):
+                continue
+            facts = {name: values[kept] for name, values in facts.items()}
+            starts = starts[kept]
+        yield _frame_batch(part["capture_id"], buf, starts, facts)
+
+
+def _frame_batch(capture: str, buf: bytes, starts: np.ndarray, facts: dict) -> pa.RecordBatch:
+    sizes, n = facts["frame_len"], len(starts)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    body = b"".join([buf[a : a + k] for a, k in zip(starts.tolist(), sizes.tolist(), strict=True)])
+    columns = {
+        "capture_id": pa.array([capture] * n, pa.string()),
+        "packet_number": pa.array(facts["packet_number"]),
+        "ts_us": pa.array(facts["ts_us"]),
+        "frame_len": pa.array(sizes.astype(np.int32)),
+        "ip_at": pa.array(facts["ip_at"]),
+        "frame": pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(body)]),
+    }
+    for name in ("src_port", "dst_port", "is_tcp", "is_udp"):
+        if name in facts:
+            columns[name] = pa.array(facts[name].astype(np.int32))
+    if "protocol" in facts:
+        columns["protocol"] = pa.array(facts["protocol"].tolist(), pa.string())
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 # Link types, Ethernet type codes and the IPv4 family number of loopback frames.
@@ -504,13 +524,36 @@ _IPV4, _VLAN = 0x0800, (0x8100, 0x88A8)
 _FAMILY = 2
 
 
-def _ip_at(links: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Offset of the IPv4 header behind the link layer of each frame, -1 when there is none."""
+def _bytes_at(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Callable:
+    """The byte of each frame at an offset, -1 behind its end."""
 
     def byte(offset: np.ndarray | int) -> np.ndarray:
         place = np.minimum(starts + offset, len(data) - 1)
         return np.where(sizes > offset, data[place].astype(np.int64), -1)
 
+    return byte
+
+
+def _ports(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ip: np.ndarray) -> dict[str, np.ndarray]:
+    """Ports, transport and protocol of each frame, by the rules of ``decode_frames``."""
+    byte = _bytes_at(data, starts, sizes)
+    at = np.maximum(ip, 0)
+    first = (ip >= 0) & (((byte(at + 6) << 8 | byte(at + 7)) & 0x1FFF) == 0)
+    l4 = at + (byte(at) & 15) * 4
+    tcp = first & (byte(at + 9) == 6) & (sizes >= l4 + 20)
+    udp = first & (byte(at + 9) == 17) & (sizes >= l4 + 8)
+    source, target = (np.where(tcp | udp, byte(l4 + k) << 8 | byte(l4 + k + 1), 0) for k in (0, 2))
+    name = np.full(len(starts), "other", object)
+    for p in reversed(PROTOCOLS.values()):
+        name[tcp & ((source == p.port) | (target == p.port))] = p.name
+    return {"src_port": source, "dst_port": target, "is_tcp": tcp.astype(int), "is_udp": udp.astype(int), "protocol": name}
+
+
+def _ip_at(links: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Offset of the IPv4 header behind the link layer of each frame, -1 when there is none."""
+
+    byte = _bytes_at(data, starts, sizes)
+
     def kind(offset: np.ndarray | int) -> np.ndarray:
         return np.where(byte(offset + 1) >= 0, byte(offset) << 8 | byte(offset + 1), -1)
 
@@ -532,7 +575,7 @@ def read_frames(parts: DataFrame) -> DataFrame:
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.to_pylist():
-                yield from _frames_of(part)
+                yield from frames_of(part)
 
     usable = parts.where(F.col("packets") > 0)
     if not usable.isStreaming:
@@ -540,9 +583,6 @@ def read_frames(parts: DataFrame) -> DataFrame:
     return usable.mapInArrow(frames, FRAMES)
 
 
-_FRAME_NAMES = [field.split()[0] for field in FRAMES.split(", ")]
-
-
 def bad_files(parts: DataFrame) -> DataFrame:
     """Captures that could not be read, or only up to a cut-off record."""
     return parts.where(F.col("problem").isNotNull()).select("capture_id", "path", "problem")

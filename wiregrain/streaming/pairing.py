@@ -97,7 +97,7 @@ class OpenRequests(StatefulProcessor):
 def pair_stream(
     messages: DataFrame, keys: Sequence[str], timeout: str = "10 seconds", late: str = "2 minutes"
 ) -> DataFrame:
-    """Each request with its earliest response at or after it within the timeout, as ``pair_requests`` gives it.
+    """Each request with its earliest response at or after it within the timeout, by time, whatever the packet numbers say.
 
     A request is due at the whole second at or after its time plus the timeout, and comes out, with a response or as an orphan,
     once the watermark lies behind that. Needs the RocksDB state store. Messages without time or side are left out.

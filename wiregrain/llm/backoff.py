@@ -1,14 +1,15 @@
-"""Language-model scores of documents: word pairs with stupid backoff, computed relationally.
+"""Language-model scores of documents: stupid backoff over n-grams of up to three words, computed relationally.
 
-The vocabulary are the most frequent words of the corpus, as many as fit into ``vocabulary`` with all words of their
-count; all others are one unknown word, and a document begins with a start sign. Pairs and words are counted over all documents. A document is scored by what the others say:
-its own counts are taken off. A pair that is left has the probability count(pair) / count(first word); one that is not
-backs off to 0.4 * count(second word) / number of words, where a word that is left nowhere counts once.
+N-grams of all words and of all orders are counted over all documents; there is no vocabulary. A document begins with a
+start sign and is scored by what the others say: its own counts are taken off. The longest n-gram that is left gives
+count(n-gram) / count(its context), times 0.4 for each word given up on the way; a word that is left nowhere counts once
+among all words. N-grams are told apart by 64 bits.
 
-The pair table lies hashed over the cluster. Pairs of documents are looked up in three ways: the most frequent
-``frequent`` pairs in a broadcast table of that size; pairs that a broadcast bit filter of fixed size does not hold stand in
-no other document; all others are joined with the table, and the logarithms are summed for each document. So neither
-hot pairs nor pairs found once are shuffled with the documents, and the result is the same for any size of both tables.
+Texts are written once as portions of bounded size. Each portion sends every n-gram it holds once, with its count, to the
+part of the hash space that owns it, so that a word found everywhere costs one entry for each portion. A part sums the
+counts and answers each portion with the n-grams that stand in two or more documents: one bit for each n-gram sent, and the
+sums. All others are left nowhere once a document's own counts are off, so no answer is needed. Portions then meet their
+answers and score. The number of parts grows with the words; no table is broadcast and only two sums reach the driver.
 
 Null texts and texts without words have 0 words and a null score. Rows with equal id and text are two documents for the
 counts and get equal scores.
@@ -16,202 +17,235 @@ counts and get equal scores.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiregrain.llm.rows import bytes_of, portions, require, text_key
+from wiregrain.llm.rows import bytes_of, portions, require
 from wiregrain.session import Scratch
 
 BACKOFF = 0.4
-_UNKNOWN, _START = 0, 1
-#: Bits of the filter of pairs that stand in two or more documents: 16 MB for any corpus.
-FILTER_BITS = 27
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+ORDER = 3
+#: Bytes of text of a portion, and n-grams that a part of the hash space is to get.
+PORTION_BYTES, PART_GRAMS = 4 << 20, 1_000_000
+_START = np.uint64(0x243F6A8885A308D3)
+_ODD, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits of the n-gram of a context and the word after it."""
+    x = context * _ODD + word
+    x = (x ^ (x >> np.uint64(32))) * _SPREAD
+    return x ^ (x >> np.uint64(29))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of equal bytes, as many as the largest needs."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    if size:
+        out[:, : len(data) // size] = np.frombuffer(data, np.uint8).reshape(-1, size).T
+    return out.reshape(-1).view("<u8")
 
 
 @dataclass
-class Model:
-    """What scoring needs on every worker; sizes are bounded by the parameters."""
-
-    ids: dict[bytes, int]
-    words: np.ndarray  # count of each word of the vocabulary
-    total: int
-    pairs: np.ndarray  # frequent pairs, sorted
-    counts: np.ndarray  # their counts
-    bits: np.ndarray
-
-
-def _cell(pairs: np.ndarray) -> np.ndarray:
-    return ((pairs.astype(np.uint64) * _MULTIPLIER) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _numbered(batch: pa.RecordBatch, text: str, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words in each text, owner of each word, pair that ends in it): pair = first word << 32 | second word."""
-    lists = [x.split() for x in bytes_of(batch, text)]
-    counts = np.array([len(x) for x in lists], np.int64)
-    word = np.fromiter((ids.get(w, _UNKNOWN) for x in lists for w in x), np.int64, int(counts.sum()))
-    owner = np.repeat(np.arange(len(lists)), counts)
-    before = np.concatenate(([_START], word[:-1])) if len(word) else word
-    begin = np.cumsum(counts) - counts
-    before[begin[counts > 0]] = _START
-    return counts, owner, before << 32 | word
-
-
-def fit(docs: DataFrame, scratch: Scratch, text: str = "text", vocabulary: int = 65_536, frequent: int = 500_000) -> tuple[Model, DataFrame]:
-    """The model and the table (pair, n, docs) of all pairs.
-
-    Only the vocabulary, the frequent pairs and the filter reach the driver, all of fixed size.
-    """
-    rows = require(docs, text)
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, text):
-            found = Counter(w for x in bytes_of(batch, text) for w in x.split())
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
-
-    words = scratch.settle(rows.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = sorted(words.filter(F.col("n") >= _least_count(words, vocabulary - 2)).collect(), key=lambda r: (-r.n, bytes(r.word)))
-    ids = {bytes(r.word): i for i, r in enumerate(known, 2)}
-    counts = np.zeros(len(known) + 2, np.int64)
-    counts[2:] = [r.n for r in known]
-    counts[_UNKNOWN] = total - counts.sum()
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, text):
-            _, owner, pair = _numbered(batch, text, shared.value)
-            order = np.lexsort((owner, pair))
-            pair, owner = pair[order], owner[order]
-            fresh = np.concatenate(([True], pair[1:] != pair[:-1]))[: len(pair)]
-            heads = np.nonzero(fresh)[0]
-            entered = fresh.copy()
-            entered[1:] |= owner[1:] != owner[:-1]
-            n = np.diff(np.append(heads, len(pair)))
-            in_docs = np.add.reduceat(entered.astype(np.int64), heads) if len(heads) else n
-            yield pa.RecordBatch.from_arrays([pa.array(pair[heads]), pa.array(n, pa.int32()), pa.array(in_docs, pa.int32())], ["pair", "n", "docs"])
-
-    found = rows.mapInArrow(count_pairs, "pair long, n int, docs int")
-    table = scratch.settle(found.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    starts = table.filter(F.shiftright("pair", 32) == _START).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts[_START] = starts
-    top = table.filter(F.col("n") >= _least_count(table, frequent)).select("pair", "n").toArrow()
-    pairs, sizes = top.column("pair").to_numpy(), top.column("n").to_numpy()
-    order = np.argsort(pairs)
-    return Model(ids, counts, total, pairs[order], sizes[order], _filter(table)), table
-
-
-def _least_count(table: DataFrame, most: int) -> int:
-    """Smallest count for which no more than ``most`` rows have it or a larger one.
-
-    Only the sizes of the counts are sorted and collected: no task gathers the largest rows of all others.
-    """
-    held, least = 0, 1 << 62
-    for r in table.groupBy("n").count().orderBy(F.desc("n")).limit(most + 1).collect():
-        held += r["count"]
-        if held > most:
-            break
-        least = r.n
-    return least
-
-
-def _filter(table: DataFrame) -> np.ndarray:
-    """Bits of all pairs in two or more documents, combined in tasks and then by blocks of the filter."""
-    block_bits = 16
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[_cell(batch.column(0).to_numpy())] = True
-        blocks = np.packbits(bits, bitorder="little").reshape(-1, 1 << (block_bits - 3))
-        used = np.nonzero(blocks.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "bits"])
-
-    def merge(part: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(x, np.uint8) for x in part.column("bits").to_pylist()]
-        return pa.table({"block": part.column("block")[:1], "bits": pa.array([np.bitwise_or.reduce(blocks).tobytes()], pa.binary())})
-
-    marked = table.filter("docs > 1").select("pair").mapInArrow(mark, "block long, bits binary")
-    merged = marked.groupBy("block").applyInArrow(merge, "block long, bits binary").toArrow()
-    bits = np.zeros((1 << (FILTER_BITS - block_bits), 1 << (block_bits - 3)), np.uint8)
-    for block, own in zip(merged.column("block").to_pylist(), merged.column("bits").to_pylist(), strict=True):
-        bits[block] = np.frombuffer(own, np.uint8)
-    return bits.reshape(-1)
-
-
-def score(docs: DataFrame, model: Model, table: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_words, log10_prob of the text, n_backoff (words that back off) and log10_prob per word."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text a row without a pair: its words and the sum as far as it is known here. For each pair that the
-        table must tell a row with its count in the text, and what a hit adds besides the logarithm of the rest."""
-        fitted: Model = shared.value
-        for batch in portions(batches, text):
-            n_words, owner, pair = _numbered(batch, text, fitted.ids)
-            texts = batch.num_rows
-            # Counts within the texts: words, contexts, and pairs.
-            word, context = pair & 0xFFFFFFFF, pair >> 32
-            own_word = _word_counts(owner, word, word)
-            rest_word = np.maximum(fitted.words[word] - own_word, 1)
-            rest_total = np.maximum(fitted.total - n_words[owner], 1)
-            # A context's count is that of its word anywhere; the start sign stands once in each text.
-            rest_context = np.maximum(fitted.words[context] - np.where(context == _START, 1, _word_counts(owner, word, context)), 1)
-            back = np.log10(BACKOFF) + np.log10(rest_word) - np.log10(rest_total)
-            gain = -np.log10(rest_context) - back
-            base = np.bincount(owner, back, texts)
-            order = np.lexsort((pair, owner))
-            heads = np.nonzero(np.concatenate(([True], (np.diff(pair[order]) != 0) | (np.diff(owner[order]) != 0))))[0] if len(pair) else order
-            n = np.diff(np.append(heads, len(pair)))
-            at = order[heads]
-            pair, owner, gain = pair[at], owner[at], gain[at]
-            place = np.minimum(np.searchsorted(fitted.pairs, pair), max(len(fitted.pairs) - 1, 0))
-            hot = fitted.pairs[place] == pair if len(fitted.pairs) else np.zeros(len(pair), bool)
-            left = np.where(hot, fitted.counts[place] - n, 0) if len(fitted.pairs) else np.zeros(len(pair), np.int64)
-            seen = left > 0
-            base += np.bincount(owner[seen], n[seen] * (gain[seen] + np.log10(left[seen])), texts)
-            missed = n_words - np.bincount(owner[seen], n[seen], texts).astype(np.int64)
-            cell = _cell(pair)
-            ask = ~hot & (fitted.bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 > 0)
-            rows = np.concatenate((np.arange(texts), owner[ask]))
-            nothing = np.zeros(int(ask.sum()), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows)),
-                    batch.column(2).take(pa.array(rows)),
-                    pa.array(np.concatenate((np.zeros(texts, np.int64), pair[ask])), mask=np.arange(len(rows)) < texts),
-                    pa.array(np.concatenate((n_words, n[ask]))),
-                    pa.array(np.concatenate((base, gain[ask]))),
-                    pa.array(np.concatenate((missed, nothing))),
-                ],
-                ["key", "crc", "pair", "n", "value", "missed"],
-            )
+class _Grams:
+    """The n-grams of a portion. Arrays of places cover each text's start sign and words, text after text."""
+
+    n_words: np.ndarray  # words of each text
+    owner: np.ndarray  # text of each place
+    offset: np.ndarray  # place within its text, 0 for the start sign
+    distinct: np.ndarray  # distinct n-grams of all orders, sorted
+    count: np.ndarray  # how often each stands here
+    in_texts: np.ndarray  # in how many texts
+    at: list[np.ndarray]  # per order: places where an n-gram of it ends
+    entry: list[np.ndarray]  # per order and such place: its place in ``distinct``
+    own: list[np.ndarray]  # per order and such place: its count in that text
+
+
+def _grams(texts: list[bytes], order: int) -> _Grams:
+    lists = [x.split() for x in texts]
+    n_words = np.array([len(x) for x in lists], np.int64)
+    known = {w: xxhash.xxh64_intdigest(w) for w in {w for x in lists for w in x}}
+    size = n_words + 1
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(lists)), size)
+    offset = np.arange(len(owner)) - begin[owner]
+    word = np.full(len(owner), _START, np.uint64)
+    word[offset > 0] = np.fromiter((known[w] for x in lists for w in x), np.uint64, int(n_words.sum()))
+    gram, at, found = word, [], []
+    for k in range(1, order + 1):
+        if k > 1:
+            gram = np.concatenate((gram[:1], _joined(gram[:-1], word[1:])))
+        at.append(np.nonzero(offset >= max(1, k - 1))[0])
+        found.append(gram[at[-1]])
+    ends = np.cumsum([len(x) for x in at])[:-1]
+    every, text = np.concatenate(found), owner[np.concatenate(at)]
+    # Texts stand in order within each order of n-grams, so a stable sort keeps those of one n-gram together.
+    by = np.argsort(every, kind="stable")
+    every, text = every[by], text[by]
+    fresh = np.ones(len(every), bool)
+    fresh[1:] = every[1:] != every[:-1]
+    entered = fresh.copy()
+    entered[1:] |= text[1:] != text[:-1]
+    heads, runs = np.nonzero(fresh)[0], np.nonzero(entered)[0]
+    entry, own = np.empty(len(every), np.int64), np.empty(len(every), np.int64)
+    entry[by] = np.cumsum(fresh) - 1
+    lengths = np.diff(np.append(runs, len(every)))
+    own[by] = np.repeat(lengths, lengths)
+    in_texts = np.add.reduceat(entered.astype(np.int64), heads) if len(heads) else heads
+    count = np.diff(np.append(heads, len(every)))
+    return _Grams(n_words, owner, offset, every[heads], count, in_texts, at, np.split(entry, ends), np.split(own, ends))
+
+
+def _part(grams: np.ndarray, parts: int) -> np.ndarray:
+    """Part of the hash space; it rises with the hash."""
+    return ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _texts(sizes: list[int], body: bytes, n_bytes: int) -> list[bytes]:
+    whole = pa.decompress(body, n_bytes, codec="zstd", asbytes=True) if n_bytes else b""
+    ends = np.cumsum(sizes).tolist()
+    return [whole[e - s : e] for s, e in zip(sizes, ends, strict=True)]
+
+
+def write_portions(docs: DataFrame, scratch: Scratch, key: str, text: str, most: int = PORTION_BYTES) -> DataFrame:
+    """All rows in portions (portion, keys, sizes, body, n_bytes, n_words, starts), each with about ``most`` bytes of text."""
+    rows = require(docs, key, text)
+    kind = docs.schema[key].dataType.simpleString()
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in portions(batches, text, most):
+            texts = bytes_of(batch, text)
+            words = [len(x.split()) for x in texts]
+            whole = b"".join(texts)
+            columns = {
+                "portion": pa.array([number], pa.int64()),
+                "keys": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0)),
+                "sizes": pa.array([[len(x) for x in texts]], pa.list_(pa.int64())),
+                "body": pa.array([pa.compress(whole, codec="zstd", asbytes=True)], pa.binary()),
+                "n_bytes": pa.array([len(whole)], pa.int64()),
+                "n_words": pa.array([sum(words)], pa.int64()),
+                "starts": pa.array([sum(n > 0 for n in words)], pa.int64()),
+            }
+            number += 1
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = f"portion long, keys array<{kind}>, sizes array<long>, body binary, n_bytes long, n_words long, starts long"
+    return scratch.settle(rows.mapInArrow(cut, schema))
+
+
+def count_grams(written: DataFrame, order: int, parts: int) -> DataFrame:
+    """For each portion and part of the hash space: which of the n-grams sent stand in two or more documents, and the
+    counts of these over all documents (portion, part, size, shared, totals)."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.select(["portion", "sizes", "body", "n_bytes"]).to_pylist():
+                grams = _grams(_texts(row["sizes"], row["body"], row["n_bytes"]), order)
+                part = _part(grams.distinct, parts)
+                cuts = [*np.nonzero(np.diff(part, prepend=-1))[0].tolist(), len(part)]
+                out = []
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    steps = np.diff(grams.distinct[a:b], prepend=np.uint64(0))
+                    # The first is kept whole beside the steps, which need fewer bytes.
+                    first, steps[0] = int(steps[0]) - (1 << 63), 0
+                    out.append((int(part[a]), row["portion"], b - a, first, _pack(steps), _pack(grams.count[a:b]), _pack(grams.in_texts[a:b])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["part", "portion", "size", "first", "steps", "n", "docs"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        first = [np.uint64(r["first"] + (1 << 63)) for r in rows]
+        every = np.concatenate([f + np.cumsum(_unpack(r["steps"], r["size"]), dtype=np.uint64) for f, r in zip(first, rows, strict=True)])
+        by = np.argsort(every, kind="stable")
+        fresh = np.diff(every[by], prepend=~every[by[:1]]) != 0
+        entry = np.empty(len(every), np.int64)
+        entry[by] = np.cumsum(fresh) - 1
+        added = lambda c: np.bincount(entry, np.concatenate([_unpack(r[c], r["size"]) for r in rows])).astype(np.int64)[entry]
+        total, shared = added("n"), added("docs") > 1
+        out, end = [], 0
+        for r in rows:
+            begin, end = end, end + r["size"]
+            if shared[begin:end].any():
+                told = shared[begin:end]
+                out.append((r["portion"], r["part"], r["size"], np.packbits(told).tobytes(), _pack(total[begin:end][told])))
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["portion", "part", "size", "shared", "totals"])
+
+    sent = written.mapInArrow(send, "part long, portion long, size long, first long, steps binary, n binary, docs binary")
+    return sent.groupBy("part").applyInArrow(answer, "portion long, part long, size long, shared binary, totals binary")
+
+
+def score(
+    docs: DataFrame,
+    scratch: Scratch,
+    key: str = "doc_id",
+    text: str = "text",
+    order: int = ORDER,
+    portion_bytes: int = PORTION_BYTES,
+    part_grams: int = PART_GRAMS,
+) -> DataFrame:
+    """Per row: key, n_words, log10_prob of the text, n_backoff (words whose longest n-gram is not left) and log10_prob
+    per word. The sizes of portions and parts change nothing in the result."""
+    written = write_portions(docs, scratch, key, text, portion_bytes)
+    sums = written.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("starts"), F.lit(0)).alias("starts")).first()
+    all_words, all_starts = sums.words, sums.starts
+    parts = max(1, -(-order * all_words // part_grams))
+
+    def judge(portion: pa.Table, answers: pa.Table) -> pa.Table:
+        (row,) = portion.select(["sizes", "body", "n_bytes"]).to_pylist()
+        grams = _grams(_texts(row["sizes"], row["body"], row["n_bytes"]), order)
+        part, totals = _part(grams.distinct, parts), np.zeros(len(grams.distinct), np.int64)
+        for r in answers.to_pylist():
+            begin = int(np.searchsorted(part, r["part"]))
+            told = np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=r["size"]).astype(bool)
+            totals[begin : begin + r["size"]][told] = _unpack(r["totals"], int(told.sum()))
+        places = len(grams.owner)
+        others = np.maximum(all_words - grams.n_words[grams.owner], 1)
+        # Longest n-gram that may end at a place, the start sign counted as a word of the context.
+        longest = np.minimum(grams.offset + 1, order)
+        value, hit_order = np.zeros(places), np.zeros(places, np.int64)
+        context = np.zeros(places, np.int64)
+        for k in range(1, order + 1):
+            at = grams.at[k - 1]
+            total = totals[grams.entry[k - 1]]
+            left = np.where(total > 0, total - grams.own[k - 1], 0)
+            if k == 1:
+                value[at] = np.log10(np.maximum(left, 1)) - np.log10(others[at])
+                hit_order[at] = 1
+            else:
+                seen = left > 0
+                value[at[seen]] = np.log10(left[seen]) - np.log10(np.maximum(context[at[seen] - 1], 1))
+                hit_order[at[seen]] = k
+            context = np.zeros(places, np.int64)
+            context[at] = left
+            if k == 1:
+                context[grams.offset == 0] = all_starts - 1
+        given_up = np.where(grams.offset > 0, longest - hit_order, 0)
+        value += np.log10(BACKOFF) * given_up
+        texts = len(grams.n_words)
+        some = grams.n_words > 0
+        log_prob = np.round(np.bincount(grams.owner, value, texts), 6)
+        per_word = np.round(log_prob / np.maximum(grams.n_words, 1), 6)
+        keys = portion.column("keys").combine_chunks().flatten()
+        backed = np.bincount(grams.owner, given_up > 0, texts).astype(np.int64)
+        columns = [keys, pa.array(grams.n_words), pa.array(log_prob, mask=~some), pa.array(backed), pa.array(per_word, mask=~some)]
+        return pa.table(columns, [key, "n_words", "log10_prob", "n_backoff", "score"])
+
+    answers = count_grams(written, order, parts)
     kind = docs.schema[key].dataType.simpleString()
-    rows = require(docs, key, text).withColumn("crc", text_key(text))
-    found = rows.mapInArrow(run, f"key {kind}, crc long, pair long, n long, value double, missed long")
-    met = found.filter("pair is not null").join(table.select("pair", F.col("n").alias("all")), "pair")
-    left = F.col("all") - F.col("n")
-    hits = met.filter(left > 0).select("key", "crc", (F.col("n") * (F.col("value") + F.log10(left))).alias("value"), F.col("n").alias("hit"), F.lit(0).alias("copies"), F.lit(0).alias("n_words"), F.lit(0).alias("missed"))
-    texts = found.filter("pair is null").select("key", "crc", "value", F.lit(0).alias("hit"), F.lit(1).alias("copies"), F.col("n").alias("n_words"), "missed")
-    # Rows with equal id and text are summed together: each has an equal share.
-    summed = texts.unionByName(hits).groupBy("key", "crc").agg(*[F.sum(c).alias(c) for c in ("value", "hit", "copies", "n_words", "missed")])
-    each = summed.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    whole = lambda c: (F.col(c) / F.col("copies")).cast("long")
-    log_prob = F.when(F.col("n_words") > 0, F.round(F.col("value") / F.col("copies"), 6))
-    each = each.select(F.col("key").alias(key), whole("n_words").alias("n_words"), log_prob.alias("log10_prob"), (whole("missed") - whole("hit")).alias("n_backoff"))
-    return each.withColumn("score", F.round(F.col("log10_prob") / F.col("n_words"), 6))
-
-
-def _word_counts(owner: np.ndarray, word: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """How often the wanted words stand in the texts of their entries."""
-    known, n = np.unique(owner << 32 | word, return_counts=True)
-    ask = owner << 32 | wanted
-    place = np.minimum(np.searchsorted(known, ask), max(len(known) - 1, 0))
-    return np.where(known[place] == ask, n[place], 0) if len(known) else np.zeros(len(ask), np.int64)
+    schema = f"`{key}` {kind}, n_words long, log10_prob double, n_backoff long, score double"
+    return written.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(judge, schema)

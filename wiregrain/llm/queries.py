@@ -70,9 +70,8 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register
 def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    """Stupid-backoff score of every document under the word pairs of all others."""
-    docs = _documents(spark, folder)
-    return backoff.score(docs, *backoff.fit(docs, Scratch(spark)))
+    """Stupid-backoff score of every document under the n-grams of all others."""
+    return backoff.score(_documents(spark, folder), Scratch(spark))
 
 
 @_register

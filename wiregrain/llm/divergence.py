@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiregrain.llm import transducer
-from wiregrain.llm.backoff import _least_count
-from wiregrain.llm.rows import bytes_of, portions
+from wiregrain.llm.rows import bytes_of, least_count, portions
 from wiregrain.session import Scratch
 
 LEAST = 10
@@ -95,7 +94,7 @@ class Vocabulary:
 def _compiled(kept: DataFrame, most_terms: int) -> tuple[Vocabulary, DataFrame]:
     """The transducer of the most frequent terms, and the table of the others."""
     short = F.octet_length("term") <= _TERM_BYTES
-    floor = _least_count(kept.filter(short), most_terms)
+    floor = least_count(kept.filter(short), most_terms)
     inside = short & (F.col("n") >= floor)
     chosen = kept.filter(inside).select("lang", "term", "ordinal").toArrow()
     lang, term = chosen.column("lang").to_pylist(), chosen.column("term").cast(pa.binary()).to_pylist()

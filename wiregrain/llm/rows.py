@@ -43,3 +43,17 @@ def text_key(text: str = "text") -> Column:
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that others, whatever their names, can not clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def least_count(table: DataFrame, most: int) -> int:
+    """Smallest count ``n`` for which no more than ``most`` rows have it or a larger one.
+
+    Only the sizes of the counts are sorted and collected: no task gathers the largest rows of all others.
+    """
+    held, least = 0, 1 << 62
+    for r in table.groupBy("n").count().orderBy(F.desc("n")).limit(most + 1).collect():
+        held += r["count"]
+        if held > most:
+            break
+        least = r.n
+    return least

@@ -50,7 +50,7 @@ def corpus():
     rng = random.Random(7)
     words = [f"w{i}" for i in range(40)] + ["é", "x|"]
     texts = [" ".join(rng.choice(words[: rng.randrange(2, 42)]) for _ in range(rng.randrange(50))) for _ in range(80)]
-    texts += [texts[5], None, "", " \n", "only here twice only here twice", "w1 w2 " * 4000]
+    texts += [texts[5], None, "", " \n", "only here twice only here twice", "  a\x0bb\x1cc\x85d\u00a0e\x0cf\u2003g\x00h \n a b", "w1 w2 " * 4000]
     # Rare words: most of the corpus's words stand in one or two documents.
     texts += [" ".join(f"rare{rng.randrange(600)}" for _ in range(60)) for _ in range(20)]
     return [(i if i % 10 else None, t, "x") for i, t in enumerate(texts)] + [(5, texts[5], "x")]

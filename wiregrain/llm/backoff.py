@@ -3,7 +3,8 @@
 N-grams of all words and of all orders are counted over all documents; there is no vocabulary. A document begins with a
 start sign and is scored by what the others say: its own counts are taken off. The longest n-gram that is left gives
 count(n-gram) / count(its context), times 0.4 for each word given up on the way; a word that is left nowhere counts once
-among all words. N-grams are told apart by 64 bits.
+among all words. Words and n-grams are hashed to 64 bits; of these 20 more are compared than it takes to number all n-grams
+of the corpus (49 for 0.5 GB), so that fewer than one n-gram in a million is taken for another one, at any size.
 
 Texts are written once as portions of bounded size. Each portion sends every n-gram it holds once, with its count, to the
 part of the hash space that owns it, so that a word found everywhere costs one entry for each portion. A part sums the
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,6 +36,8 @@ BACKOFF = 0.4
 ORDER = 3
 #: Bytes of text of a portion, and n-grams that a part of the hash space is to get.
 PORTION_BYTES, PART_GRAMS = 4 << 20, 1_000_000
+#: Bits that are compared beyond those that number all n-grams.
+SPARE_BITS = 20
 _START = np.uint64(0x243F6A8885A308D3)
 _ODD, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -46,18 +50,27 @@ def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers as planes of equal bytes, as many as the largest needs."""
+    """Whole numbers as one byte with their width and compressed planes of equal bytes."""
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, size: int) -> np.ndarray:
-    out = np.zeros((size, 8), np.uint8)
-    if size:
-        out[:, : len(data) // size] = np.frombuffer(data, np.uint8).reshape(-1, size).T
+    out, width = np.zeros((size, 8), np.uint8), data[0]
+    planes = pa.decompress(data[1:], size * width, codec="zstd", asbytes=True) if size else b""
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, size).T
     return out.reshape(-1).view("<u8")
 
 
+def _words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """All words and the text of each. Words are what is left between ASCII spaces and controls 9 to 13."""
+    split = pc.ascii_split_whitespace(texts)
+    pieces = split.flatten()
+    some = pc.greater(pc.binary_length(pieces), 0)
+    return pieces.filter(some), pc.list_parent_indices(split).filter(some).to_numpy()
+
+
 @dataclass
 class _Grams:
     """The n-grams of a portion. Arrays of places cover each text's start sign and words, text after text."""
@@ -73,16 +86,24 @@ class _Grams:
     own: list[np.ndarray]  # per order and such place: its count in that text
 
 
-def _grams(texts: list[bytes], order: int) -> _Grams:
-    lists = [x.split() for x in texts]
-    n_words = np.array([len(x) for x in lists], np.int64)
-    known = {w: xxhash.xxh64_intdigest(w) for w in {w for x in lists for w in x}}
+def _hashes(words: pa.StringArray) -> np.ndarray:
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).tolist() if len(words) else [0]
+    whole = words.buffers()[2].to_pybytes() if len(words) else b""
+    return np.fromiter((xxhash.xxh64_intdigest(whole[a:b]) for a, b in zip(ends, ends[1:], strict=False)), np.uint64, len(words))
+
+
+def _grams(texts: pa.StringArray, order: int, bits: int, places: bool) -> _Grams:
+    """All n-grams of the texts; where they stand (``entry`` and ``own``) only if ``places`` are wanted."""
+    pieces, text_of = _words(texts)
+    n_words = np.bincount(text_of, minlength=len(texts))
+    coded = pieces.dictionary_encode()
+    hashes = _hashes(coded.dictionary)
     size = n_words + 1
     begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(lists)), size)
+    owner = np.repeat(np.arange(len(texts)), size)
     offset = np.arange(len(owner)) - begin[owner]
     word = np.full(len(owner), _START, np.uint64)
-    word[offset > 0] = np.fromiter((known[w] for x in lists for w in x), np.uint64, int(n_words.sum()))
+    word[offset > 0] = hashes[coded.indices.to_numpy()]
     gram, at, found = word, [], []
     for k in range(1, order + 1):
         if k > 1:
@@ -90,33 +111,38 @@ def _grams(texts: list[bytes], order: int) -> _Grams:
         at.append(np.nonzero(offset >= max(1, k - 1))[0])
         found.append(gram[at[-1]])
     ends = np.cumsum([len(x) for x in at])[:-1]
-    every, text = np.concatenate(found), owner[np.concatenate(at)]
-    # Texts stand in order within each order of n-grams, so a stable sort keeps those of one n-gram together.
-    by = np.argsort(every, kind="stable")
-    every, text = every[by], text[by]
+    every, text = np.concatenate(found) >> np.uint64(64 - bits), owner[np.concatenate(at)]
+    # Texts stand in order within each order of n-grams, so places in order keep those of one n-gram together.
+    by = np.argsort(every)
     fresh = np.ones(len(every), bool)
-    fresh[1:] = every[1:] != every[:-1]
+    fresh[1:] = np.diff(every[by]) != 0
+    by = (np.sort(np.cumsum(fresh).astype(np.uint64) << np.uint64(40) | by.astype(np.uint64)) & np.uint64((1 << 40) - 1)).astype(np.int64)
+    every, text = every[by], text[by]
     entered = fresh.copy()
-    entered[1:] |= text[1:] != text[:-1]
-    heads, runs = np.nonzero(fresh)[0], np.nonzero(entered)[0]
-    entry, own = np.empty(len(every), np.int64), np.empty(len(every), np.int64)
-    entry[by] = np.cumsum(fresh) - 1
-    lengths = np.diff(np.append(runs, len(every)))
-    own[by] = np.repeat(lengths, lengths)
+    entered[1:] |= np.diff(text) != 0
+    heads = np.nonzero(fresh)[0]
     in_texts = np.add.reduceat(entered.astype(np.int64), heads) if len(heads) else heads
-    count = np.diff(np.append(heads, len(every)))
-    return _Grams(n_words, owner, offset, every[heads], count, in_texts, at, np.split(entry, ends), np.split(own, ends))
+    found = _Grams(n_words, owner, offset, every[heads], np.diff(np.append(heads, len(every))), in_texts, at, [], [])
+    if places:
+        lengths = np.diff(np.append(np.nonzero(entered)[0], len(every)))
+        entry, own = np.empty(len(every), np.int64), np.empty(len(every), np.int64)
+        entry[by] = np.cumsum(fresh) - 1
+        own[by] = np.repeat(lengths, lengths)
+        found.entry, found.own = np.split(entry, ends), np.split(own, ends)
+    return found
 
 
-def _part(grams: np.ndarray, parts: int) -> np.ndarray:
+def _part(grams: np.ndarray, parts: int, bits: int) -> np.ndarray:
     """Part of the hash space; it rises with the hash."""
-    return ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    high = grams >> np.uint64(bits - 32) if bits > 32 else grams << np.uint64(32 - bits)
+    return (high * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _texts(sizes: list[int], body: bytes, n_bytes: int) -> list[bytes]:
-    whole = pa.decompress(body, n_bytes, codec="zstd", asbytes=True) if n_bytes else b""
-    ends = np.cumsum(sizes).tolist()
-    return [whole[e - s : e] for s, e in zip(sizes, ends, strict=True)]
+def _texts(row: dict) -> pa.StringArray:
+    """The texts of a written portion."""
+    whole = pa.decompress(row["body"], row["n_bytes"], codec="zstd") if row["n_bytes"] else pa.py_buffer(b"")
+    ends = np.concatenate(([0], np.cumsum(row["sizes"]))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(row["sizes"]), pa.py_buffer(ends), whole)
 
 
 def write_portions(docs: DataFrame, scratch: Scratch, key: str, text: str, most: int = PORTION_BYTES) -> DataFrame:
@@ -128,7 +154,7 @@ def write_portions(docs: DataFrame, scratch: Scratch, key: str, text: str, most:
         number = TaskContext.get().partitionId() << 32
         for batch in portions(batches, text, most):
             texts = bytes_of(batch, text)
-            words = [len(x.split()) for x in texts]
+            owner = _words(pc.fill_null(batch.column(text), ""))[1]
             whole = b"".join(texts)
             columns = {
                 "portion": pa.array([number], pa.int64()),
@@ -136,8 +162,8 @@ def write_portions(docs: DataFrame, scratch: Scratch, key: str, text: str, most:
                 "sizes": pa.array([[len(x) for x in texts]], pa.list_(pa.int64())),
                 "body": pa.array([pa.compress(whole, codec="zstd", asbytes=True)], pa.binary()),
                 "n_bytes": pa.array([len(whole)], pa.int64()),
-                "n_words": pa.array([sum(words)], pa.int64()),
-                "starts": pa.array([sum(n > 0 for n in words)], pa.int64()),
+                "n_words": pa.array([len(owner)], pa.int64()),
+                "starts": pa.array([len(np.unique(owner))], pa.int64()),
             }
             number += 1
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -146,15 +172,15 @@ def write_portions(docs: DataFrame, scratch: Scratch, key: str, text: str, most:
     return scratch.settle(rows.mapInArrow(cut, schema))
 
 
-def count_grams(written: DataFrame, order: int, parts: int) -> DataFrame:
+def count_grams(written: DataFrame, order: int, bits: int, parts: int) -> DataFrame:
     """For each portion and part of the hash space: which of the n-grams sent stand in two or more documents, and the
     counts of these over all documents (portion, part, size, shared, totals)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.select(["portion", "sizes", "body", "n_bytes"]).to_pylist():
-                grams = _grams(_texts(row["sizes"], row["body"], row["n_bytes"]), order)
-                part = _part(grams.distinct, parts)
+                grams = _grams(_texts(row), order, bits, places=False)
+                part = _part(grams.distinct, parts, bits)
                 cuts = [*np.nonzero(np.diff(part, prepend=-1))[0].tolist(), len(part)]
                 out = []
                 for a, b in zip(cuts, cuts[1:], strict=False):
@@ -169,7 +195,7 @@ def count_grams(written: DataFrame, order: int, parts: int) -> DataFrame:
         rows = group.to_pylist()
         first = [np.uint64(r["first"] + (1 << 63)) for r in rows]
         every = np.concatenate([f + np.cumsum(_unpack(r["steps"], r["size"]), dtype=np.uint64) for f, r in zip(first, rows, strict=True)])
-        by = np.argsort(every, kind="stable")
+        by = np.argsort(every)
         fresh = np.diff(every[by], prepend=~every[by[:1]]) != 0
         entry = np.empty(len(every), np.int64)
         entry[by] = np.cumsum(fresh) - 1
@@ -203,12 +229,13 @@ def score(
     written = write_portions(docs, scratch, key, text, portion_bytes)
     sums = written.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("starts"), F.lit(0)).alias("starts")).first()
     all_words, all_starts = sums.words, sums.starts
-    parts = max(1, -(-order * all_words // part_grams))
+    most = order * all_words
+    parts, bits = max(1, -(-most // part_grams)), min(64, most.bit_length() + SPARE_BITS)
 
     def judge(portion: pa.Table, answers: pa.Table) -> pa.Table:
         (row,) = portion.select(["sizes", "body", "n_bytes"]).to_pylist()
-        grams = _grams(_texts(row["sizes"], row["body"], row["n_bytes"]), order)
-        part, totals = _part(grams.distinct, parts), np.zeros(len(grams.distinct), np.int64)
+        grams = _grams(_texts(row), order, bits, places=True)
+        part, totals = _part(grams.distinct, parts, bits), np.zeros(len(grams.distinct), np.int64)
         for r in answers.to_pylist():
             begin = int(np.searchsorted(part, r["part"]))
             told = np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=r["size"]).astype(bool)
@@ -245,7 +272,7 @@ def score(
         columns = [keys, pa.array(grams.n_words), pa.array(log_prob, mask=~some), pa.array(backed), pa.array(per_word, mask=~some)]
         return pa.table(columns, [key, "n_words", "log10_prob", "n_backoff", "score"])
 
-    answers = count_grams(written, order, parts)
+    answers = count_grams(written, order, bits, parts)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_words long, log10_prob double, n_backoff long, score double"
     return written.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(judge, schema)

@@ -152,6 +152,7 @@ def write_portions(docs: DataFrame, scratch: Scratch, key: str, text: str, most:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        packer = pa.Codec("zstd", compression_level=9)  # the texts lie on disk twice
         for batch in portions(batches, text, most):
             texts = bytes_of(batch, text)
             owner = _words(pc.fill_null(batch.column(text), ""))[1]
@@ -160,7 +161,7 @@ def write_portions(docs: DataFrame, scratch: Scratch, key: str, text: str, most:
                 "portion": pa.array([number], pa.int64()),
                 "keys": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0)),
                 "sizes": pa.array([[len(x) for x in texts]], pa.list_(pa.int64())),
-                "body": pa.array([pa.compress(whole, codec="zstd", asbytes=True)], pa.binary()),
+                "body": pa.array([packer.compress(whole, asbytes=True)], pa.binary()),
                 "n_bytes": pa.array([len(whole)], pa.int64()),
                 "n_words": pa.array([len(owner)], pa.int64()),
                 "starts": pa.array([len(np.unique(owner))], pa.int64()),

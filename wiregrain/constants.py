@@ -121,6 +121,17 @@ MESSAGE_CRITERIA = [
     ("collection_hours", 24.0, None),
     ("collection_packets", 10000.0, None),
 ]
+# Criteria of conversations, of the mapping of addresses and of the two halves of a collection.
+CONVERSATION_CRITERIA = [
+    ("response_delay_mean_ms", 1.0, 100.0),
+    ("response_delay_p95_ms", None, 150.0),
+    ("orphan_packet_share", None, 0.01),
+    ("regular_id_share", 0.9, None),
+    ("autocorrelation", 0.7, None),
+    ("mapping_stability", 0.95, None),
+    ("length_drift_sigma", None, 2.0),
+    ("coverage_share", 0.95, None),
+]
 MIN_PACKETS_PER_UNIT = 100
 MIN_FUNCTION_CODE_ROWS = 10
 

@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiregrain import constants as C
-from wiregrain.operators.flows import iat_shape
+from wiregrain.operators.flows import (
+    MESSAGE_KEYS,
+    iat_autocorrelation,
+    iat_shape,
+    modbus_messages,
+    pair_requests,
+    transaction_steps,
+)
+from wiregrain.operators.quantiles import quantile_table
+from wiregrain.operators.spread import join_null_safe
 from wiregrain.operators.stats import distinct_counts, most_common_code
 from wiregrain.session import settle
 
@@ -128,6 +137,80 @@ def message_metrics(features: DataFrame, port: int) -> DataFrame:
     )
 
 
+def half_metrics(features: DataFrame, port: int) -> DataFrame:
+    """Per capture: is the second half of its time like the first?
+
+    ``mapping_stability`` is the share of the second half's packets whose pair of server address and unit was seen in
+    the first half, ``length_drift_sigma`` the distance of the halves' mean lengths in deviations of all lengths.
+    Packets are counted per pair first, so a capture is merged from one row per pair. NULL without a second half.
+    """
+    us, length = F.unix_micros("ts"), F.col("packet_length").cast("long")
+    ends = features.groupBy("capture_id").agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"))
+    rows = modbus_messages(features, port).select("capture_id", "server_ip", "unit_id", us.alias("us"), length.alias("x"))
+    late = F.col("us") * 2 > F.col("first_us") + F.col("last_us")
+    halves = join_null_safe(rows, ends, ["capture_id"], "inner").withColumn("late", late)
+    pairs = halves.groupBy("capture_id", "server_ip", "unit_id").agg(
+        F.count_if(~F.col("late")).alias("n1"),
+        F.count_if(F.col("late")).alias("n2"),
+        F.sum(F.when(~F.col("late"), F.col("x"))).alias("x1"),
+        F.sum(F.when(F.col("late"), F.col("x"))).alias("x2"),
+        F.sum(F.col("x") * F.col("x")).alias("xx"),
+    )
+    n, x = F.sum("n1") + F.sum("n2"), F.coalesce(F.sum("x1"), F.lit(0)) + F.coalesce(F.sum("x2"), F.lit(0))
+    known = F.sum(F.when(F.col("n1") > 0, F.col("n2")).otherwise(0))
+    # Whole sums in decimals: squares of a large capture's lengths cancel almost entirely.
+    whole = lambda c: c.cast("decimal(38,0)")
+    spread = F.sqrt((whole(n) * whole(F.sum("xx")) - whole(x) * whole(x)).cast("double") / n / F.nullif(n - 1, F.lit(0)))
+    means = [F.sum(a) / F.nullif(F.sum(b), F.lit(0)) for a, b in (("x1", "n1"), ("x2", "n2"))]
+    return pairs.groupBy("capture_id").agg(
+        (known / F.nullif(F.sum("n2"), F.lit(0))).alias("mapping_stability"),
+        (F.abs(means[1] - means[0]) / F.nullif(spread, F.lit(0.0))).alias("length_drift_sigma"),
+    )
+
+
+def conversation_metrics(
+    features: DataFrame,
+    port: int,
+    keys: Sequence[str] = MESSAGE_KEYS,
+    timeout_seconds: float = 10.0,
+    cell_seconds: float = 60.0,
+    lag: int = 1,
+) -> DataFrame:
+    """One row per capture with the observed value of every criterion on conversations and on the collection's halves.
+
+    ``keys`` say which messages belong together, ``lag`` how many packets a polling round has. An orphan is a request
+    without a response in time or a response that no request found. ``coverage_share`` counts packets of units with a
+    baseline of their own.
+    """
+    key = ["capture_id"]
+    # Read by pairing, steps, intervals, halves and coverage.
+    features = settle(
+        features.select(*key, "packet_number", "ts", "src_ip", "src_port", "dst_ip", "dst_port", "unit_id", "transaction_id", "packet_length")
+    )
+    messages = modbus_messages(features, port)
+    pairs = settle(pair_requests(messages, keys=keys, timeout_seconds=timeout_seconds, cell_seconds=cell_seconds))
+    answered = pairs.where("response_number IS NOT NULL")
+    delays = answered.groupBy(*key).agg(F.count(F.lit(1)).alias("matched"), F.avg("response_delay_ms").alias("response_delay_mean_ms"))
+    taken = answered.select(*key, "response_number").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("taken"))
+    p95 = quantile_table(pairs, {"response_delay_p95_ms": ("response_delay_ms", 0.95)}, key, stored=True)
+    out = features.groupBy(*key).agg(F.count(F.lit(1)).alias("packets"))
+    conversation = [k for k in keys if k not in ("unit_id", "transaction_id")]
+    steps = transaction_steps(messages, conversation).groupBy(*key).agg(F.avg(F.col("regular").cast("int")).alias("regular_id_share"))
+    periodic = iat_autocorrelation(features, lag, key).select(*key, "autocorrelation")
+    baseline = build_baseline(features, ["packet_length"])
+    inside = F.col("packet_length").between(F.col("packet_length_low"), F.col("packet_length_high"))
+    covered = features.join(baseline.drop("packets"), "unit_id").groupBy(*key).agg(F.avg(inside.cast("int")).alias("coverage_share"))
+    for part in (delays, taken, p95, steps, periodic, half_metrics(features, port), covered):
+        out = join_null_safe(out, part, key)
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.withColumn("orphan_packet_share", (F.col("packets") - none("matched") - none("taken")) / F.col("packets")).drop("packets", "matched", "taken")
+
+
+def conversation_compliance(features: DataFrame, port: int, **pairing: object) -> DataFrame:
+    """As ``compliance``, for conversations and the two halves of the collection; ``pairing`` goes to the metrics."""
+    return _checked(conversation_metrics(features, port, **pairing), C.CONVERSATION_CRITERIA)
+
+
 def message_compliance(features: DataFrame, port: int) -> DataFrame:
     """As ``compliance``, for messages, flows and the collection."""
     return _checked(message_metrics(features, port), C.MESSAGE_CRITERIA)

@@ -225,6 +225,46 @@ def pairing_summary(messages: DataFrame, pairs: DataFrame, is_request: str = "is
     )
 
 
+def transaction_steps(
+    messages: DataFrame,
+    keys: Sequence[str] = ("capture_id", "client_ip", "client_port", "server_ip"),
+    is_request: str = "is_request",
+    order: str = "packet_number",
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Each request's step from the transaction id before it in its conversation, which wraps at 65,536.
+
+    A step is regular when it is one (sequential ids) or the step before it again (ids that are constant or go by
+    another stride); ids between that a regular sequence would have held are ``skipped``. The first request has no step.
+    """
+
+    def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        ids = F.col("transaction_id")
+        # Both from the ids themselves: rows carried into a slice have no computed columns.
+        return rows.withColumns(
+            {
+                "id_step": F.pmod(ids - F.lag(ids).over(w), F.lit(65536)),
+                "__before": F.pmod(F.lag(ids).over(w) - F.lag(ids, 2).over(w), F.lit(65536)),
+            }
+        )
+
+    requests = messages.where(is_request).select(*keys, order, F.col("transaction_id").cast("long").alias("transaction_id"))
+    rows = ordered(requests, compute, keys=keys, order=order, carry=["transaction_id"], depth=2, hot_rows=hot_rows)
+    step, regular = F.col("id_step"), (F.col("id_step") == 1) | F.coalesce(F.col("id_step") == F.col("__before"), F.lit(False))
+    skipped = F.when(step.isNotNull(), F.when(regular, 0).otherwise(F.greatest(step - 1, F.lit(0))))
+    return rows.withColumns({"regular": regular, "skipped": skipped.cast("long")}).drop("__before")
+
+
+def transaction_gaps(steps: DataFrame, keys: Sequence[str] = ("capture_id", "client_ip", "client_port", "server_ip")) -> DataFrame:
+    """Per conversation: requests, irregular steps, skipped ids and the share of regular steps (NULL without a step)."""
+    return steps.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(~F.col("regular")).alias("gaps"),
+        F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"),
+        F.avg(F.col("regular").cast("int")).alias("regular_id_share"),
+    )
+
+
 # --- periodicity by Fourier transform -------------------------------------------
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wiregrain import constants as C
+from wiregrain.operators import baseline as B
 from wiregrain.operators import flows as L
 from wiregrain.operators import timewindows as T
 from wiregrain.plans.queries.packets import modbus, narrow
@@ -104,6 +106,60 @@ def pairing_summary(spark, folder):
     return tidy(L.pairing_summary(*_pairs(spark, folder)), 4)
 
 
+_STEPS = """l AS (SELECT *, lag(transaction_id) OVER w AS t1, lag(transaction_id, 2) OVER w AS t2 FROM m WHERE is_request
+  WINDOW w AS (PARTITION BY capture_id, client_ip, server_ip ORDER BY packet_number)),
+st AS (SELECT *, (transaction_id - t1 + 65536) % 65536 AS step, (t1 - t2 + 65536) % 65536 AS before FROM l),
+rg AS (SELECT *, CASE WHEN step IS NOT NULL THEN step = 1 OR coalesce(step = before, false) END AS regular FROM st)"""
+
+
+@query(
+    "transaction_gaps",
+    f"""WITH {PACKETS}, m AS (SELECT *, NOT answer AS is_request FROM pk), {_STEPS}
+SELECT capture_id, client_ip, server_ip, count(*) AS requests, count(*) FILTER (NOT regular) AS gaps,
+  CAST(coalesce(sum(CASE WHEN NOT regular THEN greatest(step - 1, 0) END), 0) AS BIGINT) AS skipped, round(avg(CAST(regular AS INTEGER)), 6) AS regular_id_share
+FROM rg GROUP BY capture_id, client_ip, server_ip""",
+)
+def transaction_gaps(spark, folder):
+    """Conversations of the tables have a new client port for every request, so addresses alone tell them apart."""
+    keys = ["capture_id", "client_ip", "server_ip"]
+    messages = L.modbus_messages(narrow(spark, folder, "src_ip", "dst_ip", "src_port", "dst_port", "transaction_id"), 502)
+    return tidy(L.transaction_gaps(L.transaction_steps(messages, keys), keys))
+
+
+def _conversation_criteria() -> str:
+    bound = lambda x: "CAST(NULL AS DOUBLE)" if x is None else f"CAST({x} AS DOUBLE)"
+    return ", ".join(f"('{n}', {bound(lo)}, {bound(hi)})" for n, lo, hi in C.CONVERSATION_CRITERIA)
+
+
+@query(
+    "baseline_conversations",
+    f"""WITH {_PAIRS}, {_STEPS},
+d AS (SELECT capture_id, avg((hit[1] - us) / 1000) AS mean, quantile_cont((hit[1] - us) / 1000, 0.95) AS p95, count(hit) AS matched, count(DISTINCT hit[2]) AS taken FROM p GROUP BY capture_id),
+r AS (SELECT capture_id, avg(CAST(regular AS INTEGER)) AS share FROM rg GROUP BY capture_id),
+i AS (SELECT capture_id, packet_number, (us - lag(us) OVER (PARTITION BY capture_id ORDER BY packet_number)) / 1e6 AS x FROM pk),
+j AS (SELECT *, lag(x) OVER (PARTITION BY capture_id ORDER BY packet_number) AS y FROM i),
+ac AS (SELECT capture_id, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS c FROM j WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY capture_id),
+e AS (SELECT capture_id, min(us) + max(us) AS twice, stddev_samp(packet_length) AS s, count(*) AS n FROM pk GROUP BY capture_id),
+h AS (SELECT pk.capture_id, server_ip, unit_id, packet_length, 2 * us > twice AS late FROM pk JOIN e USING (capture_id)),
+k AS (SELECT DISTINCT capture_id, server_ip, unit_id FROM h WHERE NOT late),
+hm AS (SELECT h.capture_id, avg(CASE WHEN late THEN CAST(k.capture_id IS NOT NULL AS INTEGER) END) AS stable,
+  abs(avg(packet_length) FILTER (late) - avg(packet_length) FILTER (NOT late)) AS drift FROM h LEFT JOIN k USING (capture_id, server_ip, unit_id) GROUP BY h.capture_id),
+b AS (SELECT unit_id, avg(packet_length) AS a, 2 * stddev_samp(packet_length) AS w FROM pk GROUP BY unit_id HAVING count(*) >= 100),
+cv AS (SELECT capture_id, avg(CAST(packet_length BETWEEN a - w AND a + w AS INTEGER)) AS share FROM pk JOIN b USING (unit_id) GROUP BY capture_id),
+a AS (SELECT e.capture_id, mean AS response_delay_mean_ms, p95 AS response_delay_p95_ms, CAST((n - coalesce(matched, 0) - coalesce(taken, 0)) / n AS DOUBLE) AS orphan_packet_share,
+  r.share AS regular_id_share, ac.c AS autocorrelation, stable AS mapping_stability, drift / nullif(s, 0) AS length_drift_sigma, cv.share AS coverage_share
+  FROM e LEFT JOIN d USING (capture_id) LEFT JOIN r USING (capture_id) LEFT JOIN ac USING (capture_id) LEFT JOIN hm USING (capture_id) LEFT JOIN cv USING (capture_id)),
+o AS (SELECT * FROM a UNPIVOT INCLUDE NULLS (observed FOR criterion IN ({', '.join(n for n, _, _ in C.CONVERSATION_CRITERIA)})))
+SELECT o.capture_id, o.criterion, round(observed, 4) + 0.0 AS observed, low, high,
+  CASE WHEN observed IS NOT NULL THEN coalesce(observed >= low, true) AND coalesce(observed <= high, true) END AS passed
+FROM o JOIN (VALUES {_conversation_criteria()}) c(criterion, low, high) USING (criterion)""",
+)
+def baseline_conversations(spark, folder):
+    """Conversations and the halves of the collection against their expected ranges."""
+    pairing = {"keys": ["capture_id", "client_ip", "server_ip"], "timeout_seconds": 21600.0, "cell_seconds": 21600.0}
+    return tidy(B.conversation_compliance(modbus(spark, folder), 502, **pairing), 4)
+
+
 _WINDOWED = """count(*) AS packets, CAST(sum(packet_length) AS BIGINT) AS bytes, count(DISTINCT src_ip) AS unique_src_ips, count(DISTINCT dst_ip) AS unique_dst_ips,
   count(DISTINCT unit_id) AS unique_unit_ids, count(DISTINCT function_code) AS unique_function_codes, count(*) FILTER (NOT is_valid) AS violations,
   round(avg(CAST(NOT is_valid AS INTEGER)), 6) AS violation_rate"""

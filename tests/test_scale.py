@@ -135,6 +135,39 @@ def test_quantiles_survive_a_useless_bracket(spark, monkeypatch):
         assert got[p] == pytest.approx(np.quantile(x, p))
 
 
+@pytest.mark.parametrize("shape", ["two modes", "powers", "one value", "flood"])
+def test_quantile_bins_are_cut_until_small(spark, shape):
+    """No task sorts more than ``bin_rows`` values of a rank, however the values lie, and quantiles stay exact."""
+    from wiregrain.operators import quantiles as Q
+
+    rng = np.random.default_rng(4)
+    x = {
+        "two modes": np.concatenate((rng.normal(size=3000) * 1e-6, 1e12 + rng.normal(size=3000))),
+        "powers": 10.0 ** rng.uniform(-150, 150, 6000),
+        "one value": np.full(6000, 3.5),
+        "flood": np.concatenate((np.full(5000, 7.0), 7 + rng.uniform(-1e-9, 1e-9, 1000))),
+    }[shape]
+    rows = [("a" if i % 2 else None, float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(4).cache()
+    probs = [0.0, 0.25, 0.49999, 0.5, 0.75, 1.0]
+    long = Q._melt(df, ["k"], ["x"])
+    bins = Q._narrowed(long, Q._brackets(df, ["k"], ["x"], probs), ["k", "feature"], 40).collect()
+    assert all(r.c <= 40 or r.lo == r.hi for r in bins)
+    assert all(sum(v < r.lo for k, v in rows if k == r.k) == r.base for r in bins)
+    for r in exact_quantiles(df, ["x"], probs, ["k"], bin_rows=40).collect():
+        own = [v for k, v in rows if k == r.k]
+        assert r.value == pytest.approx(np.quantile(own, r.prob), rel=1e-9, abs=1e-300)
+
+
+@pytest.mark.parametrize("distinct", [9, 10, 11, 12, 300])
+def test_kind_of_a_distribution_needs_no_estimate(spark, distinct):
+    """Values spread over many batches; ten distinct ones are listed, eleven make a histogram."""
+    x = [float(i % distinct) for i in range(3000)] + [-0.0] * 50
+    df = spark.createDataFrame([("g", v) for v in x] + [("g", None)], "k string, x double").repartition(7)
+    kinds = {r.kind for r in frequency_distributions(df, ["k"], ["x"]).collect()}
+    assert kinds == {"value_counts" if distinct <= 10 else "hist"}
+
+
 def test_histograms_equal_numpy(spark):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=3000), 2)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,13 +103,10 @@ def frequency_distributions(
     (``kind`` hist, last bin closed); otherwise the ``top_n`` most frequent values
     (``kind`` value_counts, ties by value); no value at all gives one ``empty`` row.
 
-    Which case applies needs only "more than k distinct?". An approximate count
-    far above k settles that for wide features; only near k are values themselves
-    counted, which is then a short list by construction.
+    Which case applies needs only "more than k distinct?", which a few values of each batch settle exactly.
     """
     rows, features = _grouped_input(df, keys, features)
     limit = max(bins, top_n)
-    near = 20 * limit
     packed = rows.groupBy(*keys).agg(
         F.array(
             *[
@@ -117,7 +115,6 @@ def frequency_distributions(
                     F.count(f).alias("total"),
                     F.min(f).alias("lo"),
                     F.max(f).alias("hi"),
-                    F.approx_count_distinct(f).alias("distinct"),
                 )
                 for f in features
             ]
@@ -126,8 +123,10 @@ def frequency_distributions(
     spans = settle(packed.select(*keys, F.inline("__s")))
     pairs = ", ".join(f"'{f}', `{f}`" for f in features)
     long = rows.select(*keys, F.expr(f"stack({len(features)}, {pairs}) as (feature, x)"))
-    long = long.where(F.col("x").isNotNull()).join(spans, [*keys, "feature"])
-    few = F.col("distinct") <= near
+    long = long.where(F.col("x").isNotNull())
+    held = settle(_distinct_up_to(long, [*keys, "feature"], limit + 1))
+    long = long.join(spans, [*keys, "feature"]).join(held, [*keys, "feature"])
+    few = F.col("distinct") <= limit
     counted = (
         long.withColumn("bin", histogram_bin(F.col("x"), F.col("lo"), F.col("hi"), bins))
         .withColumn("value", F.when(few, F.col("x")))
@@ -135,8 +134,7 @@ def frequency_distributions(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     group = Window.partitionBy(*keys, "feature")
-    counted = counted.withColumn("values", F.count("value").over(group))
-    listed = F.col("value").isNotNull() & (F.col("values") <= limit)
+    listed = F.col("value").isNotNull()
 
     best = group.orderBy(F.col("n").desc(), "value")
     top = (
@@ -193,6 +191,25 @@ def frequency_distributions(
     return top.unionByName(hist).unionByName(nothing)
 
 
+def _distinct_up_to(long: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """Per key the number of distinct ``x``, exact below ``most`` and else any number from ``most`` on.
+
+    A batch passes on at most ``most`` values of a key. If it left some out, those passed on already make ``most``.
+    """
+    columns = [*keys, "x"]
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by(columns, use_threads=False).aggregate([]).select(columns)
+            place = found.select(list(keys)).to_pandas().groupby(list(keys), sort=False, dropna=False).cumcount()
+            yield from found.filter(pa.array(place.to_numpy() < most)).to_batches()
+
+    # Adding zero makes -0.0 and 0.0 one value.
+    rows = long.select(*keys, (F.col("x") + F.lit(0.0)).alias("x"))
+    thinned = rows.mapInArrow(thin, rows.schema).distinct()
+    return thinned.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct"))
+
+
 def histogram_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Zero-based equal-width bin, the last one closed; a constant series is bin 0.
 

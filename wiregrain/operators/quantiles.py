@@ -1,9 +1,10 @@
-"""Exact quantiles (linear interpolation) in three aggregation passes.
+"""Exact quantiles (linear interpolation) by aggregation passes.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 buffer, which a hot group does not survive. Here a mergeable sketch brackets
-each wanted rank, a histogram inside the bracket narrows it down, and only the
-rows of the one or two bins that hold the rank are sorted. The sketch only steers
+each wanted rank, histograms inside the bracket narrow it down, again and again until the
+bin that holds the rank is small or one value, however the values lie, and only the
+rows of these bins are sorted. The sketch only steers
 where to look: the ranks are exact counts, and rows outside the bracket form
 bins of their own, so the answer is exact however good the sketch is.
 """
@@ -11,6 +12,7 @@ bins of their own, so the answer is exact however good the sketch is.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ _SKETCH_K = 4096
 _MARGIN = 0.003
 _BINS = 4096
 _MERGE_WAYS = 64
+#: Rows of a bin that one task may sort.
+BIN_ROWS = 1_000_000
 
 
 def _melt(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -71,47 +75,66 @@ def _bin() -> Column:
     )
 
 
+def _narrowed(rows: DataFrame, brackets: DataFrame, per: list[str], bin_rows: int) -> DataFrame:
+    """The bins that hold the wanted ranks: ``(per..., prob, slot, rank, lo, hi, base, c)`` with ``c`` values from ``lo``
+    to ``hi`` and ``base`` values below. A bin has at most ``bin_rows`` values or a single one.
+
+    Bounds are the smallest and largest value found in a bin, so each round parts at least these two.
+    """
+    at = [*per, "prob", "slot"]
+    first = [F.lit("").alias("slot"), "rank", "lo", "hi", F.lit(0).cast("long").alias("base")]
+    todo, done = brackets.select(*per, "prob", *first), []
+    while True:
+        near = join_null_safe(rows, todo, per, "inner")
+        if done:
+            near = near.where(F.col("x").between(F.col("lo"), F.col("hi")))
+        counts = near.withColumn("bin", _bin()).groupBy(*at, "bin").agg(
+            F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")
+        )
+        ends = counts.withColumn("end", F.sum("c").over(Window.partitionBy(*at).orderBy("bin")))
+        end = F.col("base") + F.col("end")
+        placed = join_null_safe(ends, todo.select(*at, "rank", "base"), at, "inner")
+        held = (end - F.col("c") <= F.ceil("rank")) & (end > F.floor("rank"))
+        slot = F.concat("slot", F.lit("/"), F.col("bin").cast("string")).alias("slot")
+        found = settle(
+            placed.where(held).select(*per, "prob", slot, "rank", "lo", "hi", (end - F.col("c")).alias("base"), "c")
+        )
+        # A range that is no finite number can not be cut into equal parts.
+        cut = (F.col("c") > bin_rows) & (F.col("lo") < F.col("hi")) & (F.col("hi") - F.col("lo") < float("inf"))
+        done.append(found.where(~cut))
+        todo = found.where(cut).drop("c")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
 def exact_quantiles(
     df: DataFrame,
     values: Sequence[str],
     probs: Sequence[float],
     keys: Sequence[str] = (),
     stored: bool = False,
+    bin_rows: int = BIN_ROWS,
 ) -> DataFrame:
     """Rows ``(keys..., feature, prob, value)``; groups without a value give no row.
 
-    The three passes read ``df`` three times. Say ``stored`` when it is a stored table; otherwise
-    the few columns needed are settled once, so that windows and joins before this run once.
+    The passes read ``df`` three times, and once more for each round of narrowing. Say ``stored`` when it is a stored
+    table; otherwise the few columns needed are settled once, so that windows and joins before this run once.
     """
     keys = list(keys)
     per = [*keys, "feature"]
     df = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in values])
     df = df if stored else settle(df)
     rows = _melt(df, keys, values)
-    brackets = settle(_brackets(df, keys, values, probs))
-
-    counts = (
-        join_null_safe(rows, brackets, per, "inner")
-        .withColumn("bin", _bin())
-        .groupBy(*per, "prob", "bin")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    upto = Window.partitionBy(*per, "prob").orderBy("bin")
-    ends = counts.withColumn("end", F.sum("c").over(upto)).withColumn("begin", F.col("end") - F.col("c"))
-    chosen = settle(
-        join_null_safe(ends, brackets, [*per, "prob"], "inner")
-        .where((F.col("begin") <= F.ceil("rank")) & (F.col("end") > F.floor("rank")))
-        .select(*per, "prob", "rank", "lo", "hi", F.col("bin").alias("want"), "begin")
-    )
+    bins = _narrowed(rows, settle(_brackets(df, keys, values, probs)), per, bin_rows)
 
     picked = (
-        join_null_safe(rows, chosen, per, "inner")
-        .where(_bin() == F.col("want"))
-        .groupBy(*per, "prob", "rank", "want", "begin", "x")
+        join_null_safe(rows, bins.drop("c"), per, "inner")
+        .where(F.col("x").between(F.col("lo"), F.col("hi")))
+        .groupBy(*per, "prob", "slot", "rank", "base", "x")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    inside = Window.partitionBy(*per, "prob", "want").orderBy("x")
-    placed = picked.withColumn("end", F.col("begin") + F.sum("c").over(inside))
+    inside = Window.partitionBy(*per, "prob", "slot").orderBy("x")
+    placed = picked.withColumn("end", F.col("base") + F.sum("c").over(inside))
     placed = placed.withColumn("start", F.col("end") - F.col("c"))
 
     def holding(rank: Column) -> Column:

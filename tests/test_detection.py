@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wiregrain import constants as C
 from wiregrain.operators import detect as D
 from wiregrain.operators import metrics as M
+from wiregrain.operators import rules as R
 from wiregrain.operators import timewindows as T
 from wiregrain.sources.labels import register
 
@@ -123,3 +125,13 @@ def test_label_table_function(spark):
            ('{"packet_labels": [{"packet_number": 2, "label": "P1"}]}') AS d(doc), LATERAL explode_labels(doc) t"""
     ).collect()
     assert sorted(map(tuple, rows), key=lambda r: r[1]) == [("a.pcap", 1, "N"), (None, 2, "P1")]
+
+
+def test_one_short_gap_is_no_burst(spark):
+    """A burst reason needs ten short gaps in a row, also on packets that another pattern rule flags."""
+    columns = "packet_length, time_delta_ms, payload_entropy, function_code_stability_10, is_burst, packet_number"
+    values = "(60, 0.5D, 4.0D, 0.1D, false, 1L), (60, 0.5D, 4.0D, 0.1D, true, 2L), (60, 0.5D, 4.0D, 0.9D, true, 3L), (60, 5.0D, 4.0D, 0.1D, true, 4L)"
+    fixed = "'c' capture_id, 3 function_code, 1 protocol_id_valid, 1 unit_id_valid, 1 length_consistent, 1 is_read_operation, 0 is_write_operation, 0 is_error_response"
+    rows = spark.sql(f"SELECT *, {fixed} FROM VALUES {values} AS t({columns})")
+    got = {r.packet_number: r.anomaly_reasons for r in R.flag_anomalies(rows).collect()}
+    assert got == {1: [C.REASON_RAPID], 2: [C.REASON_BURST, C.REASON_RAPID], 3: [C.REASON_BURST], 4: [C.REASON_RAPID]}

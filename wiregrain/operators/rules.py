@@ -87,7 +87,8 @@ def flag_anomalies(features: DataFrame, baseline: DataFrame | None = None) -> Da
             "pattern_anomaly": pattern,
         }
     )
-    in_burst = F.col("pattern_anomaly") & _false(F.col("time_delta_ms") < C.BURST_MS)
+    # A short gap alone is no burst: the run of short gaps must be there too.
+    in_burst = burst_rule() & _false(F.col("time_delta_ms") < C.BURST_MS)
     reasons = F.array(
         F.when(F.col("statistical_anomaly"), C.REASON_STATISTICAL),
         F.when(F.col("protocol_violation"), C.REASON_PROTOCOL),

@@ -1,46 +1,23 @@
-"""Time since the packet before, on a stream: one time of state for each key."""
+"""Time since the packet before, on a stream: the last two times of state for each key."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from wiregrain.streaming.blocks import look_back
 
-class LastTime(StatefulProcessor):
-    """Keeps the time of a key's last packet. A key's share of a micro-batch is in memory; trigger limits bound it."""
 
-    def __init__(self, columns: Sequence[str]):
-        self._columns = list(columns)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows)).sort_values("packet_number", kind="stable").reset_index(drop=True)
-        us = fresh["time_us"]  # a name with leading underscores would not arrive.astype("Int64")
-        before = us.shift()
-        if self._last.exists():
-            before.iloc[0] = pd.NA if self._last.get()[0] is None else self._last.get()[0]
-        fresh["inter_arrival_time"] = ((us - before).astype("Float64") / 1e6).fillna(0.0).astype(float)
-        self._last.update((None if pd.isna(us.iloc[-1]) else int(us.iloc[-1]),))
-        yield fresh[[*self._columns, "inter_arrival_time"]]
-
-    def close(self) -> None:
-        pass
+def _gaps(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"inter_arrival_time": (rows["time_us"].diff() / 1e6).fillna(0.0)})
 
 
 def gap_stream(packets: DataFrame, keys: Sequence[str] = ("capture_id",)) -> DataFrame:
     """``inter_arrival_time`` in seconds next to all columns, as ``inter_arrival`` gives it; needs the RocksDB state store."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packets.schema)
-    rows = packets.withColumn("time_us", F.unix_micros("ts"))
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=LastTime(packets.columns),
-        outputStructType=T.StructType.fromDDL(f"{fields}, inter_arrival_time double"),
-        outputMode="Append",
-        timeMode="None",
-    )
+    out = T.StructType([*packets.schema.fields, T.StructField("inter_arrival_time", T.DoubleType())])
+    rows = packets.withColumn("time_us", F.unix_micros("ts").cast("double"))  # no leading underscores
+    return look_back(rows, keys, "packet_number", {"time_us": "double"}, 1, _gaps, out)

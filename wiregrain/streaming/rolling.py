@@ -1,24 +1,23 @@
 """Last-ten-packet features on a stream.
 
-Row windows do not exist on streams, so each key keeps its last ten packets as
-state and a micro-batch is computed on top of them. A key's memory is its ten
-packets plus its share of one micro-batch, which the source's trigger limits bound.
+Row windows do not exist on streams. Blocks of a micro-batch are computed by themselves, and each key keeps its last eleven
+packets as state for the first rows of a block. So memory is that of a block, whatever a key's share of a micro-batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wiregrain.operators.windows import BURST_MS, BURST_RUN, FRAME
+from wiregrain.streaming.blocks import look_back
 
-_KEPT_NAMES = ["packet_number", "us", "packet_length", "payload_entropy", "function_code"]
-_KEPT = "packet_number long, us long, packet_length double, payload_entropy double, function_code double"
+# Microseconds of our times are whole numbers as doubles too.
+_READ = {"packet_number": "long"} | dict.fromkeys(["us", "packet_length", "payload_entropy", "function_code"], "double")
 
 
 def _statistics(name: str) -> str:
@@ -32,11 +31,10 @@ FEATURES = (
     f"{_statistics('payload_entropy')}, function_code_changes int, function_code_stability_10 double, "
     "burst_indicator int, burst_streak long, is_burst boolean, periodicity_score double"
 )
-_FEATURE_NAMES = [f.strip().split()[0] for f in FEATURES.split(",")]
 
 
 def rolling_frame(rows: pd.DataFrame) -> pd.DataFrame:
-    """Features of ordered rows of one key; a small helper on at most one micro-batch of a key."""
+    """Features of ordered rows of one key; a small helper on at most one block."""
     out = rows.copy()
     out["time_delta"] = rows["us"].diff() / 1e6
     out["time_delta_ms"] = out["time_delta"] * 1000
@@ -58,33 +56,9 @@ def rolling_frame(rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-class LastPackets(StatefulProcessor):
-    """Keeps the newest packets of a key and emits features of the new ones."""
-
-    def __init__(self, keys: Sequence[str], carry: Sequence[str] = ()):
-        self._keys, self._carry = list(keys), list(carry)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getListState("last", _KEPT)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows)).sort_values("packet_number")
-        carried = fresh[self._carry].reset_index(drop=True)
-        kept = pd.DataFrame(list(self._last.get()), columns=_KEPT_NAMES)
-        kinds = dict.fromkeys(["packet_length", "payload_entropy", "function_code"], float)
-        fresh = fresh[_KEPT_NAMES].astype(kinds)
-        joined = pd.concat([kept.astype(fresh.dtypes.to_dict()), fresh], ignore_index=True)
-        # One row more than the frame: the oldest frame row needs its predecessor.
-        last = joined.tail(FRAME + 1).astype(object)
-        self._last.put([tuple(r) for r in last.where(last.notna(), None).itertuples(index=False)])
-        out = rolling_frame(joined).iloc[len(kept) :].reset_index(drop=True)
-        out = out.assign(ts=pd.to_datetime(out["us"], unit="us"), function_code=out["function_code"].astype("Int32"))
-        for position, name in enumerate(self._keys):
-            out[name] = key[position]
-        yield pd.concat([out[self._keys + _FEATURE_NAMES], carried], axis=1)
-
-    def close(self) -> None:
-        pass
+def _features(rows: pd.DataFrame) -> pd.DataFrame:
+    out = rolling_frame(rows)
+    return out.assign(function_code=out["function_code"].astype("Int32"))
 
 
 def rolling_stream(packets: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
@@ -97,16 +71,13 @@ def rolling_stream(packets: DataFrame, keys: Sequence[str], carry: Sequence[str]
     rows = packets.select(
         *keys,
         "packet_number",
-        F.unix_micros("ts").alias("us"),
+        "ts",
+        F.unix_micros("ts").cast("double").alias("us"),
         F.col("packet_length").cast("double"),
         entropy.cast("double").alias("payload_entropy"),
         "function_code",
         *carry,
     )
     ddl = lambda names: "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=LastPackets(keys, carry),
-        outputStructType=T.StructType.fromDDL(f"{ddl(keys)[2:]}, {FEATURES}{ddl(carry)}"),
-        outputMode="Append",
-        timeMode="None",
-    )
+    out = T.StructType.fromDDL(f"{ddl(keys)[2:]}, {FEATURES}{ddl(carry)}")
+    return look_back(rows, keys, "packet_number", _READ, FRAME, _features, out)

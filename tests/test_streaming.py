@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import random
 from datetime import datetime
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 import fixtures as fx
 from wiregrain.operators import decode as D
@@ -14,12 +18,13 @@ from wiregrain.operators import features as X
 from wiregrain.operators import rules as R
 from wiregrain.operators import timewindows as T
 from wiregrain.operators.detect import FEATURES, packet_ml_features, score, train_classifier
-from wiregrain.operators.windows import rolling_features
+from wiregrain.operators.windows import inter_arrival, rolling_features
 from wiregrain.session import settle
 from wiregrain.sources.captures import read_packets
-from wiregrain.streaming import jobs, rolling
+from wiregrain.streaming import blocks, jobs, rolling
 from wiregrain.streaming import sources as S
-from wiregrain.streaming.pairing import pair_stream
+from wiregrain.streaming.gaps import gap_stream
+from wiregrain.streaming.pairing import OpenRequests, pair_stream
 
 
 @pytest.fixture(scope="module")
@@ -158,3 +163,78 @@ def test_alerts_of_a_retried_batch_are_not_doubled(spark, tmp_path):
     write(df, 0)
     write(df, 0)
     assert [r.n for r in spark.read.parquet(str(tmp_path / "alerts")).collect()] == [1]
+
+
+class _Held:
+    """State of one group in place of Spark's: a list, and the timers asked for."""
+
+    def __init__(self):
+        self.rows, self.timers = [], []
+
+    def getListState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+
+def test_a_bucket_of_requests_has_one_timer():
+    """A timer for each second of each key, and the whole state read for each, took most of the time."""
+    held, pairs = _Held(), OpenRequests(1, 5_000_000)
+    pairs.init(held)
+    n = 1000
+    rows = pd.DataFrame({"us": np.arange(n) * 1_000_000, "number": np.arange(n), "asks": np.arange(n) % 2 == 0})
+    rows["k0"] = np.array(["a", "b", None], object)[np.arange(n) // 2 % 3]
+    assert list(pairs.handleInputRows((0,), iter([rows]), None)) == [] and len(held.timers) == 1
+    out = list(pairs.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 600_000), None))
+    assert [len(o) for o in out] == [298] and (out[0]["response_number"] == out[0]["request_number"] + 1).all()
+    assert len(held.timers) == 2 and held.timers[1] == 601_000 and len(held.rows) == 1
+
+
+def test_look_back_over_many_blocks(spark, tmp_path, monkeypatch):
+    """A key's share of a micro-batch is cut into blocks; short ones, empty ones and null values give what batch gives."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    number = F.when(F.col("id") % 50 < 47, F.col("id")).otherwise(F.col("id") + 5000)
+    rows = spark.range(300).select(
+        F.when(F.col("id") % 7 > 0, "a").alias("k"), number.alias("packet_number"), F.timestamp_micros(F.col("id") * F.col("id") * 1000).alias("ts"),
+        F.when(F.col("id") % 11 > 0, F.col("id") % 13).alias("packet_length"), (F.col("id") % 3).cast("int").alias("function_code"),
+    )
+    for low in range(0, 300, 100):
+        rows.where(F.col("packet_number").between(low, low + 99)).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    rows.where("packet_number >= 5000").coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    stream = S.packet_stream(spark, str(tmp_path / "p"), schema=rows.schema, maxFilesPerTrigger=1)
+    got = jobs.run_available(rolling.rolling_stream(stream, ["k"]))
+    want = rolling_features(rows, ["timing", "size", "function_code"], keys=["k"])
+    names = ["time_delta", "time_delta_mean_10", "time_delta_std_10", "time_delta_max_10", "function_code_stability_10"]
+    cols = ["k", "packet_number", "ts", "function_code_changes", "burst_streak", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in names]]
+    a, b = got.select(cols), want.select(cols)
+    assert a.count() == b.count() == 300 and a.exceptAll(b).count() == 0
+    gaps = jobs.run_available(gap_stream(stream, ["k"])).select("k", "packet_number", F.round("inter_arrival_time", 6).alias("gap"))
+    kept = inter_arrival(rows, keys=["k"]).select("k", "packet_number", F.round("inter_arrival_time", 6).alias("gap"))
+    assert gaps.count() == 300 and gaps.exceptAll(kept).count() == 0
+
+
+def test_a_block_is_all_that_python_holds(spark, tmp_path):
+    """The functions of a stream get blocks, not a key's whole share of a micro-batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    count = 3 * blocks.BLOCK
+    rows = spark.range(count).select(F.lit("a").alias("k"), F.col("id").alias("packet_number"), F.timestamp_micros("id").alias("ts"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "p"))
+    stream = S.packet_stream(spark, str(tmp_path / "p"), schema=rows.schema)
+    largest = lambda rows: pd.DataFrame({"held": np.full(len(rows), len(rows))})
+    out = T_.StructType([*rows.schema.fields, T_.StructField("held", T_.LongType())])
+    got = jobs.run_available(blocks.look_back(stream.withColumn("us", F.unix_micros("ts").cast("double")), ["k"], "packet_number", {"us": "double"}, 1, largest, out))
+    assert got.count() == count and got.agg(F.max("held")).first()[0] <= blocks.BLOCK

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from wiregrain.operators.spread import HOT_ROWS, ordered, running_max
 from wiregrain.session import settle
 
+#: Rows of steps and address combinations that a task copies into their windows.
+STEP_ROWS = 250_000
 
 _SIDES = {
     "src_ip": "unique_src_ips",
@@ -36,39 +38,30 @@ def window_metrics(
 ) -> DataFrame:
     """Packet counts, address topology and violation rate per window (``slide`` divides ``width``).
 
-    On a stream ``late`` sets the watermark, and two stateful steps follow each other: one row of state for each value of
-    each side in a window, and, when the window closes, a count of these rows. So distinct counts are exact and a busy
-    window is many small rows. In batch, packets are first summed per slide step and address combination, so overlapping
-    windows copy those sums and not the packets.
+    Packets are first summed per slide step, so that overlapping windows copy those sums and not the packets. On a stream
+    ``late`` sets the watermark; a step is one row of state with its distinct addresses, units and codes, which the windows
+    unite when it closes, so a row of state grows with the different values of one window, not with its packets. In batch a
+    step has a row for each address combination, and the copies are made in tasks of ``STEP_ROWS`` such rows.
     """
+    sums = [F.sum(c).alias(c) for c in ("packets", "bytes", "violations")]
+    first = [F.count(F.lit(1)).alias("packets"), F.sum("packet_length").alias("bytes"), F.count_if(_invalid()).alias("violations")]
     if df.isStreaming:
         rows = df.withWatermark("ts", late) if late else df
-        sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("string").alias("value")) for c in _SIDES]))
-        rows = rows.select(*keys, "ts", "packet_length", _invalid().alias("invalid"), sides.alias("s"))
-        seen = rows.groupBy(*keys, _span(width, slide), "s.side", "s.value").agg(
-            F.count(F.lit(1)).alias("packets"),
-            F.sum("packet_length").alias("bytes"),
-            F.count_if("invalid").alias("violations"),
-        )
-        # Every packet stands in the rows of each side, so one side gives the sums.
-        first = F.col("side") == next(iter(_SIDES))
-        out = seen.groupBy(*keys, "w").agg(
-            *[F.sum(F.when(first, F.col(c))).alias(c) for c in ("packets", "bytes", "violations")],
-            *[F.count_if((F.col("side") == c) & F.col("value").isNotNull()).alias(name) for c, name in _SIDES.items()],
-        )
-        out = out.withColumn("violation_rate", F.col("violations") / F.col("packets"))
+        out = rows.groupBy(*keys, _span(slide or width, None)).agg(*first, *[F.collect_set(c).alias(c) for c in _SIDES])
+        if slide:
+            # A window of windows goes by their ends, so the watermark is carried on.
+            spans = F.window("w", width, slide).alias("w")
+            united = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in _SIDES]
+            out = out.groupBy(*keys, spans).agg(*sums, *united)
+        out = out.withColumns({name: F.size(c).cast("long") for c, name in _SIDES.items()})
     else:
-        step = df.groupBy(*keys, *_SIDES, F.window("ts", slide or width)["start"].alias("ts")).agg(
-            F.count(F.lit(1)).alias("packets"),
-            F.sum("packet_length").alias("bytes"),
-            F.count_if(_invalid()).alias("violations"),
-        )
-        sums = [F.sum(c).alias(c) for c in ("packets", "bytes", "violations")]
+        step = settle(df.groupBy(*keys, *_SIDES, F.window("ts", slide or width)["start"].alias("ts")).agg(*first))
+        if slide:
+            tasks = max(-(-step.count() // STEP_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+            step = step.repartition(tasks, *keys, *_SIDES, "ts")
         combos = step.groupBy(*keys, *_SIDES, _span(width, slide)).agg(*sums)
-        out = combos.groupBy(*keys, "w").agg(
-            *sums, *[F.countDistinct(c).alias(name) for c, name in _SIDES.items()]
-        )
-        out = out.withColumn("violation_rate", F.col("violations") / F.col("packets"))
+        out = combos.groupBy(*keys, "w").agg(*sums, *[F.countDistinct(c).alias(name) for c, name in _SIDES.items()])
+    out = out.withColumn("violation_rate", F.col("violations") / F.col("packets"))
     return out.select(
         *keys,
         F.col("w.start").alias("window_start"),

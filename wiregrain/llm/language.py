@@ -30,6 +30,8 @@ BUCKETS = 1 << 16
 #: Score below which a text has no language: no better than a text that shares nothing with any landmark.
 LEAST_SCORE = 0.1
 _STEP = 1 << 20
+#: Sets that are unpacked at a time, 256 KB each.
+_BLOCK = 64
 #: Characters of words; letters are among them, but so are numbers such as one half or circled digits.
 _WORD = re.compile(r"[^\W\d_]")
 _SPACE = re.compile(r"\s+")
@@ -78,10 +80,20 @@ def _bucket_rows(order: int):
     return run
 
 
-def _unpacked(rows) -> np.ndarray:
+def _unpacked(rows: list[bytes]) -> np.ndarray:
     return np.stack([np.unpackbits(np.frombuffer(r, np.uint8)) for r in rows]).astype(np.float32)
 
 
+def _shared(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """How many buckets each set of ``one`` shares with each of ``two``: whole numbers, exact in any blocks."""
+    out = np.empty((len(one), len(two)))
+    for at in range(0, len(one), _BLOCK):
+        own = _unpacked(one[at : at + _BLOCK])
+        for to in range(0, len(two), _BLOCK):
+            out[at : at + _BLOCK, to : to + _BLOCK] = own @ _unpacked(two[to : to + _BLOCK]).T
+    return out
+
+
 def fit(
     labelled: DataFrame,
     text: str = "text",
@@ -94,7 +106,7 @@ def fit(
 ) -> LanguageModel | None:
     """Fit on at most ``rows_per_language`` distinct texts of each language, those with the smallest hashes.
 
-    8 KB for each of these rows reach the driver, whatever their length. More than ``most_languages`` labels are an
+    8 KB for each of these rows reach the driver, whatever their length, and stay packed there. More than ``most_languages`` labels are an
     error: such a column holds no languages.
     """
     rows = require(labelled, lang, text).toDF("lang", "text").filter("lang is not null and text is not null")
@@ -115,8 +127,9 @@ def fit(
         raise ValueError(f"more than {most_languages} languages in column {lang}")
     if not languages:
         return None
-    sets = _unpacked([bytes(r.buckets) for r in found])
-    sets /= np.sqrt(sets.sum(axis=1, keepdims=True))
+    # Sets stay packed, 8 KB each; a block at a time is unpacked.
+    sets = [bytes(r.buckets) for r in found]
+    norms = np.sqrt([int.from_bytes(x).bit_count() for x in sets])
     targets = np.array([[r.lang == x for x in languages] for r in found], np.float64)
     held: dict[str, int] = {}
     landmark = []
@@ -124,14 +137,18 @@ def fit(
         held[r.lang] = held.get(r.lang, 0) + 1
         if held[r.lang] <= landmarks_per_language:
             landmark.append(i)
-    base = sets[landmark]
-    values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+    base = [sets[i] for i in landmark]
+    kernel = _shared(sets, base) / (norms[:, None] * norms[landmark])
+    values, vectors = np.linalg.eigh(kernel[landmark])
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    features = (sets @ base.T).astype(np.float64) @ whiten
+    features = kernel @ whiten
     inner = features.T @ features + ridge * len(found) / len(languages) * np.eye(features.shape[1])
-    solved = np.linalg.solve(inner, features.T @ targets)
-    return LanguageModel(languages, (base.T @ (whiten @ solved)).astype(np.float32), order)
+    solved = whiten @ np.linalg.solve(inner, features.T @ targets) / norms[landmark][:, None]
+    weights = np.zeros((BUCKETS, len(languages)))
+    for at in range(0, len(base), _BLOCK):
+        weights += _unpacked(base[at : at + _BLOCK]).T @ solved[at : at + _BLOCK]
+    return LanguageModel(languages, weights.astype(np.float32), order)
 
 
 def _scored(fitted: LanguageModel | None, texts: list[str]) -> tuple[list[str], np.ndarray]:

@@ -127,6 +127,31 @@ def test_trees_find_what_stars_miss(spark):
     assert [r.component_id for r in sorted(found)] == brute_components(sets)
 
 
+def test_few_pairs_of_near_copies_are_checked(spark, monkeypatch):
+    """Near copies that are mostly no links: 7140 pairs, of which points must let only few pass."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(120):
+        copy = list(base)
+        for j in range(2):
+            copy[rng.randrange(150)] = f"x{i}y{j}"
+        texts.append(" ".join(copy))
+    sets = [brute_set(t) for t in texts]
+    checked, verified = [], C._verified
+
+    def counted(pairs, *rest):
+        checked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(C, "_verified", counted)
+    with Scratch(spark) as scratch:
+        found = C.jaccard_groups(table(spark, texts), scratch).collect()
+    expected = brute_components(sets)
+    assert [r.component_id for r in sorted(found)] == expected
+    assert len(set(expected)) > 20 and sum(checked) < 1200, checked
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c d e f g h i j"), (None, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (None, "alone here"), (3, None), (3, ""), (9, "x " * 30000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -10,9 +10,13 @@ groups are the document's point: the overlap of two sets is at most the sum of t
   where partners can be larger.
 * **Stars.** In each cell every set is first paired with one only. Pairs that pass the bound of summed minima are checked
   on the whole sets and connected, so that a large group of near copies costs one pair for each member, not all pairs.
-* **R-trees.** Cells that still hold more than one component become pages of an R-tree: sorted by size, with the largest
-  coordinates, sizes and components of their points as bounding box. Page pairs, then nodes inside pages, then points go
-  on only if the summed minima of their boxes reach the overlap that their sizes need and more than one component is left.
+* **Bundles.** Cells that still hold more than one component are put together by the member with the smallest hash: two
+  cells meet with the probability of their Jaccard similarity, so a group of near copies, which meets in a cell for each
+  group that its members agree in, is joined about once, and cells that have little in common stay apart.
+* **R-trees.** Bundles become pages of an R-tree: sorted by size, with the largest coordinates, sizes and components of
+  their points, folded to a quarter, as bounding box. Page pairs, then nodes inside pages, then points go on only if the
+  summed minima of their boxes reach the overlap that their sizes need and more than one component is left; pairs of points
+  then also by all their coordinates, which leaves few that are not links.
   First every point is paired with its ``BEST`` nearest partners of each page only, which connects nearly all of a large
   group of near copies; then all pairs that are still in different components follow.
 * **Check.** Surviving pairs are compared on their whole sets of 64-bit shingle hashes.
@@ -44,6 +48,8 @@ _BAND = 1.5
 _ROUNDS = 8
 #: Coordinates of a point at most.
 _COORDINATES = 1 << 16
+#: Times as many coordinates as boxes have: with a quarter of a shingle in each, few pairs pass that are no links.
+_FINE = 4
 #: Rows of a cell from which its first member is found by an aggregation of its own, at least, and how many such cells
 #: there are at most, about: the limit grows with the table, the list does not.
 _HOT_ROWS = 4096
@@ -167,7 +173,7 @@ def point(hashes: np.ndarray) -> bytes:
 
     Groups are the low bits of a hash, so a point is folded to fewer coordinates by adding its halves.
     """
-    width = min(1 << max(int(len(hashes)).bit_length() - 2, 3), _COORDINATES)
+    width = min(_FINE << max(int(len(hashes)).bit_length() - 2, 3), _COORDINATES)
     counts = np.bincount((_mix(hashes, 3) & _U(width - 1)).astype(np.int64), minlength=width)
     counts = np.minimum(counts, 15).astype(np.uint8)
     return (counts[: width // 2] << 4 | counts[width // 2 :]).tobytes()
@@ -195,9 +201,13 @@ def _enough(bound: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Tree:
-    """R-tree of the points of one page: per level the largest coordinates, smallest sizes and components of its nodes."""
+    """R-tree of the points of one page: per level the largest coordinates, smallest sizes and components of its nodes.
 
-    def __init__(self, sizes: np.ndarray, points: np.ndarray, roots: np.ndarray):
+    ``fine`` are the points with more coordinates, by which pairs of leaves are compared once more.
+    """
+
+    def __init__(self, sizes: np.ndarray, points: np.ndarray, roots: np.ndarray, fine: np.ndarray | None = None):
+        self.fine = fine
         self.levels = [(points, sizes, sizes, roots, roots)]
         while len(self.levels[-1][0]) > 1:
             top, least, most, low, high = self.levels[-1]
@@ -228,19 +238,26 @@ def tree_pairs(one: Tree, two: Tree, percent: int, best: int | None = None) -> t
         if same:
             keep &= (a < b) if level == 0 else (a <= b)
         a, b = a[keep], b[keep]
-        fits, near = np.empty(len(a), bool), np.empty(len(a))
-        step = max(_STEP // (4 * p[0].shape[1]), 1)
-        for at in range(0, len(a), step):
-            x, y = a[at : at + step], b[at : at + step]
-            bound, total = np.minimum(p[0][x], q[0][y]).sum(axis=1, dtype=np.int64), p[1][x] + q[1][y]
-            fits[at : at + step], near[at : at + step] = _enough(bound, total, percent), bound / total
-        a, b, near = a[fits], b[fits], near[fits]
+        a, b, near = _near(a, b, (p[0], p[1]), (q[0], q[1]), percent)
+    if one.fine is not None:
+        a, b, near = _near(a, b, (one.fine, one.levels[0][1]), (two.fine, two.levels[0][1]), percent)
     if best is not None:
         first = (_ranked(a, near) < best) | (_ranked(b, near) < best)
         a, b = a[first], b[first]
     return a, b
 
 
+def _near(a: np.ndarray, b: np.ndarray, one: tuple, two: tuple, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs whose summed minima allow a link, and how near they are; ``one`` and ``two``: points and sizes."""
+    fits, near = np.empty(len(a), bool), np.empty(len(a))
+    step = max(_STEP // (4 * one[0].shape[1]), 1)
+    for at in range(0, len(a), step):
+        x, y = a[at : at + step], b[at : at + step]
+        bound, total = np.minimum(one[0][x], two[0][y]).sum(axis=1, dtype=np.int64), one[1][x] + two[1][y]
+        fits[at : at + step], near[at : at + step] = _enough(bound, total, percent), bound / total
+    return a[fits], b[fits], near[fits]
+
+
 def _ranked(leaf: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Place of each pair among those of its leaf, the nearest first."""
     order = np.lexsort((-near, leaf))
@@ -397,7 +414,7 @@ def _paged(members: DataFrame, page_rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def page(rows: list[tuple]) -> pa.RecordBatch:
             cells, cids, roots, sizes, points = zip(*rows, strict=True)
-            width = _width(points)
+            width = _width(points) // _FINE
             top = _matrix(list(points), np.array(sizes), width).max(axis=0).astype("<i4").tobytes()
             number = cids[0]  # one of this cell in one page only
             box = (cells[0], number, None, min(roots), max(roots), min(sizes), max(sizes), top)
@@ -462,12 +479,15 @@ def _tree_join(pages: DataFrame, percent: int, best: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def join(rows: list[tuple]) -> pa.RecordBatch:
             width = _width(r[7] for r in rows)
+            coarse = width // _FINE
             parts = [[r for r in rows if r[3] == side] for side in (0, 1)]
             ids, trees = [], []
             for part in parts:
                 sizes = np.array([r[6] for r in part], np.int64)
                 ids.append(np.array([r[4] for r in part], np.int64))
-                trees.append(Tree(sizes, _matrix([r[7] for r in part], sizes, width), np.array([r[5] for r in part], np.int64)) if part else None)
+                fine = _matrix([r[7] for r in part], sizes, width)
+                points = np.column_stack((fine[:, :-1].reshape(len(part), _FINE, coarse).sum(axis=1, dtype=np.int32), fine[:, -1]))
+                trees.append(Tree(sizes, points, np.array([r[5] for r in part], np.int64), fine) if part else None)
             alone = trees[1] is None
             a, b = tree_pairs(trees[0], trees[0] if alone else trees[1], percent, best)
             x, y = ids[0][a], ids[0 if alone else 1][b]
@@ -518,13 +538,17 @@ def groups(rows: DataFrame, scratch: Scratch, words: int = 4, percent: int = 85,
     roots = star_components(links, scratch).withColumnRenamed("node", "cid")
     for best in (BEST, None):
         rooted = scratch.settle(held.select("cell", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
-        # Cells with the same classes are one.
+        # Cells with the same classes are one; of the others those with the same smallest hash are put together.
         sums = [F.sum(F.xxhash64("cid", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
-        state = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *sums)
-        if best is None:  # in smaller cells all pairs were among the best
-            state = state.filter(F.col("n") > BEST + 1)
-        open_ = state.filter("low <> high").groupBy("n", "s0", "s1").agg(F.min("cell").alias("cell")).select("cell")
-        left = scratch.settle(rooted.join(open_, "cell", "left_semi").join(points, "cid").select("cell", "cid", "root", "size", "point"))
+        state = rooted.groupBy("cell").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min(F.xxhash64("cid", F.lit(2))).alias("bundle"), *sums
+        )
+        open_ = state.filter("low <> high").groupBy("n", "s0", "s1").agg(F.min("cell").alias("cell"), F.min("bundle").alias("bundle"))
+        if best is None:  # in smaller bundles all pairs were among the best
+            open_ = open_.join(wide, "bundle", "left_semi")
+        bundled = rooted.join(open_.select("cell", "bundle"), "cell").select("bundle", "cid", "root").distinct()
+        left = scratch.settle(bundled.join(points, "cid").select(F.col("bundle").alias("cell"), "cid", "root", "size", "point"))
+        wide = left.groupBy(F.col("cell").alias("bundle")).count().filter(F.col("count") > BEST + 1).select("bundle")
         rest = _tree_join(scratch.settle(_paged(left, page_rows)), percent, best)
         rest = scratch.settle(rest.join(tried, ["src", "dst"], "left_anti"))
         links, tried = links.union(check(rest)), tried.union(rest)

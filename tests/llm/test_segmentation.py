@@ -94,3 +94,25 @@ def test_round_trip_and_seeds(spark):
     empty = [r for r in got if r.doc_id in (1, 2)]
     assert len(empty) == 2 and all(r.ids == [] and r.log_inclusion == 0 for r in empty)
     assert S.encode(docs.limit(0), PATH).count() == 0 and S.decode(encoded.limit(0), PATH).count() == 0
+
+
+def test_words_met_again_are_built_once(pieces, monkeypatch):
+    """A full table keeps the words that came again, and its samples are those of a table of unlimited size."""
+    texts = [f"common words of all texts own{i}x{i * 7919} {'日' if i % 3 else 'é'}{i}" for i in range(40)]
+    free, tight = S.Lattices(pieces), S.Lattices(pieces)
+    built, build = [], S.Lattices._built
+
+    def counted(self, words, *rest):
+        if self is tight:
+            built.extend(words)
+        return build(self, words, *rest)
+
+    monkeypatch.setattr(S.Lattices, "_built", counted)
+    for i, text in enumerate(texts):
+        key = S._mixed(np.array([i], np.uint64))
+        monkeypatch.setattr(S, "_NODES", 1 << 40)
+        (expected,) = S.sample(free, [text], key, 3)
+        monkeypatch.setattr(S, "_NODES", 90)
+        (found,) = S.sample(tight, [text], key, 3)
+        assert ids_of(tight, found) == ids_of(free, expected) and found.logs == pytest.approx(expected.logs, abs=1e-12)
+    assert len(tight) < len(free) and built.count("▁common") == 1

@@ -128,8 +128,40 @@ class Lattices(dict):
 
     def reset(self) -> None:
         self.clear()
+        self.again: set[str] = set()
         kinds = {"first": np.int32, "reach": np.float32, "log": float, "rest": np.float32, "next": np.int32, "piece": np.int32}
-        self.table = {k: np.empty(0, v) for k, v in kinds.items()}
+        self.room = {k: np.empty(0, v) for k, v in kinds.items()}
+        self.table = dict(self.room)  # the part that is in use
+
+    def keep(self, words: set[str]) -> None:
+        """Only the lattices of these words stay, as they are."""
+        kept = list(words)
+        old, nodes = (np.fromiter(map(f, kept), np.int64, len(kept)) for f in (self.__getitem__, len))
+        bounds = np.append(self.table["first"], np.int32(len(self.table["next"])))
+        edge = bounds[old].astype(np.int64)
+        edges = bounds[old + nodes] - edge  # a word's nodes and their edges lie together
+        new, new_edge = np.cumsum(nodes) - nodes, np.cumsum(edges) - edges
+        every = np.arange(nodes.sum()) + np.repeat(old - new, nodes)
+        self.table["first"] = (self.table["first"][every] - np.repeat(edge - new_edge, nodes)).astype(np.int32)
+        every = np.arange(edges.sum()) + np.repeat(edge - new_edge, edges)
+        after = self.table["next"][every]
+        self.table["next"] = np.where(after < 0, -1, after + np.repeat(new - old, edges)).astype(np.int32)
+        for name in ("reach", "log", "rest", "piece"):
+            self.table[name] = self.table[name][every]
+        self.room = dict(self.table)
+        self.clear()
+        self.update(zip(kept, new.tolist(), strict=True))
+
+    def make_room(self, met: set[str]) -> None:
+        """Words that were met again since they were built stay, as far as they take half the room; ``met`` are the next."""
+        self.again |= self.keys() & met
+        if len(self.table["first"]) <= _NODES:
+            return
+        if sum(map(len, self.again)) <= _NODES // 2:
+            self.keep(self.again)
+            self.again = set()
+        else:
+            self.reset()
 
     def add(self, words: set[str]) -> None:
         """Build the lattices of new words."""
@@ -151,7 +183,13 @@ class Lattices(dict):
         if chunk:
             build()
         for name in self.table if parts else ():  # one array at a time is held twice
-            self.table[name] = np.concatenate((self.table[name], *(p.pop(name) for p in parts)))
+            own, new = self.table[name], [p.pop(name) for p in parts]
+            size = len(own) + sum(map(len, new))
+            if size > len(self.room[name]):
+                self.room[name] = np.empty(size + size // 2, own.dtype)
+                self.room[name][: len(own)] = own
+            np.concatenate(new, out=self.room[name][len(own) : size])
+            self.table[name] = self.room[name][:size]
 
     def _built(self, words: list[str], nodes: int, edges: int) -> dict[str, np.ndarray]:
         lengths = np.array([len(w) for w in words])
@@ -160,8 +198,7 @@ class Lattices(dict):
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n, longest = len(codes), min(self.pieces.longest, int(lengths.max()))
         left = np.repeat(begin + lengths, lengths) - np.arange(n)  # characters up to the word's end
-        piece = np.full((n, longest), -1, np.int64)
-        score = np.full((n, longest), -np.inf)
+        edges_of = []  # (first character, length, piece) of all pieces in all words
         at, rolled = np.arange(n), np.zeros(n, np.uint64)
         for length in range(1, longest + 1):
             inside = left[at] >= length
@@ -173,53 +210,74 @@ class Lattices(dict):
             met = hashes[found] == rolled
             at, rolled, found = at[met], rolled[met], ids[found[met]]
             whole = found >= 0  # else only the beginning of pieces
-            piece[at[whole], length - 1], score[at[whole], length - 1] = found[whole], self.scores[found[whole]]
-        # Characters without a piece: one byte by its own piece, more than one as ``-1 - character``.
-        alone = np.nonzero(piece[:, 0] < 0)[0]
-        if len(alone):
-            c = codes[alone].astype(np.int64)
-            c[c == ord(_BLANK)] = 32
-            c[(c >= 0xD800) & (c < 0xE000)] = ord("?")
-            piece[alone, 0] = np.where(c < 128, self.byte_of[np.minimum(c, 127)], -2 - c)
-            score[alone, 0] = self.byte_score * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
-        through = np.zeros(n + longest)  # log of the sum over all ways from a node to its word's end
-        share = np.zeros_like(score)  # probability of an edge, given its node
-        order = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2))
-        for j in range(len(cuts) - 1):  # nodes by their distance from the end
-            at = order[cuts[j] : cuts[j + 1]]
-            if not len(at):
+            edges_of.append((at[whole], length, found[whole]))
+        # Characters without a piece: one byte by its own piece, more than one as ``-2 - character``.
+        single = np.zeros(n, bool)
+        single[edges_of[0][0]] = True
+        alone = np.nonzero(~single)[0]
+        c = codes[alone].astype(np.int64)
+        c[c == ord(_BLANK)] = 32
+        c[(c >= 0xD800) & (c < 0xE000)] = ord("?")
+        edges_of.insert(1, (alone, 1, np.where(c < 128, self.byte_of[np.minimum(c, 127)], -2 - c)))
+        degree = np.bincount(np.concatenate([at for at, _, _ in edges_of]), minlength=n)  # every character has an edge
+        first = np.cumsum(degree) - degree
+        node = np.repeat(np.arange(n), degree)
+        step, piece, free = np.empty(len(node), np.int64), np.empty(len(node), np.int64), first.copy()
+        for at, length, found in edges_of:  # the edges of a node by their length
+            place = free[at]
+            step[place], piece[place] = length, found
+            free[at] += 1
+        score = self.scores[np.maximum(piece, 0)]
+        score[first[alone]] = self.byte_score * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
+        ends = step == left[node]
+        # Nodes by their distance from the end of their word, and their edges one after the other.
+        level = np.argsort(left, kind="stable")
+        cuts = np.searchsorted(left[level], np.arange(1, int(left.max()) + 2))
+        width = degree[level]
+        start = np.cumsum(width) - width
+        own = np.repeat(first[level] - start, width) + np.arange(len(node))
+        target = np.where(ends[own], n, node[own] + step[own])
+        values, share = score[own], np.empty(len(node))
+        through = np.zeros(n + 1)  # log of the sum over all ways from a node to its word's end
+        bounds = np.append(start, len(node))
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if begin == end:
                 continue
-            width = min(j + 1, longest)
-            values = score[at, :width]
-            if j:
-                inner = np.lib.stride_tricks.sliding_window_view(through, width)[at + 1].copy()
-                if j < longest:
-                    inner[:, j] = 0.0  # an edge to the end; the entry there is another word's
-                values = values + inner
-            top = values.max(axis=1)
-            weight = np.exp(values - top[:, None])
-            total = weight.sum(axis=1)
-            through[at] = whole = top + np.log(total)
-            share[at, :width] = weight / total[:, None]
-            score[at, :width] = values - whole[:, None]
-        row, column = np.nonzero(score > -np.inf)
-        log = score[row, column]
-        ahead = np.cumsum(share, axis=1)
-        reach = ahead[row, column]
-        behind = np.cumsum(share[:, ::-1], axis=1)[:, ::-1]
-        rest = np.where(column > 0, ahead[row, column - 1], 0.0) + np.where(column < longest - 1, behind[row, np.minimum(column + 1, longest - 1)], 0.0)
-        last = np.append(row[1:] != row[:-1], True)
-        reach[last] = 1.0  # the last edge takes what rounding leaves
-        step = column + 1
+            some, at = slice(bounds[begin], bounds[end]), start[begin:end] - bounds[begin]
+            value = values[some] + through[target[some]]
+            top = np.maximum.reduceat(value, at)
+            weight = np.exp(value - np.repeat(top, width[begin:end]))
+            total = np.add.reduceat(weight, at)
+            through[level[begin:end]] = whole = top + np.log(total)
+            share[some] = weight / np.repeat(total, width[begin:end])
+            values[some] = value - np.repeat(whole, width[begin:end])
+        log, chance = np.empty(len(node)), np.empty(len(node))  # of each edge, given its node
+        log[own], chance[own] = values, share
+        # Sums up to each edge and from it on, by its place among those of its node.
+        ahead, behind = chance.copy(), chance.copy()
+        longer = np.nonzero(degree > 1)[0]
+        for place in range(1, int(degree.max())):
+            longer = longer[degree[longer] > place]
+            x = first[longer] + place
+            ahead[x] += ahead[x - 1]
+            x = first[longer] + degree[longer] - 1 - place
+            behind[x] += behind[x + 1]
+        last = first + degree - 1
+        rest = np.zeros(len(node))
+        rest[1:] += ahead[:-1]
+        rest[first] = 0.0
+        after = np.append(behind[1:], 0.0)
+        after[last] = 0.0
+        rest += after
+        ahead[last] = 1.0  # the last edge takes what rounding leaves
         with np.errstate(divide="ignore"):
             return {
-                "first": (np.searchsorted(row, np.arange(n)) + edges).astype(np.int32),
-                "reach": reach.astype(np.float32),
+                "first": (first + edges).astype(np.int32),
+                "reach": ahead.astype(np.float32),
                 "log": log,
                 "rest": np.log(rest).astype(np.float32),
-                "next": np.where(step == left[row], -1, row + step + nodes).astype(np.int32),
-                "piece": piece[row, column].astype(np.int32),
+                "next": np.where(ends, -1, node + step + nodes).astype(np.int32),
+                "piece": piece.astype(np.int32),
             }
 
     def ids(self, path: np.ndarray) -> np.ndarray:
@@ -282,10 +340,10 @@ class _Document:
 def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[_Document]:
     """Up to k samples of each text; ``open`` then holds what was not drawn, its largest value first."""
     pieces = lattices.pieces
-    if len(lattices.table["first"]) > _NODES:
-        lattices.reset()
     words = [pieces.words(pieces.normalised(t)) for t in texts]
-    lattices.add({w for w in set().union(*words) if w not in lattices})
+    met = set().union(*words)
+    lattices.make_room(met)
+    lattices.add(met - lattices.keys())
     docs = [_Document(int(key), np.fromiter(map(lattices.__getitem__, w), np.int64, len(w))) for w, key in zip(words, keys, strict=True)]
     table = lattices.table
     # Round by round: every text continues the most promising of its open sets.
@@ -356,7 +414,7 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
 
 
 def _node_edges(table: dict, edge: int) -> range:
-    node = int(np.searchsorted(table["first"], edge, side="right")) - 1
+    node = int(table["first"].searchsorted(np.int32(edge), side="right")) - 1  # another type would copy all nodes
     end = table["first"][node + 1] if node + 1 < len(table["first"]) else len(table["next"])
     return range(int(table["first"][node]), int(end))
 
@@ -380,6 +438,15 @@ def _written(raw: list[bytes], ids: np.ndarray) -> bytes:
     return text[1:] if text[:1] == b" " else text
 
 
+def _texts(raw: pa.LargeBinaryArray, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """What the pieces from each of ``ends`` to the next write, as ``_written`` does."""
+    pieces = raw.take(pa.array(ids, pa.int32()))
+    _, offsets, data = pieces.buffers()
+    cuts = np.frombuffer(offsets, np.int64, len(ids) + 1)[ends].tolist() if len(ids) else [0] * len(ends)
+    data = memoryview(data or b"")
+    return [bytes(data[a + (data[a : a + 1] == b" " and a < b) : b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 _SAMPLE = "key {}, rank int, ids array<int>, log_prob double, perturbed double, log_inclusion double, exact boolean"
 
 
@@ -393,12 +460,11 @@ def encode(docs: DataFrame, path: str, k: int = 3, alpha: float = 1.0, seed: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(Pieces(path, alpha))
+        raw = pa.array(lattices.pieces.raw, pa.large_binary())
         for batch in portions(batches, text, _STEP_BYTES):
             keys = batch.column(2).to_numpy().view(np.uint64)
             found = sample(lattices, pc.fill_null(batch.column(1), "").to_pylist(), _mixed(keys), k)
-            raw = lattices.pieces.raw
-            texts = bytes_of(batch, text)
-            rows, ranks, ids, sizes, logs, values, inclusion, exact, again = [], [], [], [0], [], [], [], [], []
+            rows, ranks, ids, sizes, logs, values, inclusion = [], [], [], [0], [], [], []
             for i, d in enumerate(found):
                 bound = -d.open[0][0] if d.open else -math.inf
                 for rank, (way, log, value) in enumerate(zip(d.paths, d.logs, d.values, strict=True)):
@@ -406,16 +472,16 @@ def encode(docs: DataFrame, path: str, k: int = 3, alpha: float = 1.0, seed: int
                     ranks.append(rank + 1)
                     ids.append(lattices.ids(way))
                     sizes.append(len(ids[-1]))
-                    written = _written(raw, ids[-1])
-                    exact.append(written == texts[i])
-                    if decoded:
-                        again.append(written)
                     logs.append(log)
                     values.append(value)
                     x = log - bound
                     inclusion.append(0.0 if x > 36 else x if x < -36 else math.log(-math.expm1(-math.exp(x))))
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))
+            ends = np.cumsum(sizes)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            again = _texts(raw, flat, ends)
+            texts = bytes_of(batch, text)
+            exact = [written == texts[i] for i, written in zip(rows, again, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ranks, pa.int32()), lists, pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(exact, pa.bool_()), *([pa.array(again, pa.binary()).cast(pa.string())] if decoded else [])],
                 ["key", "rank", "ids", "log_prob", "perturbed", "log_inclusion", "exact", *(["decoded"] if decoded else [])],

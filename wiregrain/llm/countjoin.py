@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiregrain.llm.components import star_components
-from wiregrain.llm.rows import bytes_of, portions, require
+from wiregrain.llm.rows import bytes_of, portions, released, require
 from wiregrain.session import Scratch
 
 #: Sizes of one band differ by less than this factor; larger bands mean smaller groups, smaller bands more overlap.
@@ -290,6 +290,7 @@ def _long(x: np.ndarray) -> pa.Array:
 def _described(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, text) to (key, d1, d2, size, cells, point)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text", _TEXT_BYTES):
             sets = [shingles(x, words) for x in bytes_of(batch, "text")]
@@ -315,6 +316,7 @@ def _described(rows: DataFrame, words: int, percent: int) -> DataFrame:
 def _sets(rows: DataFrame, words: int) -> DataFrame:
     """(cid, text) to (cid, shingles as bytes)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text", _TEXT_BYTES):
             found = [shingles(x, words).tobytes() for x in bytes_of(batch, "text")]
@@ -337,6 +339,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     met = pairs.join(points.toDF("src", "n", "p"), "src").join(points.toDF("dst", "m", "q"), "dst")
     met = met.filter(_sizes_fit("n", "m", percent)).select("src", "dst", "n", "m", "p", "q")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
@@ -364,6 +367,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = heads.select("src", "share", F.lit(None).cast("long").alias("dst"), "shingles").union(tails.select("src", "share", "dst", "shingles"))
     rows = rows.repartition("src", "share").sortWithinPartitions("src", "share", F.asc_nulls_first("dst"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty(0, np.uint64)
         for batch in batches:
@@ -411,6 +415,7 @@ def _paged(members: DataFrame, page_rows: int) -> DataFrame:
     """Members (cell, cid, root, size, point) with the page they are in, and a row with ``cid`` null for each page:
     its box (``point``: largest coordinates; sizes and components from and to)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def page(rows: list[tuple]) -> pa.RecordBatch:
             cells, cids, roots, sizes, points = zip(*rows, strict=True)
@@ -453,6 +458,7 @@ def _page_pairs(boxes: DataFrame, percent: int) -> DataFrame:
         & ((F.col("low_1") != F.col("high_1")) | (F.col("low_2") != F.col("high_2")) | (F.col("low_1") != F.col("low_2")))
     )
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least = batch.column(3).to_numpy() + batch.column(4).to_numpy()
@@ -476,6 +482,7 @@ def _tree_join(pages: DataFrame, percent: int, best: int | None) -> DataFrame:
     rows = left.union(right.select("cell", "page", "other", F.lit(1).alias("side"), "cid", "root", "size", "point"))
     rows = rows.repartition("cell", "page", "other").sortWithinPartitions("cell", "page", "other", "side", "size", "cid")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def join(rows: list[tuple]) -> pa.RecordBatch:
             width = _width(r[7] for r in rows)

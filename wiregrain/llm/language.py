@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiregrain.llm.rows import portions, require
+from wiregrain.llm.rows import portions, released, require
 
 BUCKETS = 1 << 16
 #: Score below which a text has no language: no better than a text that shares nothing with any landmark.
@@ -68,6 +68,7 @@ class LanguageModel:
 def _bucket_rows(order: int):
     """mapInArrow function: (lang, pick, text) to (lang, pick, buckets)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
             sets = []
@@ -173,6 +174,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", t
     """Key, lang_pred and score (0 to 1) of every row; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, text):
             langs, scores = _scored(shared.value, pc.fill_null(batch.column(1), "").to_pylist())
@@ -187,6 +189,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, text):
             langs, scores = _scored(shared.value, pc.fill_null(batch.column(place), "").to_pylist())

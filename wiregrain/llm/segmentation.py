@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from wiregrain.llm.rows import bytes_of, portions, require
+from wiregrain.llm.rows import bytes_of, portions, released, require
 
 _BLANK = "▁"
 #: Characters that end a word of their own if no piece holds them.
@@ -458,6 +458,7 @@ def encode(docs: DataFrame, path: str, k: int = 3, alpha: float = 1.0, seed: int
     that was not drawn. ``path`` is the model file, which every executor must have at the same place.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(Pieces(path, alpha))
         raw = pa.array(lattices.pieces.raw, pa.large_binary())
@@ -495,6 +496,7 @@ def encode(docs: DataFrame, path: str, k: int = 3, alpha: float = 1.0, seed: int
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``rows`` with the text that the pieces in ``ids`` write; null stays null."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = Pieces(path, 1.0).raw
         for whole in batches:

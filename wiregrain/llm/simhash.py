@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiregrain.llm.components import star_components
-from wiregrain.llm.rows import bytes_of, portions, require, text_key
+from wiregrain.llm.rows import bytes_of, portions, released, require, text_key
 from wiregrain.session import Scratch
 
 #: Shingles whose bits are counted at a time.
@@ -62,6 +62,7 @@ def simhash(data: bytes, words: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """Key and fingerprint (as a signed long) of every row."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, text):
             prints = np.array([simhash(x, words) for x in bytes_of(batch, text)], np.uint64).view(np.int64)
@@ -234,6 +235,7 @@ def near_links(prints: DataFrame, budget: int = 4, held: int = HELD) -> DataFram
     dealt = rows.repartition("band", "slot", "task").withColumn("order", order).sortWithinPartitions("band", "slot", "task", "order")
     starts = [a for a, _ in bands]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for band, width, turned, roots in _whole_tries(batches, held):
             label = trie_links(turned, roots, width[roots[:-1]], budget)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiregrain.llm.rows import bytes_of, portions, require, text_key
+from wiregrain.llm.rows import bytes_of, portions, released, require, text_key
 from wiregrain.llm.spans import rolling
 
 #: Words for numbers and units (fixed values).
@@ -159,6 +159,7 @@ def _windows(rows: DataFrame, size_of, literals: int, bits: np.ndarray | None) -
     ``size_of`` gives the sizes of the windows for a reading and a number of tokens.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
         for batch in portions(batches, "text"):

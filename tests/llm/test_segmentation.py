@@ -116,3 +116,15 @@ def test_words_met_again_are_built_once(pieces, monkeypatch):
         (found,) = S.sample(tight, [text], key, 3)
         assert ids_of(tight, found) == ids_of(free, expected) and found.logs == pytest.approx(expected.logs, abs=1e-12)
     assert len(tight) < len(free) and built.count("▁common") == 1
+
+
+def test_random_numbers_of_a_round_are_drawn_at_once(pieces, monkeypatch):
+    """Ten times as many texts need hardly more draws, not ten times as many."""
+    calls, draw = [], S._uniform
+    monkeypatch.setattr(S, "_uniform", lambda key: calls.append(len(key)) or draw(key))
+    counts = []
+    for n in (5, 50):
+        calls.clear()
+        S.sample(S.Lattices(pieces), ["the cat sat"] * n, S._mixed(np.arange(n, dtype=np.uint64)), 2)
+        counts.append(len(calls))
+    assert counts[1] < 2 * counts[0]

@@ -21,7 +21,8 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ _DECODED_ROWS = 512
 #: Bounds of Gumbel noise from numbers of 53 bits: log(-log(u)) at the smallest u, and the largest noise.
 _LEAST_NOISE, _MOST_NOISE = 3.7, 37.5
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_NO_EDGES = np.empty(0, np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -128,14 +130,13 @@ class Lattices(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.again: set[str] = set()
-        kinds = {"first": np.int32, "reach": np.float32, "log": float, "rest": np.float32, "next": np.int32, "piece": np.int32}
+        # ``met``: at the first node of a word, whether the word came again since it was built.
+        kinds = {"first": np.int32, "met": bool, "reach": np.float32, "log": float, "rest": np.float32, "next": np.int32, "piece": np.int32}
         self.room = {k: np.empty(0, v) for k, v in kinds.items()}
         self.table = dict(self.room)  # the part that is in use
 
-    def keep(self, words: set[str]) -> None:
+    def keep(self, kept: list[str]) -> None:
         """Only the lattices of these words stay, as they are."""
-        kept = list(words)
         old, nodes = (np.fromiter(map(f, kept), np.int64, len(kept)) for f in (self.__getitem__, len))
         bounds = np.append(self.table["first"], np.int32(len(self.table["next"])))
         edge = bounds[old].astype(np.int64)
@@ -143,6 +144,7 @@ class Lattices(dict):
         new, new_edge = np.cumsum(nodes) - nodes, np.cumsum(edges) - edges
         every = np.arange(nodes.sum()) + np.repeat(old - new, nodes)
         self.table["first"] = (self.table["first"][every] - np.repeat(edge - new_edge, nodes)).astype(np.int32)
+        self.table["met"] = np.zeros(len(every), bool)
         every = np.arange(edges.sum()) + np.repeat(edge - new_edge, edges)
         after = self.table["next"][every]
         self.table["next"] = np.where(after < 0, -1, after + np.repeat(new - old, edges)).astype(np.int32)
@@ -152,36 +154,46 @@ class Lattices(dict):
         self.clear()
         self.update(zip(kept, new.tolist(), strict=True))
 
-    def make_room(self, met: set[str]) -> None:
-        """Words that were met again since they were built stay, as far as they take half the room; ``met`` are the next."""
-        self.again |= self.keys() & met
-        if len(self.table["first"]) <= _NODES:
-            return
-        if sum(map(len, self.again)) <= _NODES // 2:
-            self.keep(self.again)
-            self.again = set()
+    def nodes(self, words: list[list[str]]) -> list[np.ndarray]:
+        """First nodes of the words of each text; new words are built, words met again are noted."""
+        found = self._known(words)
+        if len(self.table["first"]) > _NODES:
+            self.make_room()
+            found = self._known(words)
+        gone = [np.nonzero(own < 0)[0].tolist() for own in found]
+        new = [list(map(own.__getitem__, at)) for own, at in zip(words, gone, strict=True)]
+        self.add(set().union(*new))
+        for own, at, missed in zip(found, gone, new, strict=True):
+            own[at] = np.fromiter(map(self.__getitem__, missed), np.int64, len(missed))
+        return found
+
+    def _known(self, words: list[list[str]]) -> list[np.ndarray]:
+        """First nodes of the words of each text, -1 where they are not built."""
+        found = [np.fromiter(map(self.get, own, repeat(-1)), np.int64, len(own)) for own in words]
+        for own in found:
+            self.table["met"][own[own >= 0]] = True
+        return found
+
+    def make_room(self) -> None:
+        """Words that were met again since they were built stay, as far as they take half the room."""
+        again = list(compress(self, self.table["met"][np.fromiter(self.values(), np.int64, len(self))].tolist()))
+        if sum(map(len, again)) <= _NODES // 2:
+            self.keep(again)
         else:
             self.reset()
 
-    def add(self, words: set[str]) -> None:
+    def add(self, words: Iterable[str]) -> None:
         """Build the lattices of new words."""
-        chunk, size, parts = [], 0, []
+        parts = []
         nodes, edges = len(self.table["first"]), len(self.table["next"])
-
-        def build() -> None:
-            nonlocal nodes, edges
-            parts.append(self._built(chunk, nodes, edges))
+        ordered = sorted(words, key=len)  # words of like length make narrow tables
+        ends = np.cumsum(np.fromiter(map(len, ordered), np.int64, len(ordered)))
+        begin = done = 0
+        while begin < len(ordered):
+            end = min(int(ends.searchsorted(done + _BUILD)) + 1, len(ordered))
+            parts.append(self._built(ordered[begin:end], nodes, edges))
             nodes, edges = nodes + len(parts[-1]["first"]), edges + len(parts[-1]["next"])
-            chunk.clear()
-
-        for word in sorted(words, key=len):  # words of like length make narrow tables
-            chunk.append(word)
-            size += len(word)
-            if size >= _BUILD:
-                build()
-                size = 0
-        if chunk:
-            build()
+            begin, done = end, int(ends[end - 1])
         for name in self.table if parts else ():  # one array at a time is held twice
             own, new = self.table[name], [p.pop(name) for p in parts]
             size = len(own) + sum(map(len, new))
@@ -273,6 +285,7 @@ class Lattices(dict):
         with np.errstate(divide="ignore"):
             return {
                 "first": (first + edges).astype(np.int32),
+                "met": np.zeros(n, bool),
                 "reach": ahead.astype(np.float32),
                 "log": log,
                 "rest": np.log(rest).astype(np.float32),
@@ -341,20 +354,22 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
     """Up to k samples of each text; ``open`` then holds what was not drawn, its largest value first."""
     pieces = lattices.pieces
     words = [pieces.words(pieces.normalised(t)) for t in texts]
-    met = set().union(*words)
-    lattices.make_room(met)
-    lattices.add(met - lattices.keys())
-    docs = [_Document(int(key), np.fromiter(map(lattices.__getitem__, w), np.int64, len(w))) for w, key in zip(words, keys, strict=True)]
+    docs = [_Document(int(key), own) for own, key in zip(lattices.nodes(words), keys, strict=True)]
     table = lattices.table
-    # Round by round: every text continues the most promising of its open sets.
-    todo = [(d, -math.log(-math.log(_uniform(np.array([d.key], np.uint64))[0])), None, 0, (), 0) for d in docs]
+    # Round by round: every text continues the most promising of its open sets. Random numbers of a round are drawn at once.
+    firsts = (-np.log(-np.log(_uniform(_keys(docs))))).tolist()
+    todo = [(d, value, None, 0, ()) for d, value in zip(docs, firsts, strict=True)]
     for rank in range(k):
-        starts, counters, heads = [], [], []
-        for d, _, parent, at, banned, _ in todo:
-            nodes, prefix, word = d.words, np.empty(0, np.int64), 0
+        if not todo:
+            break
+        own_keys = _keys(d for d, *_ in todo)
+        turns = _uniform(own_keys ^ np.uint64((rank + 1) << 50)).tolist()
+        starts, heads = [], []
+        for (d, _, parent, at, banned), turn in zip(todo, turns, strict=True):
+            nodes, prefix, word = d.words, _NO_EDGES, 0
             if parent is not None:
                 path, own_steps = d.paths[parent], d.steps[parent]
-                edge = _other_edge(table, path[at], banned, d.key, rank)
+                edge = _other_edge(table, path[at], banned, turn)
                 word = int(np.searchsorted(np.cumsum(own_steps), at, side="right"))
                 prefix = np.append(path[:at], edge)
                 inner = table["next"][edge]
@@ -362,57 +377,77 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
                 if inner >= 0:
                     nodes = np.concatenate(([inner], nodes))
             starts.append(nodes)
-            serial = np.arange(len(nodes), dtype=np.uint64) + np.uint64(rank << 40)
-            counters.append(_mixed(np.uint64(d.key) + (serial + np.uint64(1)) * _GOLDEN))
             heads.append((prefix, word))
-        edges, counts = _walk(table, np.concatenate(starts), np.concatenate(counters)) if starts else ([], [])
+        ways = np.array([len(x) for x in starts])
+        serial = np.arange(ways.sum()) - np.repeat(np.cumsum(ways) - ways, ways) + ((rank << 40) + 1)
+        counters = _mixed(np.repeat(own_keys, ways) + serial.view(np.uint64) * _GOLDEN)
+        edges, counts = _walk(table, np.concatenate(starts), counters)
+        every = table["log"][edges], table["rest"][edges]
         begin = way = 0
-        following = []
-        for (d, value, parent, at, banned, _), nodes, (prefix, word) in zip(todo, starts, heads, strict=True):
+        masses, places, lefts = [], [], []
+        for (d, value, parent, at, banned), nodes, (prefix, word) in zip(todo, starts, heads, strict=True):
             own = counts[way : way + len(nodes)]
-            size = int(own.sum())
-            path = np.concatenate((prefix, edges[begin : begin + size]))
-            begin, way = begin + size, way + len(nodes)
+            end = begin + int(own.sum())
+            path, logs, rest = edges[begin:end], every[0][begin:end], every[1][begin:end]
+            begin, way = end, way + len(nodes)
             steps = own
             if parent is not None:
+                path, logs = np.concatenate((prefix, path)), np.concatenate((table["log"][prefix], logs))
                 before = d.steps[parent][: word + 1].copy()
                 into = len(prefix) - int(before[:word].sum())  # steps of the parted word up to the new edge
                 inside = len(nodes) > len(d.words) - word - 1
                 before[word] = into + (int(own[0]) if inside else 0)
                 steps = np.concatenate((before, own[1:] if inside else own))
-            logs = table["log"][path]
-            passed = np.cumsum(logs) - logs
+            passed = np.cumsum(logs)
+            passed -= logs
             d.paths.append(path)
             d.steps.append(steps)
             d.logs.append(float(logs.sum()))
             d.values.append(value)
-            if len(path):
-                mass = passed[len(prefix) :] + table["rest"][path[len(prefix) :]]
-                # No more than k sets of one path can come up, and noise has bounds: the rest needs no draw.
-                near = np.arange(len(mass))
-                if len(mass) > k + 1:
-                    most = np.partition(mass, len(mass) - k - 1)[len(mass) - k - 1]
-                    near = np.nonzero(mass > most - np.logaddexp(most - value, _LEAST_NOISE) - _MOST_NOISE)[0]
-                serial = (near + len(prefix)).astype(np.uint64) + np.uint64((rank << 40) + (1 << 62))
-                found = _truncated(mass[near], np.full(len(near), value), _mixed(np.uint64(d.key) ^ (serial * _GOLDEN)))
-                best = np.argpartition(-found, min(k, len(found) - 1))[: k + 1] if len(found) > k + 1 else np.arange(len(found))
-                for i in best.tolist():
-                    if found[i] > -math.inf:
-                        heapq.heappush(d.open, (-float(found[i]), rank, len(prefix) + int(near[i]), ()))
-                if parent is not None:
-                    gone = (*banned, int(prefix[-1]))
-                    left = _left_mass(table, int(prefix[-1]), gone)
-                    if left > -math.inf:
-                        serial = np.array([(rank << 40) + (3 << 60) + at], np.uint64)
-                        v = _truncated(np.array([passed[at] + left]), np.array([value]), _mixed(np.uint64(d.key) ^ (serial * _GOLDEN)))[0]
-                        heapq.heappush(d.open, (-float(v), rank, at, gone[:-1]))
+            mass = passed[len(prefix) :] + rest
+            # No more than k sets of one path can come up, and noise has bounds: the rest needs no draw.
+            near = np.arange(len(mass))
+            if len(mass) > k + 1:
+                most = np.partition(mass, len(mass) - k - 1)[len(mass) - k - 1]
+                near = np.nonzero(mass > most - np.logaddexp(most - value, _LEAST_NOISE) - _MOST_NOISE)[0]
+            masses.append(mass[near])
+            places.append(near + len(prefix))
+            if parent is not None:
+                gone = (*banned, int(prefix[-1]))
+                left = _left_mass(table, int(prefix[-1]), gone)
+                if left > -math.inf:
+                    lefts.append((d, at, gone[:-1], passed[at] + left, value))
+        sizes = np.array([len(x) for x in masses])
+        serial = np.concatenate(places).astype(np.uint64) + np.uint64((rank << 40) + (1 << 62))
+        values = np.repeat([value for _, value, *_ in todo], sizes)
+        found = _truncated(np.concatenate(masses), values, _mixed(np.repeat(own_keys, sizes) ^ (serial * _GOLDEN)))
+        begin = 0
+        for (d, *_), place in zip(todo, places, strict=True):
+            own = found[begin : begin + len(place)]
+            begin += len(place)
+            best = np.argpartition(-own, min(k, len(own) - 1))[: k + 1] if len(own) > k + 1 else np.arange(len(own))
+            for v, at in zip(own[best].tolist(), place[best].tolist(), strict=True):
+                if v > -math.inf:
+                    heapq.heappush(d.open, (-v, rank, at, ()))
+        if lefts:
+            serial = np.array([(rank << 40) + (3 << 60) + at for _, at, *_ in lefts], np.uint64)
+            mass, values = (np.array([x[i] for x in lefts]) for i in (3, 4))
+            found = _truncated(mass, values, _mixed(_keys(d for d, *_ in lefts) ^ (serial * _GOLDEN)))
+            for (d, at, gone, *_), v in zip(lefts, found.tolist(), strict=True):
+                heapq.heappush(d.open, (-v, rank, at, gone))
+        following = []
+        for d, *_ in todo:
             if d.open and rank + 1 < k:
                 v, source, at, gone = heapq.heappop(d.open)
-                following.append((d, -v, source, at, (*gone, int(d.paths[source][at])), 0))
+                following.append((d, -v, source, at, (*gone, int(d.paths[source][at]))))
         todo = following
     return docs
 
 
+def _keys(docs: Iterable[_Document]) -> np.ndarray:
+    return np.array([d.key for d in docs], np.uint64)
+
+
 def _node_edges(table: dict, edge: int) -> range:
     node = int(table["first"].searchsorted(np.int32(edge), side="right")) - 1  # another type would copy all nodes
     end = table["first"][node + 1] if node + 1 < len(table["first"]) else len(table["next"])
@@ -424,12 +459,11 @@ def _left_mass(table: dict, edge: int, gone: tuple) -> float:
     return math.log(left) if left > 0 else -math.inf
 
 
-def _other_edge(table: dict, edge: int, gone: tuple, key: int, rank: int) -> int:
-    """Another edge of the same node, by its probability among those that are left."""
+def _other_edge(table: dict, edge: int, gone: tuple, turn: float) -> int:
+    """Another edge of the same node, by its probability among those that are left, at ``turn`` of their sum."""
     others = [e for e in _node_edges(table, int(edge)) if e not in gone]
     shares = np.cumsum([math.exp(table["log"][e]) for e in others])
-    u = _uniform(np.array([key ^ ((rank + 1) << 50)], np.uint64))[0]
-    return others[min(int(np.searchsorted(shares, u * shares[-1], side="right")), len(others) - 1)]
+    return others[min(int(np.searchsorted(shares, turn * shares[-1], side="right")), len(others) - 1)]
 
 
 def _written(raw: list[bytes], ids: np.ndarray) -> bytes:
